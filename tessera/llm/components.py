@@ -1,0 +1,54 @@
+"""Connected components of a link table, by alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
+
+
+def _state(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+    return row["n"], row["x"]
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One round over edges (a, b): every node's neighbours are hung below the smallest of them.
+
+    The minimum is combined before the shuffle and joined back, so that a node with very many
+    neighbours is never gathered in one place.
+    """
+    if large:
+        near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    hung = near.join(least, "a")
+    if large:
+        out = hung.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return out.filter("a <> b").distinct()
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``node``, ``root`` (smallest node of its component) for every node of the links (a, b).
+
+    Self-links and repeated links are ignored; an empty table gives an empty result. Each round is
+    written to the shared folder; the number of rounds grows with the logarithm of the longest path.
+    Raises if ``max_rounds`` don't suffice, rather than return an unfinished result.
+    """
+    edges = materialise(edges.select("a", "b").filter("a <> b").distinct())
+    state = _state(edges)
+    for _ in range(max_rounds):
+        if not state[0]:
+            break
+        edges = materialise(_star(_star(edges, True), False))
+        before, state = state, _state(edges)
+        if before == state:
+            break
+    else:
+        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -8,17 +8,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_files
+from . import bpe, language, simhash, token_files
 
 TOKENIZER = "word_bpe_49k.json"
 #: Id that op10 appends to every document.
 END_ID = 2
+SHINGLE_WORDS, SIMHASH_RADIUS = 4, 4
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def in_fold(modulus: int, remainder: int):
+    """Whether crc32 of the document id as text leaves ``remainder``; ids that are null count as not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def op1_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.train(docs.filter(~in_fold(5, 0)))
+    return language.predict(docs, model).select("doc_id", in_fold(5, 0).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op3_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), SHINGLE_WORDS, SIMHASH_RADIUS)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
     return coded.select(
@@ -36,6 +53,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ppm_language": op1_ppm_language,
+        "op3_simhash_pigeonhole": op3_simhash_pigeonhole,
         "op5_bpe_forced_boundaries": op5_bpe_forced_boundaries,
         "op10_token_files": op10_token_files,
     }
