@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, simhash, token_files
+from . import bpe, language, sharding, simhash, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 #: Id that op10 appends to every document.
 END_ID = 2
+SHARDS = 8
+TOXIC_FROM = 0.7
 SHINGLE_WORDS, SIMHASH_RADIUS = 4, 4
 
 
@@ -36,6 +38,11 @@ def op3_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.byte_balanced(documents(spark, sf_dir), SHARDS)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
     return coded.select(
@@ -46,6 +53,13 @@ def op5_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    lexicon = toxicity.train(docs, labels.filter(~in_fold(3, 1)))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", in_fold(3, 1).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), END_ID)
     return token_files.id_checksums(rows)
@@ -55,7 +69,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ppm_language": op1_ppm_language,
         "op3_simhash_pigeonhole": op3_simhash_pigeonhole,
+        "op4_histogram_sort": op4_histogram_sort,
         "op5_bpe_forced_boundaries": op5_bpe_forced_boundaries,
+        "op9_toxic_lexicon": op9_toxic_lexicon,
         "op10_token_files": op10_token_files,
     }
 
