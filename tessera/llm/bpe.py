@@ -10,7 +10,11 @@ stays in a bounded cache, and their ids are concatenated.
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections.abc import Iterator
+from itertools import islice
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +24,29 @@ from pyspark.sql import functions as F
 from .common import SLICE_ROWS
 
 #: Most fragments that a worker remembers; the oldest half goes when it is full.
-CACHE_FRAGMENTS = 200_000
+CACHE_FRAGMENTS = 300_000
 #: Longer fragments are encoded but not remembered.
 CACHE_BYTES = 48
 
+#: Latin letters that normalisation leaves as they are, and marks that may follow them in a fragment:
+#: such a fragment is one pre-token of letters and one of marks, so the general splitting isn't needed.
+PLAIN_MARKS = frozenset("!\"#$%&()*+,-./:;=?@[]^_`{}~|")
+PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-įı-ňŊ-ſ]+)([" + re.escape("".join(sorted(PLAIN_MARKS))) + "]*)")
+
 _encoders: dict[str, "FragmentEncoder"] = {}
 
 
+def _forget_half(cache: dict) -> None:
+    for k in list(islice(cache, len(cache) // 2)):
+        del cache[k]
+
+
+def byte_char(byte: int) -> str:
+    """The character that stands for a byte in a byte-level vocabulary: itself if printable, else moved up."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return chr(byte) if byte in shown else chr(256 + [b for b in range(256) if b not in shown].index(byte))
+
+
 def encoder(path: str) -> "FragmentEncoder":
     """The encoder for a tokenizer file, built once in each Python worker."""
     if path not in _encoders:
@@ -63,11 +83,15 @@ class FragmentEncoder:
             self.tokens[i] = w.encode()
         for x in spec["added_tokens"]:
             self.tokens[x["id"]] = x["content"].encode()
+        self.byte_chars = {b: byte_char(b) for b in range(128, 256)}
+        self.plain = PLAIN.fullmatch if all("<" in x for x in self.special) else lambda _: None
         self.fragments: dict[bytes, bytes] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
 
     def cuts(self, word: str) -> list[str]:
         """Split a pre-token, written one character a byte, wherever the pair is in no token."""
+        if self.pairs.issuperset(map(add, word, word[1:])):
+            return [word]
         out, start = [], 0
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] not in self.pairs:
@@ -76,38 +100,39 @@ class FragmentEncoder:
         out.append(word[start:])
         return out
 
-    def word(self, word: str) -> list[int]:
-        """Ids of one pre-token."""
-        ids = self.words.get(word)
-        if ids is None:
-            *first, last = self.cuts(word)
-            ids = [t.id for part in first for t in self.inner.tokenize(part)]
-            ids += [t.id for t in self.model.tokenize(last)]
-            if len(word) <= CACHE_BYTES:
-                if len(self.words) >= CACHE_FRAGMENTS:
-                    for k in list(self.words)[: CACHE_FRAGMENTS // 2]:
-                        del self.words[k]
-                self.words[word] = ids
-        return ids
+    def word(self, word: str) -> bytes:
+        """Ids of one pre-token (written one character a byte), as little-endian unsigned 32-bit integers."""
+        *first, last = self.cuts(word)
+        ids = [t.id for part in first for t in self.inner.tokenize(part)]
+        ids += [t.id for t in self.model.tokenize(last)]
+        out = array("I", ids).tobytes()
+        if len(word) <= CACHE_BYTES:
+            self.words[word] = out
+            if len(self.words) > CACHE_FRAGMENTS:
+                _forget_half(self.words)
+        return out
 
     def fragment(self, fragment: bytes) -> bytes:
         """Ids of a run without ASCII white space, as little-endian unsigned 32-bit integers."""
         text = fragment.decode("utf-8", "replace")
-        if any(s in text for s in self.special):
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        elif text.isascii() and text.isalpha():
-            ids = self.word(text.lower())
-        elif text.isascii() and text[:-1].isalpha() and text[-1] in ".,!?;:":
-            ids = self.word(text[:-1].lower()) + self.word(text[-1])
+        known = self.words.get
+        if plain := self.plain(text):
+            letters, marks = plain.groups()
+            letters = letters.lower()
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(self.byte_chars)
+            out = known(letters) or self.word(letters)
+            if marks:
+                out += known(marks) or self.word(marks)
+        elif any(s in text for s in self.special):
+            out = array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         else:
             normal = self.library.normalizer.normalize_str(text)
-            ids = [i for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal) for i in self.word(w)]
-        out = np.array(ids, dtype="<u4").tobytes()
+            out = b"".join([known(w) or self.word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)])
         if len(fragment) <= CACHE_BYTES:
-            if len(self.fragments) >= CACHE_FRAGMENTS:
-                for k in list(self.fragments)[: CACHE_FRAGMENTS // 2]:
-                    del self.fragments[k]
             self.fragments[fragment] = out
+            if len(self.fragments) > CACHE_FRAGMENTS:
+                _forget_half(self.fragments)
         return out
 
     def encode(self, text: str | None) -> bytes:
