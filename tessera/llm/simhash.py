@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, broadcast_if_small, materialise
@@ -122,6 +122,10 @@ def _masks(bits: list[int], t: int) -> list[int]:
     return [_signed(sum(1 << b for b in c)) for k in range(t + 1) for c in combinations(bits, k)]
 
 
+def _flipped(p: int, own: Column):
+    return lambda mask: F.struct(F.lit(p).alias("p"), own.bitwiseXOR(mask).alias("key"))
+
+
 def _keys(fps: DataFrame, plan: list[tuple[list[int], int]], probe: bool) -> DataFrame:
     keys = []
     for p, (bits, t) in enumerate(plan):
@@ -130,7 +134,7 @@ def _keys(fps: DataFrame, plan: list[tuple[list[int], int]], probe: bool) -> Dat
         own = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
         if probe and t:
             flips = F.array(*(F.lit(m) for m in _masks(bits, t)))
-            keys.append(F.transform(flips, lambda m, own=own, p=p: F.struct(F.lit(p).alias("p"), own.bitwiseXOR(m).alias("key"))))
+            keys.append(F.transform(flips, _flipped(p, own)))
         else:
             keys.append(F.array(F.struct(F.lit(p).alias("p"), own.alias("key"))))
     return fps.select("fp", F.inline(F.concat(*keys)))
@@ -199,7 +203,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
     )
     group = ["p", "key", "x", "y"]
-    left, right = (spread(df, *at).select(*group, "fp").groupBy(*group) for df, at in ((data, ("x", "y")), (probes, ("y", "x"))))
+    left, right = (spread(df, *at).select(*group, "fp").toDF(*group, "fp").groupBy(*group) for df, at in ((data, ("x", "y")), (probes, ("y", "x"))))
     return out.unionByName(left.cogroup(right).applyInPandas(_block_links(radius), "a long, b long"))
 
 
