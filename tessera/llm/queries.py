@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, sharding, simhash, token_files, toxicity
+from . import bpe, language, licenses, quality, sharding, simhash, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 #: Id that op10 appends to every document.
@@ -53,6 +53,14 @@ def op5_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op9_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxicity.train(docs, labels.filter(~in_fold(3, 1)))
@@ -71,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_pigeonhole": op3_simhash_pigeonhole,
         "op4_histogram_sort": op4_histogram_sort,
         "op5_bpe_forced_boundaries": op5_bpe_forced_boundaries,
+        "op6_ngram_ratio_quality": op6_ngram_ratio_quality,
+        "op8_license_join": op8_license_join,
         "op9_toxic_lexicon": op9_toxic_lexicon,
         "op10_token_files": op10_token_files,
     }
