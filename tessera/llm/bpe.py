@@ -13,7 +13,6 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 from operator import add
 
 import numpy as np
@@ -23,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS
 
-#: Most fragments that a worker remembers; the oldest half goes when it is full.
-CACHE_FRAGMENTS = 300_000
+#: Fragments (and words) in each of the two generations that a worker remembers.
+CACHE_FRAGMENTS = 160_000
 #: Longer fragments are encoded but not remembered.
 CACHE_BYTES = 48
 
@@ -36,9 +35,24 @@ PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-įı-ňŊ-ſ]+)([" + re.escape("".join(
 _encoders: dict[str, "FragmentEncoder"] = {}
 
 
-def _forget_half(cache: dict) -> None:
-    for k in list(islice(cache, len(cache) // 2)):
-        del cache[k]
+class Recent:
+    """The CACHE_FRAGMENTS to twice as many entries used last, in two generations."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        out = self.new.get(key)
+        if out is None and (out := self.old.get(key)) is not None:
+            self.put(key, out)
+        return out
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= CACHE_FRAGMENTS:
+            self.old = dict(self.new)
+            self.new.clear()
+        self.new[key] = value
 
 
 def byte_char(byte: int) -> str:
@@ -85,8 +99,7 @@ class FragmentEncoder:
             self.tokens[x["id"]] = x["content"].encode()
         self.byte_chars = {b: byte_char(b) for b in range(128, 256)}
         self.plain = PLAIN.fullmatch if all("<" in x for x in self.special) else lambda _: None
-        self.fragments: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.fragments, self.words = Recent(), Recent()
 
     def cuts(self, word: str) -> list[str]:
         """Split a pre-token, written one character a byte, wherever the pair is in no token."""
@@ -107,13 +120,14 @@ class FragmentEncoder:
         ids += [t.id for t in self.model.tokenize(last)]
         out = array("I", ids).tobytes()
         if len(word) <= CACHE_BYTES:
-            self.words[word] = out
-            if len(self.words) > CACHE_FRAGMENTS:
-                _forget_half(self.words)
+            self.words.put(word, out)
         return out
 
     def fragment(self, fragment: bytes) -> bytes:
         """Ids of a run without ASCII white space, as little-endian unsigned 32-bit integers."""
+        if (out := self.fragments.old.get(fragment)) is not None:
+            self.fragments.put(fragment, out)
+            return out
         text = fragment.decode("utf-8", "replace")
         known = self.words.get
         if plain := self.plain(text):
@@ -130,17 +144,16 @@ class FragmentEncoder:
             normal = self.library.normalizer.normalize_str(text)
             out = b"".join([known(w) or self.word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)])
         if len(fragment) <= CACHE_BYTES:
-            self.fragments[fragment] = out
-            if len(self.fragments) > CACHE_FRAGMENTS:
-                _forget_half(self.fragments)
+            self.fragments.put(fragment, out)
         return out
 
-    def encode(self, text: str | None) -> bytes:
+    def encode(self, text: bytes | str | None) -> bytes:
         """Ids of a whole text (null: empty) as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        known, miss = self.fragments.get, self.fragment
-        return b"".join([known(x) or miss(x) for x in text.encode("utf-8", "replace").split()])
+        data = text.encode("utf-8", "replace") if isinstance(text, str) else text
+        known, miss = self.fragments.new.get, self.fragment
+        return b"".join([known(x) or miss(x) for x in data.split()])
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by one space, special tokens included, as a model without decoder does."""
@@ -169,5 +182,5 @@ def encode_decode(
                 text = pa.array([own.decode(x.tolist()) if decode else None for x in coded], type=pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, text], names=["id", "ids", "decoded"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"id {id_type}, ids array<int>, decoded string").withColumnRenamed("id", id_col)

@@ -69,8 +69,9 @@ def op9_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), END_ID)
-    return token_files.id_checksums(rows)
+    folder = token_files.new_folder(spark)
+    parts = token_files.write(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), folder, END_ID)
+    return token_files.checksums(spark, folder, parts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

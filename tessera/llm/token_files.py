@@ -2,7 +2,8 @@
 
 Layout of one part (a range of doc_id, in ascending order):
 
-* ``<part>.ids``  - unsigned 32-bit little-endian token ids, nothing else;
+* ``<part>.ids``  - unsigned little-endian token ids of 16 bits (vocabularies of up to 65,536) or 32 bits,
+  nothing else; the manifest names the type;
 * ``<part>.off``  - signed 64-bit little-endian: offsets of the documents' first ids within the part,
   then the part's number of ids (documents + 1 numbers);
 * ``<part>.doc``  - signed 64-bit little-endian document ids, in the same order;
@@ -15,7 +16,6 @@ manifest, so that lost executors and second attempts leave no trace in the resul
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -56,7 +56,7 @@ def write(
         own, store, root = encoder(tokenizer_path), *_store(folder)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}"
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end, kind = np.array([end_id], dtype="<u4").tobytes(), id_type(own, end_id)
         store.create_dir(root, recursive=True)
         n_docs = n_ids = 0
         files = {k: store.open_output_stream(f"{root}/{name}.{k}") for k in KINDS}
@@ -66,7 +66,7 @@ def write(
                     rows = batch.slice(at, SLICE_ROWS)
                     coded = [own.encode(x) + end for x in rows.column(1).to_pylist()]
                     sizes = np.array([len(x) // 4 for x in coded], dtype=np.int64)
-                    files["ids"].write(b"".join(coded))
+                    files["ids"].write(np.frombuffer(b"".join(coded), dtype="<u4").astype(kind).tobytes())
                     files["off"].write((n_ids + np.cumsum(sizes) - sizes).astype("<i8").tobytes())
                     files["doc"].write(rows.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                     files["nul"].write(rows.column(0).is_null().to_numpy(zero_copy_only=False).astype("u1").tobytes())
@@ -76,14 +76,14 @@ def write(
         finally:
             for f in files.values():
                 f.close()
-        yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "docs": [n_docs], "ids": [n_ids]}, schema=made)
+        yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "docs": [n_docs], "ids": [n_ids], "type": [kind]}, schema=made)
 
-    made = pa.schema([("part", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    made = pa.schema([("part", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("type", pa.string())])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     rows = rows.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
     order = ("id", "tie", "place")
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
-    parts = sorted((r.asDict() for r in rows.mapInArrow(run, "part int, name string, docs long, ids long").collect()), key=lambda p: p["part"])
+    parts = sorted((r.asDict() for r in rows.mapInArrow(run, "part int, name string, docs long, ids long, type string").collect()), key=lambda p: p["part"])
     parts = [p for p in parts if p["docs"]]
     for key in ("docs", "ids"):
         for p, base in zip(parts, accumulate((q[key] for q in parts), initial=0), strict=False):
@@ -91,57 +91,64 @@ def write(
     return parts
 
 
-def read(spark: SparkSession, folder: str, parts: list[dict]) -> DataFrame:
-    """One row a document from the files: doc_id, start, n_tokens, ids (array of int).
+def id_type(own, end_id: int) -> str:
+    return "<u2" if max(len(own.tokens) - 1, end_id) < 1 << 16 else "<u4"
+
+
+def slices(folder: str, part: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """A part's documents in slices: ids of documents, which of them are null, offsets in the part, token ids.
 
-    Each part is one task, which maps the part's files into memory (local and mounted folders) or reads
-    one document's range at a time (other stores) and passes on a slice of documents at a time.
+    Local and mounted folders are mapped into memory; from other stores one slice's range is read at a time.
     """
+    store, root = _store(folder)
+    local, wide = store.type_name == "local", int(part["type"][-1])
+    names = {k: f"{root}/{part['name']}.{k}" for k in KINDS}
+
+    def mapped(kind: str, dtype: str) -> np.ndarray:
+        return np.memmap(names[kind], dtype=dtype, mode="r") if local else np.frombuffer(store.open_input_file(names[kind]).read(), dtype=dtype)
+
+    off, doc, nul = mapped("off", "<i8"), mapped("doc", "<i8"), mapped("nul", "u1")
+    ids = mapped("ids", part["type"]) if local else store.open_input_file(names["ids"])
+    for at in range(0, part["docs"], SLICE_ROWS):
+        ends = np.array(off[at : at + SLICE_ROWS + 1])
+        if local:
+            flat = np.array(ids[ends[0] : ends[-1]])
+        else:
+            ids.seek(int(ends[0]) * wide)
+            flat = np.frombuffer(ids.read(int(ends[-1] - ends[0]) * wide), dtype=part["type"])
+        n = len(ends) - 1
+        yield np.array(doc[at : at + n]), np.array(nul[at : at + n], dtype=bool), ends, flat
+
+
+def _each_part(spark: SparkSession, folder: str, parts: list[dict], last, last_type: str) -> DataFrame:
+    name = last_type.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _store(folder)
-        local = store.type_name == "local"
         for batch in batches:
-            for number in batch.column(0).to_pylist():
-                part = parts[number]
-                whole = {k: np.memmap(f"{root}/{part['name']}.{k}", dtype=t, mode="r") if local else np.frombuffer(store.open_input_file(f"{root}/{part['name']}.{k}").read(), dtype=t) for k, t in (("off", "<i8"), ("doc", "<i8"), ("nul", "u1"))}
-                ids = np.memmap(f"{root}/{part['name']}.ids", dtype="<i4", mode="r") if local else store.open_input_file(f"{root}/{part['name']}.ids")
-                for at in range(0, part["docs"], SLICE_ROWS):
-                    ends = np.array(whole["off"][at : at + SLICE_ROWS + 1])
-                    n = len(ends) - 1
-                    if local:
-                        flat = np.array(ids[ends[0] : ends[-1]])
-                    else:
-                        ids.seek(int(ends[0]) * 4)
-                        flat = np.frombuffer(ids.read(int(ends[-1] - ends[0]) * 4), dtype="<i4")
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.array(whole["doc"][at : at + n]), mask=np.array(whole["nul"][at : at + n], dtype=bool)),
-                            pa.array(part["ids_before"] + ends[:-1]),
-                            pa.array(np.diff(ends)),
-                            pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(flat)),
-                        ],
-                        names=["doc_id", "start", "n_tokens", "ids"],
-                    )
+            for part in (parts[i] for i in batch.column(0).to_pylist()):
+                for doc, null, ends, flat in slices(folder, part):
+                    columns = [pa.array(doc, mask=null), pa.array(part["ids_before"] + ends[:-1]), pa.array(np.diff(ends)), last(ends - ends[0], flat)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", name])
 
     one_each = spark.range(0, len(parts), 1, max(1, len(parts)))
-    return one_each.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
+    return one_each.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last_type}")
 
 
-def id_checksums(ids: DataFrame) -> DataFrame:
-    """Adds ids_crc32, the unsigned CRC-32 of each row's ids as little-endian unsigned 32-bit integers."""
+def read(spark: SparkSession, folder: str, parts: list[dict]) -> DataFrame:
+    """One row a document from the files: doc_id, start, n_tokens, ids (array of int). A part is a task."""
+    return _each_part(spark, folder, parts, lambda ends, flat: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32))), "ids array<int>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            flat, ends = lists.values.to_numpy().astype("<i4"), lists.offsets.to_numpy()
-            crc = pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return ids.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def checksums(spark: SparkSession, folder: str, parts: list[dict]) -> DataFrame:
+    """Like ``read``, with ids_crc32 (of the ids as little-endian unsigned 32-bit integers) in place of ids."""
+
+    def crc(ends: np.ndarray, flat: np.ndarray) -> pa.Array:
+        data = memoryview(flat.astype("<u4").tobytes())
+        return pa.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], type=pa.int64())
+
+    return _each_part(spark, folder, parts, crc, "ids_crc32 long")
 
 
-def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None) -> DataFrame:
-    """Write the token files for ``docs`` (below spark.checkpoint.dir unless told otherwise) and read them back."""
-    folder = folder or os.path.join(shared_dir(docs.sparkSession), "tokens")
-    return read(docs.sparkSession, folder, write(docs, tokenizer_path, folder, end_id))
+def new_folder(spark: SparkSession) -> str:
+    """A folder for token files below spark.checkpoint.dir."""
+    return f"{shared_dir(spark)}/tokens"
