@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, quality, sharding, simhash, token_files, toxicity
+from . import bpe, decontaminate, language, licenses, quality, sharding, simhash, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 #: Id that op10 appends to every document.
@@ -33,6 +33,10 @@ def op1_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", in_fold(5, 0).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("key")
+
+
 def op3_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), SHINGLE_WORDS, SIMHASH_RADIUS)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -77,6 +81,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ppm_language": op1_ppm_language,
+        "op2_template_decontamination": op2_template_decontamination,
         "op3_simhash_pigeonhole": op3_simhash_pigeonhole,
         "op4_histogram_sort": op4_histogram_sort,
         "op5_bpe_forced_boundaries": op5_bpe_forced_boundaries,
