@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, licenses, quality, sharding, simhash, token_files, toxicity
+from . import bpe, decontaminate, language, licenses, quality, sharding, simhash, suffix_dedup, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 #: Id that op10 appends to every document.
@@ -61,6 +61,12 @@ def op6_ngram_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["b"] - s["a"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_histogram_sort": op4_histogram_sort,
         "op5_bpe_forced_boundaries": op5_bpe_forced_boundaries,
         "op6_ngram_ratio_quality": op6_ngram_ratio_quality,
+        "op7_run_length_repeats": op7_run_length_repeats,
         "op8_license_join": op8_license_join,
         "op9_toxic_lexicon": op9_toxic_lexicon,
         "op10_token_files": op10_token_files,
