@@ -245,3 +245,29 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {id_type}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
+
+
+def keep_recognised(docs: DataFrame, model: Model | None, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a language: one pass, no shuffle.
+
+    Rejected are null texts, texts without a letter, and texts whose best language has a posterior
+    below ``least_score``. If nothing could be learned, every text with a letter stays.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                texts = part.column(at_text).to_pylist()
+                keep = np.array([has_letter(t) for t in texts], dtype=bool)
+                fit = np.flatnonzero(keep)
+                if own is not None and len(fit):
+                    bits = own.code_lengths([prepared(texts[i]) for i in fit])
+                    score = 1.0 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
+                    keep[fit] = score >= least_score
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

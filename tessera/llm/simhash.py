@@ -221,3 +221,17 @@ def near_duplicates(docs: DataFrame, width: int, radius: int, id_col: str = "doc
     owner = materialise(owner)
     least = owner.groupBy("root").agg(F.min("first").alias("component_id"))
     return found.join(owner.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, width: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with the smallest id of their component; one row if that id repeats.
+
+    Rows without an id can't be ordered: they stay where their whole component has none.
+    """
+    found = near_duplicates(docs, width, radius, id_col, text_col)
+    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    first = materialise(first.groupBy(F.col(id_col).alias("_first")).agg(F.count(F.lit(1)).alias("n")))
+    stay = docs.join(first.select("_first"), F.col(id_col).eqNullSafe(F.col("_first")), "left_semi")
+    if first.filter("n > 1 AND _first IS NOT NULL").isEmpty():
+        return stay
+    return stay.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(stay.filter(F.col(id_col).isNull()))

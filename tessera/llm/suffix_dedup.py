@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -99,7 +100,7 @@ def _bitmap(repeated: DataFrame, count: int) -> np.ndarray:
     """Bits of the repeated minimisers' hashes; bounded by BITMAP_BITS, false positives only cost time."""
     bits = min(BITMAP_BITS, max(16, int(count * 8).bit_length()))
     slot = F.col("h").bitwiseAND((1 << bits) - 1)
-    words = repeated.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    words = repeated.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
@@ -280,6 +281,34 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
+def _with_spans(rows: DataFrame, spans: DataFrame, id_: str, text: str) -> DataFrame:
+    """``rows`` with the column _spans of their removals, null where nothing goes."""
+    spans = spans.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
+    key = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return rows.join(spans, (F.col(id_) == F.col("_id")) & (key == F.col("_key")), "left").drop("_id", "_key")
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns and rows, the repeats cut out of the text.
+
+    Characters of which a part was cut go as a whole; null texts stay null.
+    """
+    spans = materialise(removals(docs, id_col, text_col))
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        def one(t, a, b):
+            data = t.encode("utf-8", "replace")
+            edges = [0, *(x for r in _merged([{"a": int(x), "b": int(y)} for x, y in zip(a, b, strict=True)]) for x in r), len(data)]
+            return b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore")
+
+        return pd.Series([t if a is None else one(t, a, b) for t, a, b in zip(text, starts, ends, strict=True)])
+
+    joined = _with_spans(docs, spans, id_col, text_col)
+    shorter = cut(F.col(text_col).cast("string"), F.col("_spans.a"), F.col("_spans.b"))
+    return joined.withColumn(text_col, shorter).select(*docs.columns)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``id_col``, key, n_bytes, spans (maximal removed byte ranges), kept (binary).
 
@@ -290,9 +319,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spans = materialise(removals(docs, id_col, text_col))
     rows = _texts(docs, id_col, text_col).withColumn("key", F.xxhash64(F.col("text").cast("string")))
-    rows = rows.withColumn("key", F.coalesce("key", F.lit(0))).alias("d")
-    joined = rows.join(spans.alias("s"), (F.col("d.id") == F.col("s.id")) & (F.col("d.key") == F.col("s.key")), "left")
-    joined = joined.select("d.id", "d.key", "d.text", "s.spans")
+    joined = _with_spans(rows, spans, "id", "text").select("id", "key", "text", "_spans")
     type_ = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
