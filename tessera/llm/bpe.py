@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import SLICE_ROWS
 
 #: Fragments (and words) in each of the two generations that a worker remembers.
-CACHE_FRAGMENTS = 160_000
+CACHE_FRAGMENTS = 280_000
 #: Longer fragments are encoded but not remembered.
 CACHE_BYTES = 48
 
