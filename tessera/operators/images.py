@@ -6,21 +6,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def decode_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """path, status (ok, empty, corrupt), width, height for every image file below ``folder``."""
+def decode_audit(spark: SparkSession, folder: str, expected: DataFrame | None = None) -> DataFrame:
+    """path, status (ok, corrupt, absent), width, height for every image file below ``folder``.
+
+    Spark's file sources leave out files without content, so missing and empty files are both found as
+    ``absent``, by the paths in ``expected`` (column path).
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    files = files.filter(F.lower("path").rlike(r"\.(png|jpe?g|bmp)$")).select("path", "length")
+    files = files.filter(F.lower("path").rlike(r"\.(png|jpe?g|bmp)$") & (F.col("length") > 0)).select(_plain("path").alias("path"), F.lit(True).alias("_there"))
     seen = spark.read.format("image").option("recursiveFileLookup", "true").load(folder)
-    seen = seen.select(F.regexp_replace("image.origin", "^file:/+", "/").alias("path"), "image.width", "image.height")
-    both = files.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).join(seen, "path", "left")
-    status = F.when(F.col("length") == 0, "empty").when(F.coalesce("height", F.lit(-1)) < 0, "corrupt").otherwise("ok")
+    seen = seen.select(_plain("image.origin").alias("path"), "image.width", "image.height")
+    both = files.join(seen, "path", "left")
+    if expected is not None:
+        both = expected.select(_plain("path").alias("path")).distinct().join(both, "path", "full")
+    status = F.when(F.col("_there").isNull(), "absent").when(F.coalesce("height", F.lit(-1)) < 0, "corrupt").otherwise("ok")
     return both.select("path", status.alias("status"), "width", "height")
 
 
+def _plain(path: str) -> Column:
+    """A local path without scheme."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def image_stats(spark: SparkSession, folder: str) -> DataFrame:
     """path, mean, std of the grey image, sharpness (variance of second differences), red, green, blue, blank."""
     rows = spark.read.format("image").option("recursiveFileLookup", "true").load(folder)

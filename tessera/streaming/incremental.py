@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,6 @@ def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQ
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests) below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder below spark.checkpoint.dir; only where that is unset (tests) a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
     return f"{root.rstrip('/')}/tessera-{kind}-{uuid.uuid4().hex}"
