@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, materialise
+from .common import SLICE_ROWS, broadcast_if_small, materialise
 
 LENGTH = 50
 KMER = 16
@@ -37,7 +37,10 @@ HOT_CLASSES = 4096
 #: Repeated minimisers up to which a bitmap of them (at most 2**BITMAP_BITS bits) filters the search;
 #: beyond it they are joined.
 BITMAP_ROWS, BITMAP_BITS = 1 << 25, 28
-SEED = 42
+#: Digests that a task remembers, so as not to send their snippets again.
+SEEN_DIGESTS = 200_000
+#: Exact copies up to which they are told apart by a broadcast and skip the search; beyond it they take part.
+COPY_ROWS = 500_000
 _WORD, _BITS = 7, 9  # symbols of 9 bits in a 63-bit word
 
 
@@ -77,28 +80,76 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"))
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """h, lo, hi: minimisers with the least and largest document id, combined within each slice of documents."""
+def _planes(values: np.ndarray) -> bytes:
+    """Eight-byte numbers, byte place by byte place, so that equal high bytes compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _numbers(data: bytes, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(dtype).ravel()
+
+
+def _extremes(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, with the least ``low`` and the largest ``high`` of each."""
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    first = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]) != 0)
+    if not len(first):
+        return hashes, low, high
+    return hashes[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """h: minimisers of two documents or more.
+
+    Each batch of documents sends its distinct minimisers with their least and largest id, packed by
+    range of hashes, so that a minimiser of very many documents is one entry a batch.
+    """
+    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = (1 << 64) // buckets + 1
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                found = [minimisers(t)[1] for t in part.column(1).to_pylist()]
-                ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
-                hashes = np.concatenate(found)
-                order = np.lexsort((ids, hashes))
-                hashes, ids = hashes[order], ids[order]
-                first = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]) != 0)
-                last = np.append(first[1:], len(hashes)) - 1 if len(first) else first
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(ids[first]), pa.array(ids[last])], names=["h", "lo", "hi"])
+            found = [minimisers(t.as_py())[1] for t in batch.column(1)]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            hashes, low, high = _extremes(np.concatenate(found) if found else np.zeros(0, np.uint64), ids, ids)
+            edges = np.searchsorted(hashes, np.array([min(i * width, (1 << 64) - 1) for i in range(1, buckets)], dtype=np.uint64))
+            cuts = [0, *edges.tolist(), len(hashes)]
+            full = [(i, x, y) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array([i for i, _, _ in full], pa.int32()),
+                    "hashes": pa.array([_planes(hashes[x:y]) for _, x, y in full], pa.binary()),
+                    "low": pa.array([_planes(low[x:y]) for _, x, y in full], pa.binary()),
+                    "spread": pa.array([_planes(high[x:y] - low[x:y]) for _, x, y in full], pa.binary()),
+                }
+            )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
 
-    return rows.filter("id IS NOT NULL").mapInArrow(run, "h long, lo long, hi long")
+        def flush() -> pa.RecordBatch:
+            hashes, low, high = _extremes(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(hashes[low < high].view(np.int64))], names=["h"])
+
+        for batch in batches:
+            for number, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != bucket and held:
+                    yield flush()
+                    held = []
+                low = _numbers(data[1], "<i8")
+                held.append((_numbers(data[0], "<u8"), low, low + _numbers(data[2], "<i8")))
+                bucket = number
+        if held:
+            yield flush()
+
+    sent = rows.select("id", "text").mapInArrow(send, "bucket int, hashes binary, low binary, spread binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "h long")
 
 
 def _bitmap(repeated: DataFrame, count: int) -> np.ndarray:
     """Bits of the repeated minimisers' hashes; bounded by BITMAP_BITS, false positives only cost time."""
-    bits = min(BITMAP_BITS, max(16, int(count * 8).bit_length()))
+    bits = min(BITMAP_BITS, max(16, int(count * 64).bit_length()))
     slot = F.col("h").bitwiseAND((1 << bits) - 1)
     words = repeated.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -108,38 +159,36 @@ def _bitmap(repeated: DataFrame, count: int) -> np.ndarray:
 
 
 def _snippets(rows: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
-    """id, key (hash of the text), at, size, h, digest, snippet (once a slice, else null) around repeated minimisers."""
+    """id, key, digest, at, size of the snippets around repeated minimisers; h and snippet once for each digest and task."""
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("digest", pa.binary()), ("snippet", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("digest", pa.binary()), ("at", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("snippet", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, seen = shared.value, set()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
                 out: list[list] = [[] for _ in schema]
-                seen: set[bytes] = set()
-                for number, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for number, text, key in zip(*(c.to_pylist() for c in batch.slice(lo, SLICE_ROWS).columns), strict=True):
                     places, hashes = minimisers(text)
                     if known is not None and len(places):
                         slot = hashes & np.uint64(len(known) * 64 - 1)
                         keep = (known[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
                         places, hashes = places[keep], hashes[keep]
-                    if not len(places):
-                        continue
-                    key = np.uint64(xxhash.xxh64_intdigest(text, SEED)).view(np.int64)
                     starts = np.maximum(places - (SPAN - 1), 0).tolist()
                     ends = np.minimum(places + LENGTH, len(text)).tolist()
                     for a, b, h in zip(starts, ends, hashes.view(np.int64).tolist(), strict=True):
                         snippet = text[a:b]
                         digest = xxhash.xxh3_128_digest(snippet)
                         new = digest not in seen
-                        seen.add(digest)
-                        for column, value in zip(out, (number, key, a, b - a, h, digest, snippet if new else None), strict=True):
+                        if new:
+                            if len(seen) >= SEEN_DIGESTS:
+                                seen.clear()
+                            seen.add(digest)
+                        for column, value in zip(out, (number, key, digest, a, b - a, h if new or known is None else None, snippet if new else None), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
 
-    return rows.filter("id IS NOT NULL").mapInArrow(run, "id long, key long, at long, size int, h long, digest binary, snippet binary")
+    return rows.select("id", "text", "key").mapInArrow(run, "id long, key long, digest binary, at long, size int, h long, snippet binary")
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,10 +263,13 @@ def marked(pieces: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, np.ndar
     return piece[hit], place[hit]
 
 
-def _matches(classes: DataFrame) -> DataFrame:
+def _matches(found: DataFrame, classes: DataFrame) -> DataFrame:
     """digest, start: strings within a class's snippet that also occur in a class of a smaller document."""
     sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("a"), F.max("first").alias("b")).filter("n > 1 AND a < b")
-    near = classes.join(sizes.select("h", "n"), "h")
+    sizes = materialise(sizes.select("h", "n"))
+    sizes = broadcast_if_small(sizes, sizes.count(), COPY_ROWS)
+    near = found.filter("snippet IS NOT NULL").select("digest", "h", "snippet").join(sizes, "h")
+    near = near.groupBy("digest").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.first("snippet").alias("snippet")).join(classes.select("digest", "first"), "digest")
     hot = F.col("n") > HOT_CLASSES
     whole = near.filter(~hot).select("h", F.lit(0).alias("salt"), "digest", "first", "snippet", F.lit(0).alias("base"))
     cut = near.filter(hot).withColumn("base", F.explode(F.sequence(F.lit(0), F.octet_length("snippet") - LENGTH)))
@@ -250,25 +302,38 @@ def _matches(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "digest binary, start long")
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """id, key, size: rows whose whole text stands in a row of a smaller id as well."""
+    rows = rows.select("id", "key", F.md5("text").alias("md5"), F.octet_length("text").cast("long").alias("size"))
+    first = rows.groupBy("md5").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    return rows.join(first, "md5").filter("id > first").select("id", "key", "size").distinct()
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, key, spans: for documents that lose bytes, half-open byte ranges (unsorted, overlapping) to remove."""
-    rows = _texts(docs, id_col, text_col)
-    repeated = _met(rows).groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("h")
-    repeated = materialise(repeated)
+    rows = _texts(docs, id_col, text_col).filter("id IS NOT NULL").withColumn("key", F.xxhash64(F.col("text").cast("string")))
+    copies = materialise(_copies(rows))
+    n_copies = copies.count()
+    if n_copies <= COPY_ROWS:
+        rows = rows.join(F.broadcast(copies.select("id", "key")), ["id", "key"], "left_anti")
+    repeated = materialise(_repeated(rows))
     count = repeated.count()
     few = count <= BITMAP_ROWS
     found = _snippets(rows, _bitmap(repeated, count) if few else None)
     if not few:
         found = found.join(repeated, "h", "left_semi")
     found = materialise(found)
-    classes = found.groupBy("digest").agg(F.min("id").alias("first"), F.first("h").alias("h"), F.first("snippet", ignorenulls=True).alias("snippet"))
-    classes = materialise(classes)
-    known = found.select("id", "key", "at", "size", "digest").join(classes.select("digest", "first"), "digest")
-    behind = known.filter("id > first").select("id", "key", F.col("at").alias("a"), (F.col("at") + F.col("size")).alias("b"))
-    matches = _matches(classes).groupBy("digest").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-    leading = known.filter("id = first").join(matches, "digest").select("id", "key", "at", F.explode("starts").alias("start"))
-    leading = leading.select("id", "key", (F.col("at") + F.col("start")).alias("a"), (F.col("at") + F.col("start") + LENGTH).alias("b"))
-    return behind.unionByName(leading).groupBy("id", "key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    classes = materialise(found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("h").alias("h")))
+    matches = materialise(_matches(found, classes).groupBy("digest").agg(F.array_sort(F.collect_set("start")).alias("starts")))
+    told = classes.join(matches, "digest", "left").filter("first < last OR starts IS NOT NULL").select("digest", "first", "starts")
+    known = found.select("digest", "id", "key", "at", "size").join(told, "digest")
+    whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("size")).alias("b")))
+    parts = F.transform("starts", lambda s: F.struct((F.col("at") + s).alias("a"), (F.col("at") + s + LENGTH).alias("b")))
+    spans = known.select("id", "key", F.when(F.col("id") > F.col("first"), whole).otherwise(parts).alias("spans")).filter("spans IS NOT NULL")
+    if n_copies <= COPY_ROWS:
+        full = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")))
+        spans = spans.unionByName(copies.filter(F.col("size") >= LENGTH).select("id", "key", full.alias("spans")))
+    return spans.groupBy("id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
