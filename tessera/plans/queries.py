@@ -873,3 +873,136 @@ def _(spark, d):
     name = f"mix_{uuid.uuid4().hex}"
     I.run_once(I.windowed_class_mix(_landed(spark, d)[1], "ts", "1 day", "2 days", "event_type"), name, "complete", I.scratch(spark, "stream"))
     return spark.table(name).withColumn("start", F.date_format("start", "yyyy-MM-dd"))  # one row a day and event type
+
+
+# ---- files written and read back
+
+MANIFEST_SQL = f"{M} SELECT method, video, domain || '/' || method || '/' || sample_id || '.png' AS path, identity, domain, label FROM m"
+
+
+def _manifest(m: DataFrame) -> DataFrame:
+    path = F.concat(F.concat_ws("/", "domain", "method", F.col("sample_id").cast("string")), F.lit(".png"))
+    return m.select("method", "video", path.alias("path"), "identity", "domain", "label")
+
+
+@query("scan_manifest", MANIFEST_SQL)
+def _(spark, d):
+    folder = I.scratch(spark, "csv")
+    _manifest(samples(spark, d)).write.option("header", "true").csv(folder)
+    return S.scan_manifest(spark, folder)
+
+
+@query("scan_pool", f"{M} SELECT domain || '/' || method || '/' || sample_id || '.png' AS path, CASE WHEN method = 'error' THEN 1 ELSE label END AS label, method FROM m")
+def _(spark, d):
+    folder = I.scratch(spark, "csv")
+    rows = _manifest(samples(spark, d)).select("path", F.when(F.col("method") != "error", F.col("label")).alias("label"), "method")
+    rows.write.option("header", "true").csv(folder)
+    return S.scan_pool(spark, folder)
+
+
+@query("scan_split_csv", f"{M} SELECT CAST(sample_id AS VARCHAR) AS path, label FROM m WHERE method <> 'signup'")
+def _(spark, d):
+    folder = I.scratch(spark, "csv")
+    line = F.when(F.col("method") == "signup", F.col("sample_id").cast("string")).otherwise(F.concat_ws(",", F.col("sample_id").cast("string"), F.col("label").cast("string")))
+    samples(spark, d).select(line.alias("value")).write.text(folder)
+    return S.scan_split(spark, folder, header=False)
+
+
+@query("scan_list_file", f"{M} SELECT label AS flag, 'v/' || video AS path FROM m")
+def _(spark, d):
+    folder = I.scratch(spark, "text")
+    samples(spark, d).select(F.concat(F.lit(" "), F.col("label").cast("string"), F.lit("  v/"), "video").alias("value")).write.text(folder)
+    return S.scan_list(spark.read.text(folder))
+
+
+@query("scan_history", f"{R} SELECT run, epoch, acc FROM r")
+def _(spark, d):
+    folder = I.scratch(spark, "json")
+    runs(spark, d).select("run", "epoch", "acc").write.json(folder)
+    return S.scan_history(spark, folder).select("run", "epoch", "acc")
+
+
+@query("write_split", f"{_split_sql(THREE)} SELECT split, count(*) AS n, sum(label) AS fakes, min(identity) AS first_identity FROM m JOIN s USING (identity) GROUP BY split")
+def _(spark, d):
+    folder = I.scratch(spark, "split")
+    rows = D.split_groups(samples(spark, d), ["identity"], PARTS3)
+    sinks.write_split(rows.withColumn("path", F.col("sample_id").cast("string")), folder, detailed=True)
+    return spark.read.parquet(folder).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("fakes"), F.min("identity").alias("first_identity"))
+
+
+@query("write_method_suites", f"{M}, s AS (SELECT DISTINCT method AS suite FROM m WHERE label = 1) SELECT suite, 'full' AS variant, count(*) AS n FROM m, s WHERE label = 0 OR method = suite GROUP BY suite")
+def _(spark, d):
+    folder = I.scratch(spark, "suites")
+    sinks.write_suites(B.suite_full(samples(spark, d).select("sample_id", "method", "label")).withColumn("variant", F.lit("full")), folder)
+    return spark.read.parquet(folder).groupBy("suite", "variant").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("append_manifest", f"{M} SELECT sample_id, method FROM m WHERE method IN ('real', 'click', 'error')")
+def _(spark, d):
+    folder, m = I.scratch(spark, "manifest"), samples(spark, d).select("sample_id", "method")
+    sinks.append_manifest(m.filter("method IN ('real', 'click')"), folder, "sample_id")
+    sinks.append_manifest(m.filter("method IN ('click', 'error')"), folder, "sample_id")
+    return spark.read.parquet(folder)
+
+
+@query("write_summary", f"{M} SELECT domain, count(*) AS n FROM m GROUP BY domain")
+def _(spark, d):
+    folder = I.scratch(spark, "summary")
+    sinks.write_summary(samples(spark, d).groupBy("domain").agg(F.count(F.lit(1)).alias("n")), folder)
+    return spark.read.json(folder).select("domain", "n")
+
+
+# ---- single expressions
+
+
+@query("label_from_method", f"{M} SELECT sample_id, CASE WHEN sample_id % 10 = 0 THEN 0 ELSE label END AS label, 1 - label AS inverted FROM m")
+def _(spark, d):
+    own = K.label_from_method(F.col("method"), F.when(F.col("sample_id") % 10 == 0, 0))
+    return samples(spark, d).select("sample_id", own.alias("label"), K.label_invert(F.col("label")).alias("inverted"))
+
+
+@query("label_from_name", f"{M} SELECT sample_id, CASE WHEN method = 'real' THEN 0 WHEN method = 'error' THEN 1 END AS label FROM m")
+def _(spark, d):
+    name = F.when(F.col("method") == "error", F.concat(F.lit("FAKE_"), "video")).otherwise(F.concat("method", F.lit("_"), "video"))
+    return samples(spark, d).select("sample_id", K.label_from_name(name).alias("label"))
+
+
+@query("path_rewrite", f"{P} SELECT page_id, CASE WHEN starts_with(url, 'https://m.') THEN 'mobile/' || substr(url, 11) ELSE url END AS new_url FROM p")
+def _(spark, d):
+    return pages(spark, d).select("page_id", K.path_rewrite(F.col("url"), "https://m.", "mobile/").alias("new_url"))
+
+
+@query("path_parts", f"{P} SELECT page_id, list_extract(string_split(path, '/'), -2) AS folder, CASE WHEN list_contains(string_split(path, '/'), 'en') THEN substr(path, strpos(path, '/en/') + 4) END AS tail FROM p WHERE path NOT LIKE '%/en'")
+def _(spark, d):
+    rows = pages(spark, d).filter(~F.col("path").endswith("/en"))
+    return rows.select("page_id", K.path_folder(F.col("path")).alias("folder"), K.path_after(F.col("path"), "en").alias("tail"))
+
+
+@query("safe_ratio", f"{M} SELECT identity, round(sum(label) / greatest(1, count(*) - sum(label)), 8) AS ratio FROM m GROUP BY identity")
+def _(spark, d):
+    rows = samples(spark, d).groupBy("identity").agg(F.sum("label").alias("f"), F.count_if(F.col("label") == 0).alias("r"))
+    return rounded(rows.select("identity", K.safe_ratio(F.col("f"), F.col("r")).alias("ratio")), "ratio")
+
+
+@query("merge_pools", f"{M} SELECT method, label, count(*) AS n FROM m WHERE (label = 0 AND domain <> 'fe') OR (label = 1 AND domain <> 'efs') GROUP BY ALL")
+def _(spark, d):
+    m = samples(spark, d).select("method", "label", "domain")
+    both = m.filter("label = 0 AND domain <> 'fe'").unionByName(m.filter("label = 1 AND domain <> 'efs'"))
+    return both.groupBy("method", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("intersect_except", f"{M}, a AS (SELECT DISTINCT video FROM m WHERE label = 0), b AS (SELECT DISTINCT video FROM m WHERE label = 1) SELECT video, 'both' AS side FROM a WHERE video IN (SELECT video FROM b) UNION ALL SELECT video, 'real_only' FROM a WHERE video NOT IN (SELECT video FROM b)")
+def _(spark, d):
+    m = samples(spark, d)
+    a, b = m.filter("label = 0").select("video"), m.filter("label = 1").select("video")
+    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("real_only")))
+
+
+@query("cumulative_counts", f"{M}, {CUMD} SELECT domain, score, pos, neg, pb AS pos_below, nb AS neg_below, ap AS all_pos, an AS all_neg FROM w")
+def _(spark, d):
+    return A.cumulative(samples(spark, d), "prob", ["domain"])
+
+
+@query("improving_epochs", f"{R}, b AS (SELECT *, max(acc) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM r) SELECT run, epoch, best AS best_before, best IS NULL OR acc > best AS improved FROM b")
+def _(spark, d):
+    return H.improvements(runs(spark, d)).select("run", "epoch", "best_before", "improved")

@@ -32,10 +32,10 @@ def scan_pool(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POOL).option("header", "true").csv(path).withColumn("label", F.coalesce("label", F.lit(1)))
 
 
-def scan_split(spark: SparkSession, path: str) -> DataFrame:
+def scan_split(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """Two-column CSV; rows that don't fit the schema are left out."""
     schema = T.StructType([*SPLIT.fields, T.StructField("_bad", _S)])
-    rows = spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
+    rows = spark.read.schema(schema).option("header", str(header).lower()).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
     return rows.filter(F.col("_bad").isNull() & F.col("path").isNotNull() & F.col("label").isNotNull()).drop("_bad")
 
 
