@@ -99,5 +99,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def license_sql() -> str:
+    """op8 in SQL: phrases by position, templates by their share of distinct words in a line."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    templates = ", ".join(f"('{k}', {quoted(t)}, {licenses._need(t)})" for k, t in licenses._template_words(licenses.TEMPLATES).items())
+    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    words = lambda text: f"list_filter(regexp_split_to_array({text}, '{gap}'), lambda x: x <> '')"
+    places = ", ".join(
+        f"list_filter(range(len(ws)), lambda i: {' AND '.join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(p.split()))}) AS p{n}" for n, p in enumerate(licenses.PHRASES)
+    )
+    every = "list_concat(" * (len(licenses.PHRASES) - 1) + "p0" + "".join(f", p{n})" for n in range(1, len(licenses.PHRASES)))
+    own = " || ".join(f"CASE WHEN len(p{n}) > 0 THEN ['{label}'] ELSE CAST([] AS VARCHAR[]) END" for n, label in enumerate(licenses.PHRASES.values()))
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    w AS (SELECT rid, doc_id, {words("t")} AS ws FROM d), p AS (SELECT rid, doc_id, len(ws) AS n_words, {places} FROM w),
+    b AS (SELECT rid, doc_id, n_words, {every} AS places, {own} AS base FROM p),
+    l AS (SELECT rid, list_distinct({words("line")}) AS lw FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)),
+    v(label, tw, need) AS (VALUES {templates}),
+    h AS (SELECT rid, label, max(len(list_intersect(lw, tw)) / len(tw)) AS share FROM l, v WHERE len(list_intersect(lw, tw)) >= need GROUP BY rid, label),
+    g AS (SELECT rid, list(label) AS more, max(share) AS score FROM h GROUP BY rid)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+    array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, CAST([] AS VARCHAR[]))))), ',') AS labels,
+    coalesce(score, 0.0) AS score FROM b LEFT JOIN g USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_license_join": license_sql()}
