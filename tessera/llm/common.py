@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import cache
@@ -37,6 +38,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished writes now.
+
+    Its cleaner does so only once the driver happens to collect garbage; until then an operator of
+    several written steps would hold the shuffles of all of them on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lower_ascii(col):
     """Lower-case A-Z only; other letters keep their case."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)

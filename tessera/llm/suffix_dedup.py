@@ -24,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, broadcast_if_small, materialise
+from .common import SLICE_ROWS, broadcast_if_small, materialise, release_shuffles
 
 LENGTH = 50
-KMER = 16
+KMER = 24
 #: Minimiser candidates in a string of LENGTH bytes.
 SPAN = LENGTH - KMER + 1
 #: Bytes of snippets that are indexed together.
@@ -37,8 +37,10 @@ HOT_CLASSES = 4096
 #: Repeated minimisers up to which a bitmap of them (at most 2**BITMAP_BITS bits) filters the search;
 #: beyond it they are joined.
 BITMAP_ROWS, BITMAP_BITS = 1 << 25, 28
+#: Documents whose minimisers are packed together.
+PACK_ROWS = 4096
 #: Digests that a task remembers, so as not to send their snippets again.
-SEEN_DIGESTS = 200_000
+SEEN_DIGESTS = 100_000
 #: Exact copies up to which they are told apart by a broadcast and skip the search; beyond it they take part.
 COPY_ROWS = 500_000
 _WORD, _BITS = 7, 9  # symbols of 9 bits in a 63-bit word
@@ -46,9 +48,12 @@ _WORD, _BITS = 7, 9  # symbols of 9 bits in a 63-bit word
 
 def _kmer_hashes(data: np.ndarray) -> np.ndarray:
     eight = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view("<u8").ravel()
-    out = eight[:-8] * np.uint64(0x9E3779B97F4A7C15)
-    out ^= out >> np.uint64(29)
-    out += eight[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    n = len(data) - KMER + 1
+    out = np.zeros(n, np.uint64)
+    for at in range(0, KMER, 8):
+        out += eight[at : at + n]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
     return out
@@ -109,7 +114,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
     width = (1 << 64) // buckets + 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, PACK_ROWS) for b in batches for at in range(0, b.num_rows, PACK_ROWS)):
             found = [minimisers(t.as_py())[1] for t in batch.column(1)]
             ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
             hashes, low, high = _extremes(np.concatenate(found) if found else np.zeros(0, np.uint64), ids, ids)
@@ -158,6 +163,22 @@ def _bitmap(repeated: DataFrame, count: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(len(bitmap) * 64 - 1)
+    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _only_in(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The rows (digest, h, snippet) whose h may be in the bitmap, where they are read."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in_bitmap(shared.value, batch.column(1).to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _snippets(rows: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
     """id, key, digest, at, size of the snippets around repeated minimisers; h and snippet once for each digest and task."""
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
@@ -171,8 +192,7 @@ def _snippets(rows: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
                 for number, text, key in zip(*(c.to_pylist() for c in batch.slice(lo, SLICE_ROWS).columns), strict=True):
                     places, hashes = minimisers(text)
                     if known is not None and len(places):
-                        slot = hashes & np.uint64(len(known) * 64 - 1)
-                        keep = (known[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                        keep = _in_bitmap(known, hashes)
                         places, hashes = places[keep], hashes[keep]
                     starts = np.maximum(places - (SPAN - 1), 0).tolist()
                     ends = np.minimum(places + LENGTH, len(text)).tolist()
@@ -267,8 +287,11 @@ def _matches(found: DataFrame, classes: DataFrame) -> DataFrame:
     """digest, start: strings within a class's snippet that also occur in a class of a smaller document."""
     sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("a"), F.max("first").alias("b")).filter("n > 1 AND a < b")
     sizes = materialise(sizes.select("h", "n"))
-    sizes = broadcast_if_small(sizes, sizes.count(), COPY_ROWS)
-    near = found.filter("snippet IS NOT NULL").select("digest", "h", "snippet").join(sizes, "h")
+    count = sizes.count()
+    near = found.filter("snippet IS NOT NULL").select("digest", "h", "snippet")
+    if count <= BITMAP_ROWS:
+        near = _only_in(near, _bitmap(sizes, count))
+    near = near.join(broadcast_if_small(sizes, count, COPY_ROWS), "h")
     near = near.groupBy("digest").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.first("snippet").alias("snippet")).join(classes.select("digest", "first"), "digest")
     hot = F.col("n") > HOT_CLASSES
     whole = near.filter(~hot).select("h", F.lit(0).alias("salt"), "digest", "first", "snippet", F.lit(0).alias("base"))
@@ -323,8 +346,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if not few:
         found = found.join(repeated, "h", "left_semi")
     found = materialise(found)
+    release_shuffles(rows.sparkSession)
     classes = materialise(found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("h").alias("h")))
     matches = materialise(_matches(found, classes).groupBy("digest").agg(F.array_sort(F.collect_set("start")).alias("starts")))
+    release_shuffles(rows.sparkSession)
     told = classes.join(matches, "digest", "left").filter("first < last OR starts IS NOT NULL").select("digest", "first", "starts")
     known = found.select("digest", "id", "key", "at", "size").join(told, "digest")
     whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("size")).alias("b")))
@@ -359,6 +384,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Characters of which a part was cut go as a whole; null texts stay null.
     """
     spans = materialise(removals(docs, id_col, text_col))
+    release_shuffles(docs.sparkSession)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
@@ -383,6 +409,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nor changed. An empty table gives an empty result.
     """
     spans = materialise(removals(docs, id_col, text_col))
+    release_shuffles(docs.sparkSession)
     rows = _texts(docs, id_col, text_col).withColumn("key", F.xxhash64(F.col("text").cast("string")))
     joined = _with_spans(rows, spans, "id", "text").select("id", "key", "text", "_spans")
     type_ = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
