@@ -2,6 +2,9 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller id.
 
+0. Texts are cut at content-defined places into chunks that overlap by LENGTH - 1 bytes, so that every
+   string lies in a chunk. A chunk that a smaller document holds as well goes as a whole; what is left,
+   the first copy of each chunk, still holds the first copy of every string, and only it goes on.
 1. Every string of LENGTH bytes holds a minimiser: the KMER bytes of least hash among its own. Equal
    strings have equal minimisers at equal places, so only minimisers met in two documents matter.
 2. Around each of those a snippet holds every string that it can be the minimiser of. Equal snippets
@@ -37,6 +40,8 @@ HOT_CLASSES = 4096
 #: Repeated minimisers up to which a bitmap of them (at most 2**BITMAP_BITS bits) filters the search;
 #: beyond it they are joined.
 BITMAP_ROWS, BITMAP_BITS = 1 << 25, 28
+#: One minimiser in so many ends a chunk (a power of two).
+CHUNK_EVERY = 16
 #: Documents whose minimisers are packed together.
 PACK_ROWS = 4096
 #: Digests that a task remembers, so as not to send their snippets again.
@@ -80,6 +85,93 @@ def minimisers(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return places, hashes[places]
 
 
+def chunks(text: bytes) -> list[tuple[int, int]]:
+    """Overlapping ranges of a text; every string of LENGTH bytes lies in one of them."""
+    if len(text) < LENGTH:
+        return []
+    places, hashes = minimisers(text)
+    inner = places[(hashes & np.uint64(CHUNK_EVERY - 1)) == 0]
+    starts = [0, *inner[inner > 0].tolist()]
+    ends = [min(x + LENGTH - 1, len(text)) for x in starts[1:]] + [len(text)]
+    return [(a, b) for a, b in zip(starts, ends, strict=True) if b - a >= LENGTH]
+
+
+def _chunk_rows(rows: DataFrame) -> DataFrame:
+    """id, key, digest, at, size of every chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                out: list[list] = [[], [], [], [], []]
+                for number, text, key in zip(*(c.to_pylist() for c in batch.slice(lo, SLICE_ROWS).columns), strict=True):
+                    for a, b in chunks(text):
+                        for column, value in zip(out, (number, key, xxhash.xxh3_128_digest(text[a:b]), a, b - a), strict=True):
+                            column.append(value)
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["id", "key", "digest", "at", "size"])
+
+    return rows.select("id", "text", "key").mapInArrow(run, "id long, key long, digest binary, at long, size long")
+
+
+def _owner_hash(digest: bytes, number: int) -> int:
+    return xxhash.xxh64_intdigest(digest + number.to_bytes(8, "little", signed=True), 7)
+
+
+class Left:
+    """Which ranges of a document go on: all but chunks that a smaller document holds.
+
+    ``again`` has a bit for each chunk of two documents or more, ``first`` one for each (chunk, first
+    document) among the chunks whose bit in ``again`` is set. So a first copy is never taken for a later
+    one; a false positive only sends a later copy on, where it is found again.
+    """
+
+    def __init__(self, again: np.ndarray, first: np.ndarray):
+        self.again, self.first = again, first
+
+    def ranges(self, number: int, text: bytes) -> list[tuple[int, int]]:
+        all_ = chunks(text)
+        if not all_:
+            return []
+        digests = [xxhash.xxh3_128_digest(text[a:b]) for a, b in all_]
+        stay = ~_in_bitmap(self.again, np.array([int.from_bytes(d[:8], "little") for d in digests], dtype=np.uint64))
+        for i in np.flatnonzero(~stay):
+            stay[i] = _in_bitmap(self.first, np.array([_owner_hash(digests[i], number)], dtype=np.uint64))[0]
+        out: list[tuple[int, int]] = []
+        for (a, b), s in zip(all_, stay, strict=True):
+            if s and out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b)
+            elif s:
+                out.append((a, b))
+        return out
+
+
+def _left(classes: DataFrame) -> Left:
+    """From digest, first, last of every chunk."""
+    schema = pa.schema([("h", pa.int64()), ("o", pa.int64())])
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, first = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            h = np.array([int.from_bytes(d[:8], "little") for d in digests], dtype=np.uint64).view(np.int64)
+            o = np.array([_owner_hash(d, n) for d, n in zip(digests, first, strict=True)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(o)], schema=schema)
+
+    twice = materialise(classes.filter("first < last").select("digest", "first").mapInArrow(hashes, "h long, o long"))
+    again = _bitmap(twice, twice.count())
+    shared = classes.sparkSession.sparkContext.broadcast(again)
+
+    def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in hashes(batches):
+            yield batch.filter(pa.array(_in_bitmap(shared.value, batch.column(0).to_numpy().view(np.uint64)))).select(["o"])
+
+    owned = materialise(classes.select("digest", "first").mapInArrow(owners, "o long").select(F.col("o").alias("h")))
+    return Left(again, _bitmap(owned, owned.count()))
+
+
+def _pieces(left: Left | None, number: int, text: bytes) -> list[tuple[int, bytes]]:
+    return [(0, text)] if left is None else [(a, text[a:b]) for a, b in left.ranges(number, text)]
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"))
@@ -104,20 +196,21 @@ def _extremes(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np
     return hashes[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """h: minimisers of two documents or more.
+def _repeated(rows: DataFrame, left: Left | None) -> DataFrame:
+    """h: minimisers of two documents or more, in the ranges that go on.
 
     Each batch of documents sends its distinct minimisers with their least and largest id, packed by
     range of hashes, so that a minimiser of very many documents is one entry a batch.
     """
     buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = (1 << 64) // buckets + 1
+    shared = rows.sparkSession.sparkContext.broadcast(left)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, PACK_ROWS) for b in batches for at in range(0, b.num_rows, PACK_ROWS)):
-            found = [minimisers(t.as_py())[1] for t in batch.column(1)]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
-            hashes, low, high = _extremes(np.concatenate(found) if found else np.zeros(0, np.uint64), ids, ids)
+            found = [[minimisers(t)[1] for _, t in _pieces(shared.value, n, text.as_py())] for n, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            ids = np.repeat(batch.column(0).to_numpy(), [sum(map(len, x)) for x in found])
+            hashes, low, high = _extremes(np.concatenate([y for x in found for y in x] or [np.zeros(0, np.uint64)]), ids, ids)
             edges = np.searchsorted(hashes, np.array([min(i * width, (1 << 64) - 1) for i in range(1, buckets)], dtype=np.uint64))
             cuts = [0, *edges.tolist(), len(hashes)]
             full = [(i, x, y) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
@@ -179,33 +272,34 @@ def _only_in(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _snippets(rows: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
+def _snippets(rows: DataFrame, left: Left | None, bitmap: np.ndarray | None) -> DataFrame:
     """id, key, digest, at, size of the snippets around repeated minimisers; h and snippet once for each digest and task."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    shared = rows.sparkSession.sparkContext.broadcast((left, bitmap))
     schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("digest", pa.binary()), ("at", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("snippet", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = shared.value, set()
+        (left, known), seen = shared.value, set()
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):
                 out: list[list] = [[] for _ in schema]
                 for number, text, key in zip(*(c.to_pylist() for c in batch.slice(lo, SLICE_ROWS).columns), strict=True):
-                    places, hashes = minimisers(text)
-                    if known is not None and len(places):
-                        keep = _in_bitmap(known, hashes)
-                        places, hashes = places[keep], hashes[keep]
-                    starts = np.maximum(places - (SPAN - 1), 0).tolist()
-                    ends = np.minimum(places + LENGTH, len(text)).tolist()
-                    for a, b, h in zip(starts, ends, hashes.view(np.int64).tolist(), strict=True):
-                        snippet = text[a:b]
-                        digest = xxhash.xxh3_128_digest(snippet)
-                        new = digest not in seen
-                        if new:
-                            if len(seen) >= SEEN_DIGESTS:
-                                seen.clear()
-                            seen.add(digest)
-                        for column, value in zip(out, (number, key, digest, a, b - a, h if new or known is None else None, snippet if new else None), strict=True):
-                            column.append(value)
+                    for base, piece in _pieces(left, number, text):
+                        places, hashes = minimisers(piece)
+                        if known is not None and len(places):
+                            keep = _in_bitmap(known, hashes)
+                            places, hashes = places[keep], hashes[keep]
+                        starts = np.maximum(places - (SPAN - 1), 0).tolist()
+                        ends = np.minimum(places + LENGTH, len(piece)).tolist()
+                        for a, b, h in zip(starts, ends, hashes.view(np.int64).tolist(), strict=True):
+                            snippet = piece[a:b]
+                            digest = xxhash.xxh3_128_digest(snippet)
+                            new = digest not in seen
+                            if new:
+                                if len(seen) >= SEEN_DIGESTS:
+                                    seen.clear()
+                                seen.add(digest)
+                            for column, value in zip(out, (number, key, digest, base + a, b - a, h if new or known is None else None, snippet if new else None), strict=True):
+                                column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
 
     return rows.select("id", "text", "key").mapInArrow(run, "id long, key long, digest binary, at long, size int, h long, snippet binary")
@@ -339,10 +433,18 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n_copies = copies.count()
     if n_copies <= COPY_ROWS:
         rows = rows.join(F.broadcast(copies.select("id", "key")), ["id", "key"], "left_anti")
-    repeated = materialise(_repeated(rows))
+    cut = materialise(_chunk_rows(rows))
+    copied = materialise(cut.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")))
+    release_shuffles(rows.sparkSession)
+    left = _left(copied)
+    later = cut.join(copied.filter("first < last").select("digest", "first"), "digest").filter("id > first")
+    whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("size")).alias("b")))
+    later = materialise(later.select("id", "key", whole.alias("spans")))
+    release_shuffles(rows.sparkSession)
+    repeated = materialise(_repeated(rows, left))
     count = repeated.count()
     few = count <= BITMAP_ROWS
-    found = _snippets(rows, _bitmap(repeated, count) if few else None)
+    found = _snippets(rows, left, _bitmap(repeated, count) if few else None)
     if not few:
         found = found.join(repeated, "h", "left_semi")
     found = materialise(found)
@@ -352,9 +454,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     release_shuffles(rows.sparkSession)
     told = classes.join(matches, "digest", "left").filter("first < last OR starts IS NOT NULL").select("digest", "first", "starts")
     known = found.select("digest", "id", "key", "at", "size").join(told, "digest")
-    whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("size")).alias("b")))
     parts = F.transform("starts", lambda s: F.struct((F.col("at") + s).alias("a"), (F.col("at") + s + LENGTH).alias("b")))
-    spans = known.select("id", "key", F.when(F.col("id") > F.col("first"), whole).otherwise(parts).alias("spans")).filter("spans IS NOT NULL")
+    spans = known.select("id", "key", F.when(F.col("id") > F.col("first"), whole).otherwise(parts).alias("spans")).filter("spans IS NOT NULL").unionByName(later)
     if n_copies <= COPY_ROWS:
         full = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")))
         spans = spans.unionByName(copies.filter(F.col("size") >= LENGTH).select("id", "key", full.alias("spans")))
