@@ -26,7 +26,7 @@ SAMPLE_DOCS = 1200
 #: Contexts of three and more bytes keep a successor only if it was seen this often.
 LEAST_SEEN = 2
 #: Bytes scored at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 UNDETERMINED = "und"
 _PAD = b" " * ORDER
 

@@ -242,7 +242,8 @@ def _repeated(rows: DataFrame, left: Left | None) -> DataFrame:
             yield flush()
 
     sent = rows.select("id", "text").mapInArrow(send, "bucket int, hashes binary, low binary, spread binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "h long")
+    # A number of partitions of its own: merged small partitions would become one large batch of rows.
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "h long")
 
 
 def _bitmap(repeated: DataFrame, count: int) -> np.ndarray:
