@@ -16,10 +16,6 @@ from .common import broadcast_if_small, materialise
 from .quality import let
 
 WINDOW = 8
-#: Windows of a document start every STRIDE words in the candidate search; those of items at every word.
-#: So each run of WINDOW + STRIDE - 1 shared words is met, and a pair without such a run shares less
-#: than 3 in 11 of the item's windows, below SHARE.
-STRIDE = 4
 #: Least share of an item's windows that a document must hold.
 SHARE = 0.5
 #: Least words (not placeholders) in a window.
@@ -98,10 +94,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
 
-    searched = rows.select("key", _tokens(F.col("text")).alias("tokens"))
-    last = F.size("tokens") - WINDOW + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(STRIDE)))
-    searched = searched.select("key", F.explode(F.transform(starts, lambda i: _window(F.col("tokens"), i))).alias("hash"))
+    # Every word starts a window, in documents as in items, so each shared window makes its pair a candidate.
+    searched = rows.select("key", F.explode(F.array_distinct(let(_tokens(F.col("text")), _all_windows))).alias("hash"))
     pairs = materialise(searched.join(known, "hash").select("key", "item").distinct())
     n_pairs = pairs.count()
 

@@ -304,6 +304,20 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find(empty, bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_meets_every_alignment(spark):
+    items = {
+        1: "seven grey herons stood beside the frozen pond",  # one window
+        2: "seven grey herons stood beside the frozen pond at dawn",
+        3: "from 3 to 5 and 7 or 9 we go 4 by 6 with 8 men",  # every other window has too few literals
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    counts = {r["item"]: r["n"] for r in decontaminate.items_table(bench).select("item", F.size("windows").alias("n")).collect()}
+    assert counts[1] == 1 and counts[2] == 3 and counts[3] == 4
+    rows = [(10 * i + pad, "pad " * pad + t, None, None, None) for i, t in items.items() for pad in range(8)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(spark.createDataFrame(rows, SCHEMA), bench).collect()}
+    assert {(10 * i + pad, i) for i in items for pad in range(8)} <= got
+
+
 def test_decontamination_finds_planted_passages(spark):
     rows, bench = table(spark, "documents"), table(spark, "benchmark")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(rows, bench).collect()}
