@@ -2,9 +2,11 @@
 
 Numbers, the units behind them and names become typed placeholders, all other words are lower-cased.
 Windows of WINDOW placeholders and words are joined by hash between documents and benchmark items. For
-every document and item that share a window, all windows of the item are then checked, and the values
+every document and item that share a window, all places of the item's windows are then checked, and the values
 in the placeholders must agree: equal values in the item stand for equal values in the document and the
 other way round. So a question whose numbers or names were exchanged consistently is found as well.
+Places are judged by alignment (start in the document minus start in the item), so another variant of
+the template in the same document does not hide a copy.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ WINDOW = 8
 SHARE = 0.5
 #: Least words (not placeholders) in a window.
 LITERALS = 5
+#: Words by which alignments may differ within one copy (words put in or left out).
+SLIDE = 8
 #: Rows up to which the items' windows, or the pairs found, are broadcast; beyond it Spark shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -70,21 +74,21 @@ def _all_windows(tokens: Column) -> Column:
 
 
 def items_table(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, values (words with placeholder values), windows (hash, start) that have LITERALS words."""
+    """item, version (of its text), values (words with placeholder values), windows (hash, start) that have LITERALS words."""
     rows = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).distinct()
     rows = rows.withColumn("values", _values(F.col("text")))
     rows = rows.withColumn("tokens", F.transform("values", _canonical))
     literal = lambda start: F.size(F.filter(F.slice("tokens", start, WINDOW), lambda t: ~t.isin(NUMBER, UNIT, NAME))) >= LITERALS
     windows = F.transform(_all_windows(F.col("tokens")), lambda h, i: F.struct(h.alias("hash"), (i + 1).alias("start")))
     rows = rows.withColumn("windows", F.filter(windows, lambda w: literal(w["start"])))
-    return rows.filter(F.size("windows") > 0).select("item", "values", "windows")
+    return rows.filter(F.size("windows") > 0).select("item", F.xxhash64("text").alias("version"), "values", "windows")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark item it contains; documents without one are absent.
 
     Columns: ``id_col``, ``item_col``, n_windows (of the item), n_matched, share, exact (no placeholder
-    differs), key (hash of id and text). Null and empty texts match nothing; items of fewer than WINDOW
+    differs), key (hash of id and text); of several copies the one with most matches, an exact one first. Null and empty texts match nothing; items of fewer than WINDOW
     words, or of placeholders mostly, give no evidence and match nothing; repeated rows give one row.
     """
     items = materialise(items_table(benchmark, item_col, bench_text_col))
@@ -103,27 +107,50 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     near = near.join(broadcast_if_small(items, items.count(), BROADCAST_ROWS // 20), "item")
     near = near.withColumn("own", _values(F.col("text")))
 
-    def met(own_windows: Column) -> Column:
-        return F.transform("windows", lambda w: F.struct(w["start"].alias("a"), F.array_position(own_windows, w["hash"]).cast("int").alias("b")))
+    hashes = F.col("windows.hash")
 
-    places = let(F.transform("own", _canonical), lambda tokens: let(_all_windows(tokens), met))
-    near = near.withColumn("places", F.filter(places, lambda p: p["b"] > 0))
+    def met(own_windows: Column) -> Column:
+        own = F.transform(own_windows, lambda h, i: F.struct(h.alias("hash"), (i + 1).alias("b")))
+        own = F.filter(own, lambda o: F.array_contains(hashes, o["hash"]))
+        same = lambda o: F.filter("windows", lambda w: w["hash"] == o["hash"])
+        return F.flatten(F.transform(own, lambda o: F.transform(same(o), lambda w: F.struct(w["start"].alias("a"), o["b"].alias("b")))))
+
+    near = near.withColumn("places", let(F.transform("own", _canonical), lambda tokens: let(_all_windows(tokens), met)))
+    near = near.withColumn("n_windows", F.size("windows").cast("long")).drop("text", "windows")
+    # Written first: a filter on this column would be pushed down and repeat what it is made of.
+    near = materialise(near)
+    enough = lambda n: n / F.col("n_windows") >= SHARE
+    near = near.filter(enough(F.size(F.array_distinct("places.a"))))
+
+    # A copy is sought at each alignment alone, in alignments at most SLIDE apart, and in the first places of the document.
+    pair = ["key", "item", "version"]
+    each = near.select(*pair, "n_windows", F.inline("places"))
+    shift = F.col("b") - F.col("a")
+    group = lambda reach, at: F.struct(F.lit(reach).alias("reach"), at.alias("at"))
+    slid = F.transform(F.sequence(F.lit(0), F.lit(SLIDE)), lambda k: group(SLIDE, shift - k))
+    each = each.withColumn("group", F.explode(F.concat(F.array(group(-1, F.lit(0)), group(0, shift)), slid)))
+    each = each.groupBy(*pair, "n_windows", "group").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("met"))
+    first = lambda met: F.filter(met, lambda p, i: F.coalesce(F.get(met, i - 1)["a"] != p["a"], F.lit(True)))
+    each = each.withColumn("met", let(F.col("met"), first)).filter(enough(F.size("met"))).drop("n_windows")
+    tried = near.drop("places").join(each, pair)
 
     def at(p: Column, k: Column) -> Column:
         return F.struct(F.get("values", p["a"] + k - 1).alias("a"), F.get("own", p["b"] + k - 1).alias("b"))
 
-    slots = F.flatten(F.transform("places", lambda p: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: at(p, k))))
+    slots = F.flatten(F.transform("met", lambda p: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: at(p, k))))
     slots = F.array_distinct(F.filter(slots, lambda s: F.substring(s["a"], 1, 1).isin(NUMBER, UNIT, NAME)))
-    near = near.withColumn("slots", slots)
+    tried = tried.withColumn("slots", slots)
     one_to_one = (F.size(F.array_distinct("slots.a")) == F.size("slots")) & (F.size(F.array_distinct("slots.b")) == F.size("slots"))
-    out = near.select(
-        F.col("id").alias(id_col), F.col("item").alias(item_col),
-        F.size("windows").cast("long").alias("n_windows"), F.size("places").cast("long").alias("n_matched"),
-        (F.size("places") / F.size("windows")).alias("share"),
-        F.forall("slots", lambda s: s["a"] == s["b"]).alias("exact"), one_to_one.alias("consistent"), "key",
+    tried = tried.select(
+        "id", *pair, "n_windows", F.size("met").cast("long").alias("n_matched"),
+        F.forall("slots", lambda s: s["a"] == s["b"]).alias("exact"), one_to_one.alias("consistent"),
+    )
+    passed = materialise(tried).filter("consistent")
+    best = passed.groupBy("id", *pair, "n_windows").agg(F.max(F.struct("n_matched", "exact")).alias("best"))
+    return best.select(
+        F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "best.n_matched",
+        (F.col("best.n_matched") / F.col("n_windows")).alias("share"), "best.exact", "key",
     )
-    # Written first: a filter on these columns would be pushed down and repeat what they are made of.
-    return materialise(out).filter((F.col("share") >= SHARE) & F.col("consistent")).drop("consistent")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -318,6 +318,21 @@ def test_decontamination_meets_every_alignment(spark):
     assert {(10 * i + pad, i) for i in items for pad in range(8)} <= got
 
 
+def test_decontamination_finds_a_copy_behind_a_variant(spark):
+    question = "we know that Alice buys 12 apples and pays 5 dollars for each one in the market before she sells 3 of them to Bob"
+    clash = question.replace("Alice", "Carol").replace("12", "5").replace("Bob", "Carol")
+    changed = question.replace("Alice", "Carol").replace("12", "17").replace("5 dollars", "9 euros").replace("Bob", "Dave")
+    opening = "we know that Alice buys 12 apples and pays 7 dollars for each one at home."
+    longer = question.replace("in the market", "in the very old market")
+    texts = [f"{clash}. {question}", f"{opening} {question}", f"{changed}. {question}", f"{clash}. {changed}", f"{clash}. {longer}", longer, clash, f"{clash}. {clash}", f"{question}. {clash}"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    bench = spark.createDataFrame([(7, question)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_matched"], r["exact"]) for r in decontaminate.find(spark.createDataFrame(rows, SCHEMA), bench).collect()}
+    n = decontaminate.items_table(bench).select(F.size("windows")).first()[0]
+    assert {i: got[i] for i in (0, 1, 2, 3, 8)} == {0: (n, True), 1: (n, True), 2: (n, True), 3: (n, False), 8: (n, True)}
+    assert got[4] == got[5] and got[5][1] and not {6, 7} & set(got)
+
+
 def test_decontamination_finds_planted_passages(spark):
     rows, bench = table(spark, "documents"), table(spark, "benchmark")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(rows, bench).collect()}
