@@ -1,6 +1,8 @@
 """License scan: exact set-similarity join of text blocks with license templates, without Python code.
 
-A block is a line. A template applies to a block that holds at least CONTAINMENT of the template's
+A block is a line, or a run of words across line breaks, for notices that are wrapped: for a template of n
+words those are windows of 2n words, one every n / 2 words, so a notice spread over 1.5n words is whole in
+one of them. A template applies to a block that holds at least CONTAINMENT of the template's
 distinct words. Words are ordered by their frequency over all documents, rarest first: a block that
 meets the threshold must hold one of the template's first |T| - need + 1 words (prefix filter), must
 have at least ``need`` words (length filter), and the words from the first common one on must suffice
@@ -55,6 +57,13 @@ def _template_words(templates: dict[str, str]) -> dict[str, list[str]]:
     return {k: list(dict.fromkeys(w for w in re.split(_GAP, v.lower()) if w)) for k, v in templates.items()}
 
 
+def _span(template: str) -> int:
+    """Words of a template, repeated ones included."""
+    import re
+
+    return sum(1 for w in re.split(_GAP, template.lower()) if w)
+
+
 def _need(words: list[str]) -> int:
     return ceil(CONTAINMENT * len(words) - 1e-9)
 
@@ -68,6 +77,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     threshold, else 0. Null and empty texts have no words; label columns are then empty strings.
     Repeated rows and null ids are kept row by row.
     """
+    spans = {k: _span(v) for k, v in (TEMPLATES if templates is None else templates).items()}
     templates = _template_words(TEMPLATES if templates is None else templates)
     phrases = PHRASES if phrases is None else phrases
     known = F.array(*(F.lit(w) for w in sorted({w for t in templates.values() for w in t})))
@@ -104,16 +114,24 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     order = sorted({w for t in templates.values() for w in t}, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     ranked = {k: sorted(t, key=rank.__getitem__) for k, t in templates.items()}
-    prefixes = [(w, k, i, len(t), _need(t)) for k, t in ranked.items() for i, w in enumerate(t[: len(t) - _need(t) + 1])]
+    prefixes = [(w, k, i, len(t), _need(t), spans[k]) for k, t in ranked.items() for i, w in enumerate(t[: len(t) - _need(t) + 1])]
     spark = docs.sparkSession
-    prefix = F.broadcast(spark.createDataFrame(prefixes, "word string, label string, t_at int, t_size int, need int"))
+    prefix = F.broadcast(spark.createDataFrame(prefixes, "word string, label string, t_at int, t_size int, need int, span int"))
     whole = F.broadcast(spark.createDataFrame(list(ranked.items()), "label string, t_words array<string>"))
 
-    blocks = rows.filter("text IS NOT NULL").select("row", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    blocks = blocks.select("row", "block", F.array_distinct(_words(_spaced(F.col("line")))).alias("all_words"))
+    block = lambda span, at: F.struct(span.alias("span"), at.alias("at"))
+    texts = rows.filter("text IS NOT NULL")
+    lines = texts.select("row", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.select("row", block(F.lit(0), F.col("at")).alias("block"), F.array_distinct(_words(_spaced(F.col("line")))).alias("all_words"))
+    sizes = F.array(*(F.lit(n) for n in sorted({n for n in spans.values() if n}))).cast("array<int>")
+    wrapped = texts.filter(F.col("text").contains("\n")).select("row", _words(_spaced(F.col("text"))).alias("every"))
+    wrapped = wrapped.filter(F.size("every") > 0).select("row", "every", F.explode(sizes).alias("span"))
+    wrapped = wrapped.select("row", "every", "span", F.explode(F.expr("sequence(0, size(every) - 1, (span + 1) div 2)")).alias("at"))
+    wrapped = wrapped.select("row", block(F.col("span"), F.col("at")).alias("block"), F.array_distinct(F.slice("every", F.col("at") + 1, F.col("span") * 2)).alias("all_words"))
+    blocks = lines.unionByName(wrapped)
     blocks = blocks.select("row", "block", F.size("all_words").alias("b_size"), F.array_intersect(F.array(*map(F.lit, order)), "all_words").alias("own"))
     common = blocks.select("row", "block", "b_size", "own", F.posexplode("own").alias("b_at", "word")).join(prefix, "word")
-    common = common.filter("b_size >= need")
+    common = common.filter("b_size >= need AND block.span IN (0, span)")
     first = common.groupBy("row", "block", "label", "t_size", "need").agg(F.min(F.struct("b_at", "t_at")).alias("at"), F.first("own").alias("own"))
     possible = first.filter(1 + F.least(F.col("t_size") - F.col("at.t_at") - 1, F.size("own") - F.col("at.b_at") - 1) >= F.col("need"))
     verified = possible.join(whole, "label").withColumn("share", F.size(F.array_intersect("own", "t_words")) / F.col("t_size"))

@@ -274,6 +274,19 @@ def test_license_scan(docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("width", [20, 30, 45, 70])
+def test_license_scan_finds_wrapped_notices(spark, width):
+    import textwrap
+
+    notice = lambda text: "\n".join(" * " + x for x in textwrap.wrap(text, width))
+    rows = [(i, "some code\n" * (3 * i) + notice("Copyright someone. " + t) + "\nmore code", None, None, None) for i, t in enumerate(licenses.TEMPLATES.values())]
+    rows.append((99, "all of it\n" + "other words\n" * 40 + "rights\n" + "other words\n" * 40 + "reserved", None, None, None))
+    got = {r["doc_id"]: (r["labels"].split(","), r["score"]) for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, k in enumerate(licenses.TEMPLATES):
+        assert k in got[i][0] and got[i][1] == 1.0, k
+    assert got[99] == ([""], 0.0)
+
+
 def test_license_join_equals_brute_force(spark):
     templates = licenses._template_words(licenses.TEMPLATES)
     rng, rows = np.random.default_rng(5), []
