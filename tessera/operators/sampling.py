@@ -123,19 +123,30 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return counts.select(label, "n", (total / (classes * F.col("n"))).alias("weight"), ((total - F.col("n")) / total).alias("other_share"))
 
 
-def weighted_resample(df: DataFrame, key: str, weight: Column, seed: int = 42, most: int = 64) -> DataFrame:
+def weighted_resample(df: DataFrame, key: str, weight: Column, seed: int = 42, part: float = 32.0) -> DataFrame:
     """Rows drawn with replacement: each is repeated a Poisson number of times with mean ``weight``.
 
-    The number comes from the row's hash by inverting the distribution, up to ``most``; the expected
-    size is the sum of the weights.
+    The number comes from the row's hash by inverting the distribution; weights above ``part`` are the sum
+    of draws of equal means up to ``part``, each with a hash of its own, so exp() never underflows. The
+    expected size is the sum of the weights, whatever their size.
     """
-    u = uniform(seed, key)
-    steps = F.aggregate(
-        F.sequence(F.lit(1), F.lit(most)),
-        F.struct(F.exp(-weight).alias("p"), F.exp(-weight).alias("c"), F.when(u >= F.exp(-weight), 1).otherwise(0).alias("n")),
-        lambda a, i: F.struct((a["p"] * weight / i).alias("p"), (a["c"] + a["p"] * weight / i).alias("c"), (a["n"] + F.when(u >= a["c"] + a["p"] * weight / i, 1).otherwise(0)).alias("n")),
-    )
-    return df.withColumn("copies", steps["n"]).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    parts = F.greatest(F.lit(1), F.ceil(weight / part)).cast("int")
+    mean = (weight / parts).cast("double")
+    most = F.ceil(mean + 10 * F.sqrt(mean) + 20).cast("int")
+
+    def drawn(u: Column) -> Column:
+        p = F.exp(-mean)
+        start = F.struct(p.alias("p"), p.alias("c"), F.when(u >= p, 1).otherwise(0).alias("n"), u.alias("u"))
+
+        def step(a: Column, i: Column) -> Column:
+            p = a["p"] * mean / i
+            return F.struct(p.alias("p"), (a["c"] + p).alias("c"), (a["n"] + F.when(a["u"] >= a["c"] + p, 1).otherwise(0)).alias("n"), a["u"].alias("u"))
+
+        return F.aggregate(F.sequence(F.lit(1), most), start, step)["n"]
+
+    draws = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: drawn(F.when(k == 0, uniform(seed, key)).otherwise(uniform(seed, key, k.cast("string")))))
+    copies = F.aggregate(draws, F.lit(0), lambda a, n: a + n)
+    return df.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
 
 
 def oversample(df: DataFrame, weights: DataFrame, by: str) -> DataFrame:

@@ -59,6 +59,13 @@ def test_weighted_resample_has_the_expected_size(rows):
     assert abs(n - 900) < 150
 
 
+@pytest.mark.parametrize("weight", [100.0, 2000.0])
+def test_weighted_resample_does_not_cut_large_weights(spark, weight):
+    few = spark.range(30).withColumnRenamed("id", "k")
+    n = [r["n"] for r in sampling.weighted_resample(few, "k", F.lit(weight)).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(n) == 30 and abs(sum(n) - 30 * weight) < 5 * (30 * weight) ** 0.5 and max(n) > weight > min(n)
+
+
 def brute_auc(y, p):
     pos, neg = p[y == 1], p[y == 0]
     return np.mean((pos[:, None] > neg[None, :]) + 0.5 * (pos[:, None] == neg[None, :]))
