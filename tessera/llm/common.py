@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from functools import cache
@@ -31,21 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark deletes a query's shuffle files at its end, instead of when the driver happens to collect garbage.
+RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished writes now.
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Its cleaner does so only once the driver happens to collect garbage; until then an operator of
-    several written steps would hold the shuffles of all of them on the executors' disks.
+    What was shuffled for it is not needed any more once it is written, so its files go at once.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    path, conf = shared_dir(df.sparkSession), df.sparkSession.conf
+    before = conf.get(RELEASE_SHUFFLES, "false")
+    conf.set(RELEASE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(RELEASE_SHUFFLES, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lower_ascii(col):

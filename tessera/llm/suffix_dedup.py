@@ -1,18 +1,23 @@
-"""Removal of long repeats by run-length Burrows-Wheeler indexes over content-defined blocks.
+"""Removal of long repeats by run-length indexes over content-defined blocks.
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller id.
 
-0. Texts are cut at content-defined places into chunks that overlap by LENGTH - 1 bytes, so that every
-   string lies in a chunk. A chunk that a smaller document holds as well goes as a whole; what is left,
-   the first copy of each chunk, still holds the first copy of every string, and only it goes on.
-1. Every string of LENGTH bytes holds a minimiser: the KMER bytes of least hash among its own. Equal
-   strings have equal minimisers at equal places, so only minimisers met in two documents matter.
-2. Around each of those a snippet holds every string that it can be the minimiser of. Equal snippets
-   are one class with the least document id among them; members behind that id lose the whole snippet.
-3. The classes of a minimiser meet in one block of text. Its suffix array's Burrows-Wheeler transform is
-   run-compressed; the longest match of a suffix with its predecessor is measured at the runs' heads
-   only and is one byte shorter at each following position of the text until the next head. Streaming
-   these matches over the array joins equal strings, and those with a smaller id elsewhere are marked.
+1. Every string of LENGTH bytes has an anchor: the KMER bytes of least hash among its own, the first of
+   them in a tie. Equal strings have equal anchors, so only strings whose anchor stands in two documents
+   can repeat. The strings in a row with one anchor make a piece of LENGTH to LENGTH + SPAN - 1 bytes.
+   Batches of rows exchange the hashes of their anchors, packed by range of hashes, and each is told
+   which of its own stand elsewhere as well. This is a filter only.
+2. Each batch sends its distinct pieces with such anchors, with the least id that holds them, to the block
+   of the anchor. An anchor of more than HOT_PIECES documents would gather them in one block: its pieces
+   are cut into single strings, and each string has an anchor and a block of its own.
+3. In a block the first piece (least id) of each anchor goes into a run-length index (``RunIndex``).
+   The other pieces are streamed against it; a matching statistic of LENGTH or more marks a string as
+   one that a smaller id holds. Strings that no first piece holds are indexed together, and the places of
+   equal ones are found from the samples at the heads of the runs.
+4. Each batch gets the marks of its pieces and cuts the bytes that they cover.
+
+Nothing is broadcast, every message is bounded by a batch's or a block's own text, and no message is
+addressed to a text, a passage or an id.
 """
 
 from __future__ import annotations
@@ -21,516 +26,485 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, broadcast_if_small, materialise, release_shuffles
+from .common import materialise
+from .run_index import FINISH, FIRST, STOP, RunIndex
 
 LENGTH = 50
 KMER = 24
-#: Minimiser candidates in a string of LENGTH bytes.
+#: Anchor candidates in a string of LENGTH bytes, and so the most strings in a piece.
 SPAN = LENGTH - KMER + 1
-#: Bytes of snippets that are indexed together.
-BLOCK_BYTES = 1 << 20
-#: A minimiser with more classes than this is dealt out by the strings themselves.
-HOT_CLASSES = 4096
-#: Repeated minimisers up to which a bitmap of them (at most 2**BITMAP_BITS bits) filters the search;
-#: beyond it they are joined.
-BITMAP_ROWS, BITMAP_BITS = 1 << 25, 28
-#: One minimiser in so many ends a chunk (a power of two).
-CHUNK_EVERY = 16
-#: Documents whose minimisers are packed together.
-PACK_ROWS = 4096
-#: Digests that a task remembers, so as not to send their snippets again.
-SEEN_DIGESTS = 100_000
-#: Exact copies up to which they are told apart by a broadcast and skip the search; beyond it they take part.
-COPY_ROWS = 500_000
-_WORD, _BITS = 7, 9  # symbols of 9 bits in a 63-bit word
+#: Rows of a batch are two to the power of this.
+BATCH_BITS = 9
+#: String starts that are searched for anchors at once; their numbers must fit in 16 bits.
+SEGMENT = (1 << 16) - 2 * LENGTH
+#: Bytes of text whose anchors meet in one range of hashes, bytes of pieces in a block, bytes indexed together.
+RANGE_BYTES, BLOCK_BYTES, INDEX_BYTES = 1 << 23, 1 << 22, 1 << 19
+#: Anchors of more documents than this are cut into their strings.
+HOT_PIECES = 1 << 14
+#: Partitions of an exchange between batches and blocks; each takes several blocks one after another.
+MOST_PARTITIONS = 20_000
+_HASH_BITS = 48
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_MASK16 = np.uint64(0xFFFF)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def _kmer_hashes(data: np.ndarray) -> np.ndarray:
-    eight = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view("<u8").ravel()
     n = len(data) - KMER + 1
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
     out = np.zeros(n, np.uint64)
     for at in range(0, KMER, 8):
         out += eight[at : at + n]
-        out *= np.uint64(0x9E3779B97F4A7C15)
+        out *= _MULTIPLIER
         out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return out
+    return _mixed(out)
 
 
-def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
-    out, have = values, 1
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    have = 1
     while have < width:
         step = min(have, width - have)
-        out = best(out[:-step], out[step:])
+        values = np.minimum(values[:-step], values[step:])
         have += step
-    return out
-
-
-def minimisers(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the least-hash KMER bytes of any string of LENGTH bytes; ties all count."""
-    if len(text) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = _kmer_hashes(np.frombuffer(text, dtype=np.uint8))
-    least = _sliding(hashes, SPAN, np.minimum)
-    pad = np.zeros(SPAN - 1, np.uint64)
-    most = _sliding(np.concatenate([pad, least, pad]), SPAN, np.maximum)
-    places = np.flatnonzero(most == hashes)
-    return places, hashes[places]
-
-
-def chunks(text: bytes) -> list[tuple[int, int]]:
-    """Overlapping ranges of a text; every string of LENGTH bytes lies in one of them."""
-    if len(text) < LENGTH:
-        return []
-    places, hashes = minimisers(text)
-    inner = places[(hashes & np.uint64(CHUNK_EVERY - 1)) == 0]
-    starts = [0, *inner[inner > 0].tolist()]
-    ends = [min(x + LENGTH - 1, len(text)) for x in starts[1:]] + [len(text)]
-    return [(a, b) for a, b in zip(starts, ends, strict=True) if b - a >= LENGTH]
-
-
-def _chunk_rows(rows: DataFrame) -> DataFrame:
-    """id, key, digest, at, size of every chunk."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                out: list[list] = [[], [], [], [], []]
-                for number, text, key in zip(*(c.to_pylist() for c in batch.slice(lo, SLICE_ROWS).columns), strict=True):
-                    for a, b in chunks(text):
-                        for column, value in zip(out, (number, key, xxhash.xxh3_128_digest(text[a:b]), a, b - a), strict=True):
-                            column.append(value)
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["id", "key", "digest", "at", "size"])
-
-    return rows.select("id", "text", "key").mapInArrow(run, "id long, key long, digest binary, at long, size long")
+    return values
 
 
-def _owner_hash(digest: bytes, number: int) -> int:
-    return xxhash.xxh64_intdigest(digest + number.to_bytes(8, "little", signed=True), 7)
+def pieces(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """start, number of strings, anchor (48 bits) and digest (64 bits) of the pieces of concatenated texts.
 
-
-class Left:
-    """Which ranges of a document go on: all but chunks that a smaller document holds.
-
-    ``again`` has a bit for each chunk of two documents or more, ``first`` one for each (chunk, first
-    document) among the chunks whose bit in ``again`` is set. So a first copy is never taken for a later
-    one; a false positive only sends a later copy on, where it is found again.
+    ``ends`` are the ends of the texts in ``data``. A piece is the longest run of strings of LENGTH bytes
+    with one anchor; at the borders of the segments that are searched at once it may be cut in two.
     """
+    found = []
+    for lo in range(0, len(data) - LENGTH + 1, SEGMENT):
+        part = data[lo : lo + SEGMENT + LENGTH - 1]
+        n = len(part) - LENGTH + 1
+        hashes = _kmer_hashes(part)
+        marked = (hashes & ~_MASK16) | np.arange(len(hashes), dtype=np.uint64)
+        anchor = _least(marked, SPAN)[:n]
+        near = ends[np.searchsorted(ends, lo, side="right") : np.searchsorted(ends, lo + n + LENGTH)] - lo
+        over = np.zeros(n + 1, np.int32)
+        np.add.at(over, np.clip(near - LENGTH + 1, 0, n), 1)
+        np.add.at(over, np.clip(near, 0, n), -1)
+        label = np.where(np.cumsum(over[:n]) > 0, np.int64(-1), (anchor & _MASK16).astype(np.int64))
+        starts = np.flatnonzero(np.diff(label, prepend=-2) != 0)
+        count = np.diff(starts, append=n)
+        inside = label[starts] >= 0
+        starts, count = starts[inside], count[inside]
+        found.append((lo + starts, count, anchor[starts] >> np.uint64(16), _digests(hashes, starts, count)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _digests(hashes: np.ndarray, starts: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """64 bits of each piece, from the hashes of KMER bytes that cover it."""
+    last = starts + count - 1 + LENGTH - KMER
+    out = count.astype(np.uint64)
+    for at in (starts, starts + KMER, np.minimum(starts + 2 * KMER, last), last):
+        out = _mixed((out ^ hashes[at]) * _MULTIPLIER)
+    return out
 
-    def __init__(self, again: np.ndarray, first: np.ndarray):
-        self.again, self.first = again, first
-
-    def ranges(self, number: int, text: bytes) -> list[tuple[int, int]]:
-        all_ = chunks(text)
-        if not all_:
-            return []
-        digests = [xxhash.xxh3_128_digest(text[a:b]) for a, b in all_]
-        stay = ~_in_bitmap(self.again, np.array([int.from_bytes(d[:8], "little") for d in digests], dtype=np.uint64))
-        for i in np.flatnonzero(~stay):
-            stay[i] = _in_bitmap(self.first, np.array([_owner_hash(digests[i], number)], dtype=np.uint64))[0]
-        out: list[tuple[int, int]] = []
-        for (a, b), s in zip(all_, stay, strict=True):
-            if s and out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], b)
-            elif s:
-                out.append((a, b))
-        return out
-
-
-def _left(classes: DataFrame) -> Left:
-    """From digest, first, last of every chunk."""
-    schema = pa.schema([("h", pa.int64()), ("o", pa.int64())])
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests, first = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            h = np.array([int.from_bytes(d[:8], "little") for d in digests], dtype=np.uint64).view(np.int64)
-            o = np.array([_owner_hash(d, n) for d, n in zip(digests, first, strict=True)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(o)], schema=schema)
+def _planes(values: np.ndarray, width: int = 8) -> bytes:
+    """The ``width`` low bytes of numbers, byte place by byte place, so that equal high bytes compress."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-    twice = materialise(classes.filter("first < last").select("digest", "first").mapInArrow(hashes, "h long, o long"))
-    again = _bitmap(twice, twice.count())
-    shared = classes.sparkSession.sparkContext.broadcast(again)
 
-    def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in hashes(batches):
-            yield batch.filter(pa.array(_in_bitmap(shared.value, batch.column(0).to_numpy().view(np.uint64)))).select(["o"])
+def _numbers(data: bytes, width: int = 8) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
 
-    owned = materialise(classes.select("digest", "first").mapInArrow(owners, "o long").select(F.col("o").alias("h")))
-    return Left(again, _bitmap(owned, owned.count()))
 
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column's bytes one after another, and the ends of its texts in them."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
+    edges = np.frombuffer(column.buffers()[1], np.int32 if pa.types.is_binary(column.type) else np.int64)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return (data[edges[0] : edges[-1]], edges[1:] - edges[0]) if len(column) else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
 
-def _pieces(left: Left | None, number: int, text: bytes) -> list[tuple[int, bytes]]:
-    return [(0, text)] if left is None else [(a, text[a:b]) for a, b in left.ranges(number, text)]
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs``, written: batch, seq (in the batch), size in bytes, id, text, nothing (it was null), c0, c1, ... for the other columns."""
+    number = F.monotonically_increasing_id()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(number.alias("number"), F.col(id_col).cast("long").alias("id"), text.alias("text"), F.col(text_col).isNull().alias("nothing"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col))
+    batch, seq = F.shiftright("number", BATCH_BITS), F.col("number").bitwiseAND((1 << BATCH_BITS) - 1).cast("int")
+    return materialise(rows.select(batch.alias("batch"), seq.alias("seq"), F.octet_length("text").cast("long").alias("size"), *rows.columns[1:]))
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"))
 
+def _ranges(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that ascending keys fall into, and the places where each of these begins and ends."""
+    bucket = (((keys >> np.uint64(_HASH_BITS - 32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=n_buckets))
+    return bucket[edges[:-1]], edges
 
-def _planes(values: np.ndarray) -> bytes:
-    """Eight-byte numbers, byte place by byte place, so that equal high bytes compress."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
 
+def _n_buckets(size: int | None, each: int) -> int:
+    return int(min((size or 0) // each + 1, (1 << 31) - 1))
 
-def _numbers(data: bytes, dtype: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(dtype).ravel()
 
+def _in_order(df: DataFrame, n_buckets: int) -> DataFrame:
+    """Rows of a bucket together in one partition, whose buckets follow each other."""
+    parts = min(n_buckets, MOST_PARTITIONS)
+    return df.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
 
-def _extremes(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes in order, with the least ``low`` and the largest ``high`` of each."""
-    order = np.argsort(hashes, kind="stable")
-    hashes = hashes[order]
-    first = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]) != 0)
-    if not len(first):
-        return hashes, low, high
-    return hashes[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[-1]["bucket"] != row["bucket"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-def _repeated(rows: DataFrame, left: Left | None) -> DataFrame:
-    """h: minimisers of two documents or more, in the ranges that go on.
 
-    Each batch of documents sends its distinct minimisers with their least and largest id, packed by
-    range of hashes, so that a minimiser of very many documents is one entry a batch.
-    """
-    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = (1 << 64) // buckets + 1
-    shared = rows.sparkSession.sparkContext.broadcast(left)
+def _heard(rows: DataFrame, hot_pieces: int) -> DataFrame:
+    """batch, keys, hot, n: for each batch its anchors that stand in two documents, and which of them are hot; n rows in all documents."""
+    n_buckets = _n_buckets(rows.agg(F.sum("size")).first()[0], RANGE_BYTES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, PACK_ROWS) for b in batches for at in range(0, b.num_rows, PACK_ROWS)):
-            found = [[minimisers(t)[1] for _, t in _pieces(shared.value, n, text.as_py())] for n, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
-            ids = np.repeat(batch.column(0).to_numpy(), [sum(map(len, x)) for x in found])
-            hashes, low, high = _extremes(np.concatenate([y for x in found for y in x] or [np.zeros(0, np.uint64)]), ids, ids)
-            edges = np.searchsorted(hashes, np.array([min(i * width, (1 << 64) - 1) for i in range(1, buckets)], dtype=np.uint64))
-            cuts = [0, *edges.tolist(), len(hashes)]
-            full = [(i, x, y) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": pa.array([i for i, _, _ in full], pa.int32()),
-                    "hashes": pa.array([_planes(hashes[x:y]) for _, x, y in full], pa.binary()),
-                    "low": pa.array([_planes(low[x:y]) for _, x, y in full], pa.binary()),
-                    "spread": pa.array([_planes(high[x:y] - low[x:y]) for _, x, y in full], pa.binary()),
-                }
-            )
+        for whole in batches:
+            numbers = whole.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)] if len(numbers) else []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                data, ends = _texts(whole.column(1).slice(lo, hi - lo))
+                start, _, key, _ = pieces(data, ends)
+                both = np.unique((key << np.uint64(16)) | np.searchsorted(ends, start, side="right").astype(np.uint64))
+                keys, docs = np.unique(both >> np.uint64(16), return_counts=True)
+                if len(keys):
+                    bucket, edges = _ranges(keys, n_buckets)
+                    parts = list(zip(edges[:-1], edges[1:], strict=True))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "batch": pa.array(np.full(len(bucket), numbers[lo])),
+                            "bucket": pa.array(bucket.astype(np.int32)),
+                            "keys": pa.array([_planes(np.diff(keys[a:b], prepend=np.uint64(0)), 6) for a, b in parts], pa.binary()),
+                            "docs": pa.array([_planes(docs[a:b], 2) for a, b in parts], pa.binary()),
+                        }
+                    )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
-
-        def flush() -> pa.RecordBatch:
-            hashes, low, high = _extremes(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array(hashes[low < high].view(np.int64))], names=["h"])
-
-        for batch in batches:
-            for number, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if number != bucket and held:
-                    yield flush()
-                    held = []
-                low = _numbers(data[1], "<i8")
-                held.append((_numbers(data[0], "<u8"), low, low + _numbers(data[2], "<i8")))
-                bucket = number
-        if held:
-            yield flush()
-
-    sent = rows.select("id", "text").mapInArrow(send, "bucket int, hashes binary, low binary, spread binary")
-    # A number of partitions of its own: merged small partitions would become one large batch of rows.
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "h long")
-
-
-def _bitmap(repeated: DataFrame, count: int) -> np.ndarray:
-    """Bits of the repeated minimisers' hashes; bounded by BITMAP_BITS, false positives only cost time."""
-    bits = min(BITMAP_BITS, max(16, int(count * 64).bit_length()))
-    slot = F.col("h").bitwiseAND((1 << bits) - 1)
-    words = repeated.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
-def _in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes & np.uint64(len(bitmap) * 64 - 1)
-    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
-
-def _only_in(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """The rows (digest, h, snippet) whose h may be in the bitmap, where they are read."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_in_bitmap(shared.value, batch.column(1).to_numpy().view(np.uint64))))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
-def _snippets(rows: DataFrame, left: Left | None, bitmap: np.ndarray | None) -> DataFrame:
-    """id, key, digest, at, size of the snippets around repeated minimisers; h and snippet once for each digest and task."""
-    shared = rows.sparkSession.sparkContext.broadcast((left, bitmap))
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("digest", pa.binary()), ("at", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("snippet", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (left, known), seen = shared.value, set()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                out: list[list] = [[] for _ in schema]
-                for number, text, key in zip(*(c.to_pylist() for c in batch.slice(lo, SLICE_ROWS).columns), strict=True):
-                    for base, piece in _pieces(left, number, text):
-                        places, hashes = minimisers(piece)
-                        if known is not None and len(places):
-                            keep = _in_bitmap(known, hashes)
-                            places, hashes = places[keep], hashes[keep]
-                        starts = np.maximum(places - (SPAN - 1), 0).tolist()
-                        ends = np.minimum(places + LENGTH, len(piece)).tolist()
-                        for a, b, h in zip(starts, ends, hashes.view(np.int64).tolist(), strict=True):
-                            snippet = piece[a:b]
-                            digest = xxhash.xxh3_128_digest(snippet)
-                            new = digest not in seen
-                            if new:
-                                if len(seen) >= SEEN_DIGESTS:
-                                    seen.clear()
-                                seen.add(digest)
-                            for column, value in zip(out, (number, key, digest, base + a, b - a, h if new or known is None else None, snippet if new else None), strict=True):
-                                column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
-
-    return rows.select("id", "text", "key").mapInArrow(run, "id long, key long, digest binary, at long, size int, h long, snippet binary")
-
-
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array by prefix doubling, and the packed words of _WORD symbols at each place."""
-    n = len(text)
-    padded = np.concatenate([text.astype(np.uint64), np.zeros(_WORD, np.uint64)])
-    words = np.zeros(n, np.uint64)
-    for k in range(_WORD):
-        words = (words << np.uint64(_BITS)) | padded[k : n + k]
-    rank, have = np.unique(words, return_inverse=True)[1].astype(np.int64), _WORD
-    while rank.max(initial=0) + 1 < n:
-        later = np.full(n, -1, np.int64)
-        later[: n - have] = rank[have:] if have < n else 0
-        rank = np.unique(rank * (n + 1) + later + 1, return_inverse=True)[1].astype(np.int64)
-        have *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
-    return order, words
-
-
-def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the longest common prefix of the suffixes at a and b (different places), exactly."""
-    n, out = len(words), np.zeros(len(a), np.int64)
-    todo = np.arange(len(a))
-    while len(todo):
-        x, y = a[todo] + out[todo], b[todo] + out[todo]
-        inside = (x < n) & (y < n)
-        todo, x, y = todo[inside], x[inside], y[inside]
-        differ = words[x] ^ words[y]
-        same = differ == 0
-        room = np.minimum(n - x, n - y)
-        step = np.full(len(todo), _WORD)
-        for k in range(_WORD):
-            first = ~same & (differ >> np.uint64(_BITS * (_WORD - 1 - k)) != 0) & (step == _WORD)
-            step[first] = k
-        out[todo] += np.minimum(step, room)
-        todo = todo[same & (room > _WORD)]
+        for held in _by_bucket(batches):
+            each = [np.cumsum(_numbers(r["keys"], 6)) for r in held]
+            all_keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
+            docs = np.bincount(inverse, np.concatenate([_numbers(r["docs"], 2) for r in held]), len(all_keys))
+            out, at = [], 0
+            for row, keys in zip(held, each, strict=True):
+                total = docs[inverse[at : at + len(keys)]]
+                at += len(keys)
+                again = total > 1
+                if again.any():
+                    out.append((row["batch"], keys[again].tobytes(), np.packbits(total[again] > hot_pieces).tobytes(), int(_numbers(row["docs"], 2)[again].sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["batch", "keys", "hot", "n"])
+
+    sent = rows.select("batch", "text").mapInArrow(send, "batch long, bucket int, keys binary, docs binary")
+    return materialise(_in_order(sent, n_buckets).mapInArrow(meet, "batch long, keys binary, hot binary, n long"))
+
+
+def _cut(data: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, digest: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The pieces, those that are hot as single strings with the digest of the string as their key."""
+    if not hot.any():
+        return start, count, key, digest
+    places = np.repeat(start[hot], count[hot]) + _along(count[hot])
+    ones = np.ones(len(places), np.int64)
+    out = []
+    for lo in range(0, len(places), SEGMENT):
+        strings = data[places[lo : lo + SEGMENT, None] + np.arange(LENGTH)].ravel()
+        out.append(_digests(_kmer_hashes(strings), np.arange(len(strings) // LENGTH) * LENGTH, ones[lo : lo + SEGMENT]))
+    own = np.concatenate(out)
+    cold = ~hot
+    return tuple(np.concatenate([x[cold], y]) for x, y in ((start, places), (count, ones), (key, own >> np.uint64(64 - _HASH_BITS)), (digest, own)))
+
+
+def _along(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each count, one after another."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _sent(rows: DataFrame, heard: DataFrame, n_buckets: int) -> DataFrame:
+    """What each batch sends to each block (bucket >= 0), and what it notes for itself (bucket -1).
+
+    To a block: keys, owners (least id, above ``base``), places (in the batch's text) and counts of the
+    batch's distinct pieces, and their text. For itself: places and counts of strings that a smaller id of
+    the same batch holds; keys and owners are then places of a piece and of another one of the same id that is equal.
+    """
+    schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("text", pa.binary())])
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("seq").combine_chunks()
+        if not right.num_rows or not left.num_rows:
+            return schema.empty_table()
+        data, ends = _texts(left.column("text"))
+        ids = left.column("id").to_numpy()
+        start, count, key, digest = pieces(data, ends)
+        known = np.concatenate([np.frombuffer(x, "<u8") for x in right.column("keys").to_pylist()])
+        hot = np.concatenate([np.unpackbits(np.frombuffer(h, np.uint8), count=len(k) // 8) for k, h in zip(right.column("keys").to_pylist(), right.column("hot").to_pylist(), strict=True)])
+        by = np.argsort(known)
+        known, hot = known[by], hot[by]
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        near = known[at] == key
+        start, count, key, digest = _cut(data, start[near], count[near], key[near], digest[near], hot[at[near]] == 1)
+        own = ids[np.searchsorted(ends, start, side="right")]
+        # Equal pieces: the first place of the least id goes out; a larger id is settled here.
+        by = np.lexsort((start, own, digest))
+        start, count, key, digest, own = (x[by] for x in (start, count, key, digest, own))
+        first = np.flatnonzero(np.diff(digest, prepend=~digest[:1]) != 0)
+        least = np.repeat(first, np.diff(first, append=len(digest)))
+        later, alias = own > own[least], (own == own[least]) & (np.arange(len(own)) != least)
+        hits = np.zeros(len(data) + 1, np.int32)
+        np.add.at(hits, start[later], 1)
+        np.add.at(hits, start[later] + count[later], -1)
+        edges = np.flatnonzero(np.diff(np.cumsum(hits) > 0, prepend=False))
+        out = [{"batch": left.column("batch")[0].as_py(), "bucket": -1, "base": 0, "places": edges[::2].tobytes(), "counts": (edges[1::2] - edges[::2]).tobytes(), "keys": start[least[alias]].tobytes(), "owners": start[alias].tobytes(), "text": None}]
+        by = first[np.argsort(key[first], kind="stable")]
+        bucket, edges = _ranges(key[by], n_buckets)
+        base = int(ids.min())
+        for b, lo, hi in zip(bucket.tolist(), edges[:-1], edges[1:], strict=True):
+            k = by[lo:hi]
+            size = count[k] + LENGTH - 1
+            text = data[np.repeat(start[k], size) + _along(size)]
+            more = {"keys": _planes(np.diff(key[k], prepend=np.uint64(0)), 6), "owners": _planes(own[k] - base), "places": _planes(start[k], 6), "counts": _planes(count[k], 1), "text": text.tobytes()}
+            out.append({"batch": out[0]["batch"], "bucket": b, "base": base} | more)
+        return pa.Table.from_pylist(out, schema)
+
+    texts = rows.select("batch", "seq", "id", "text")
+    told = texts.groupBy("batch").cogroup(heard.select("batch", "keys", "hot").groupBy("batch"))
+    return materialise(told.applyInArrow(send, "batch long, bucket int, base long, keys binary, owners binary, places binary, counts binary, text binary"))
+
+
+def _joined(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the strings, each followed by STOP, with FINISH behind the last, and the strings' ends in them."""
+    ends = np.cumsum(size + 1) - 1
+    out = np.full(int(ends[-1]) + 2 if len(ends) else 1, STOP, np.uint16)
+    out[-1] = FINISH
+    out[np.repeat(ends - size, size) + _along(size)] = text[np.repeat(start, size) + _along(size)].astype(np.uint16) + FIRST
+    return out, ends
+
+
+def _blocks(group: np.ndarray, size: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of ascending groups, cut between groups as soon as a slice has ``most`` bytes."""
+    lo, total = 0, np.cumsum(size)
+    edges = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
+    while lo < len(group):
+        hi = edges[np.searchsorted(edges, np.searchsorted(total, (total[lo - 1] if lo else 0) + most) + 1).clip(max=len(edges) - 1)]
+        yield slice(lo, int(hi))
+        lo = int(hi)
+
+
+def marked(key: np.ndarray, owner: np.ndarray, text: np.ndarray, count: np.ndarray, index_bytes: int) -> np.ndarray:
+    """For each piece a mask of its strings (bit i: the i-th) that also stand in a piece of a smaller owner.
+
+    Pieces lie in ``text`` one after another; equal strings are in pieces with equal keys.
+    """
+    size = count + LENGTH - 1
+    start = np.cumsum(size) - size
+    # Distinct pieces, in order of key, digest and owner; each is indexed or streamed once, for its least owner.
+    weights = np.random.default_rng(7).integers(0, 1 << 63, LENGTH + SPAN, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
+    digest = np.add.reduceat((text.astype(np.uint64) + np.uint64(1)) * weights[_along(size)], start) if len(size) else np.zeros(0, np.uint64)
+    by = np.lexsort((owner, digest, key))
+    new = (np.diff(key[by], prepend=~key[by[:1]]) != 0) | (np.diff(digest[by], prepend=~digest[by[:1]]) != 0)
+    first = by[np.flatnonzero(new)]
+    own = first[np.cumsum(new) - 1]  # of by, the first piece that is equal
+    full = (np.uint32(1) << count.astype(np.uint32)) - np.uint32(1)
+    # Of each key with several distinct pieces: the one with the least owner, and the others.
+    some = first[np.lexsort((owner[first], key[first]))]
+    leads = np.diff(key[some], prepend=~key[some[:1]]) != 0
+    several = np.bincount(np.cumsum(leads) - 1, minlength=1)[np.cumsum(leads) - 1] > 1
+    some, leads = some[several], leads[several]
+    group = np.cumsum(leads)
+    settled, smaller = np.zeros(len(key), np.uint32), np.zeros(len(key), np.uint32)
+    for block in _blocks(group, size[some], 2 * index_bytes):
+        head, rest = some[block][leads[block]], some[block][~leads[block]]
+        indexed, ends = _joined(text, start[head], size[head])
+        index = RunIndex(indexed)
+        streamed, rest_ends = _joined(text, start[rest], size[rest])
+        for which, back, place in index.matches(streamed, rest_ends, size[rest], LENGTH):
+            hit = rest[which]
+            bit = np.uint32(1) << (size[hit] - back).astype(np.uint32)
+            settled[hit] |= bit
+            smaller[hit] |= np.where(owner[head[np.searchsorted(ends, place, side="right")]] < owner[hit], bit, np.uint32(0))
+    # What no first piece holds: runs of strings, indexed together where their key has two or more.
+    rest = some[~leads]
+    left = (full[rest] & ~settled[rest])[:, None] >> np.arange(SPAN + 1, dtype=np.uint32) & np.uint32(1)
+    step = np.diff(left.astype(np.int8), axis=1, prepend=0)
+    which, at = np.nonzero(step == 1)
+    length = np.nonzero(step == -1)[1] - at
+    part = rest[which]
+    grouped = np.unique(key[part], return_inverse=True)[1]
+    again = np.bincount(grouped, minlength=1)[grouped] > 1
+    part, at, length = part[again], at[again], length[again]
+    for block in _blocks(grouped[again], length + LENGTH - 1, index_bytes):
+        piece, shift, n = part[block], at[block], length[block]
+        indexed, ends = _joined(text, start[piece] + shift, n + LENGTH - 1)
+        place, same = RunIndex(indexed).classes(LENGTH)
+        which = np.searchsorted(ends, place, side="right")
+        inside = which < len(piece)
+        place, same, which = place[inside], same[inside], which[inside]
+        inside = ends[which] - place >= LENGTH
+        place, same, which = place[inside], same[inside], which[inside]
+        holder = owner[piece[which]]
+        least = np.full(len(indexed), np.iinfo(np.int64).max)
+        np.minimum.at(least, same, holder)
+        hit = least[same] < holder
+        bit = np.uint32(1) << (shift[which] + place - (ends[which] - n[which] - LENGTH + 1))[hit].astype(np.uint32)
+        np.bitwise_or.at(smaller, piece[which[hit]], bit)
+    out = np.zeros(len(key), np.uint32)
+    out[by] = np.where(owner[by] > owner[own], full[by], smaller[own])
     return out
 
 
-def marked(pieces: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, start) of the strings of LENGTH bytes that also occur in a piece of a smaller owner."""
-    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-    text = np.zeros(int(sizes.sum()) + len(pieces), np.uint16)
-    ends = np.cumsum(sizes + 1)
-    starts = ends - sizes - 1
-    inside = np.ones(len(text), bool)
-    inside[ends - 1] = False
-    text[inside] = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.uint16) + 1
-    order, words = suffix_array(text)
-    # The transform, its runs, and the sampled suffixes at their heads (the very first suffix is one).
-    before = np.where(order > 0, text[order - 1].astype(np.int32), -1)
-    heads = np.flatnonzero(np.diff(before, prepend=-2) != 0)
-    heads = heads[heads > 0] if len(heads) and heads[0] == 0 else heads
-    sampled = order[heads]
-    length = np.zeros(len(text), np.int64)
-    length[sampled] = _common(words, sampled, order[heads - 1])
-    is_sample = np.zeros(len(text), bool)
-    is_sample[sampled] = True
-    is_sample[order[0]] = True
-    nearest = np.maximum.accumulate(np.where(is_sample, np.arange(len(text)), 0))
-    match = length[nearest] - (np.arange(len(text)) - nearest)
-    new = match[order] < LENGTH
-    new[0] = True
-    owner = np.repeat(owners, sizes + 1)
-    least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
-    hit = np.zeros(len(text), bool)
-    hit[order] = least[np.cumsum(new) - 1] < owner[order]
-    piece = np.repeat(np.arange(len(pieces)), sizes + 1)
-    place = np.arange(len(text)) - starts[piece]
-    hit &= place + LENGTH <= sizes[piece]
-    return piece[hit], place[hit]
-
-
-def _matches(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """digest, start: strings within a class's snippet that also occur in a class of a smaller document."""
-    sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("a"), F.max("first").alias("b")).filter("n > 1 AND a < b")
-    sizes = materialise(sizes.select("h", "n"))
-    count = sizes.count()
-    near = found.filter("snippet IS NOT NULL").select("digest", "h", "snippet")
-    if count <= BITMAP_ROWS:
-        near = _only_in(near, _bitmap(sizes, count))
-    near = near.join(broadcast_if_small(sizes, count, COPY_ROWS), "h")
-    near = near.groupBy("digest").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.first("snippet").alias("snippet")).join(classes.select("digest", "first"), "digest")
-    hot = F.col("n") > HOT_CLASSES
-    whole = near.filter(~hot).select("h", F.lit(0).alias("salt"), "digest", "first", "snippet", F.lit(0).alias("base"))
-    cut = near.filter(hot).withColumn("base", F.explode(F.sequence(F.lit(0), F.octet_length("snippet") - LENGTH)))
-    cut = cut.withColumn("piece", F.expr(f"substring(snippet, base + 1, {LENGTH})"))
-    cut = cut.select("h", F.pmod(F.xxhash64("piece"), F.ceil(F.col("n") / 256)).cast("int").alias("salt"), "digest", "first", F.col("piece").alias("snippet"), "base")
-    dealt = whole.unionByName(cut).repartition("h", "salt").sortWithinPartitions("h", "salt")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
-
-        def flush() -> pa.RecordBatch:
-            piece, place = marked([x[1] for x in held], np.array([x[2] for x in held], dtype=np.int64))
-            digest = pa.array([x[0] for x in held], pa.binary()).take(pa.array(piece))
-            base = np.array([x[3] for x in held], dtype=np.int64)
-            return pa.RecordBatch.from_arrays([digest, pa.array(base[piece] + place)], names=["digest", "start"])
-
-        for batch in batches:
-            h, salt, *rest = (batch.column(i).to_pylist() for i in (0, 1, 2, 4, 3, 5))
-            for group, row in zip(zip(h, salt, strict=True), zip(*rest, strict=True), strict=True):
-                if size >= BLOCK_BYTES and group != last:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[1])
-                last = group
-        if held:
-            yield flush()
-
-    return dealt.mapInArrow(run, "digest binary, start long")
-
-
-def _copies(rows: DataFrame) -> DataFrame:
-    """id, key, size: rows whose whole text stands in a row of a smaller id as well."""
-    rows = rows.select("id", "key", F.md5("text").alias("md5"), F.octet_length("text").cast("long").alias("size"))
-    first = rows.groupBy("md5").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    return rows.join(first, "md5").filter("id > first").select("id", "key", "size").distinct()
-
-
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, key, spans: for documents that lose bytes, half-open byte ranges (unsorted, overlapping) to remove."""
-    rows = _texts(docs, id_col, text_col).filter("id IS NOT NULL").withColumn("key", F.xxhash64(F.col("text").cast("string")))
-    copies = materialise(_copies(rows))
-    n_copies = copies.count()
-    if n_copies <= COPY_ROWS:
-        rows = rows.join(F.broadcast(copies.select("id", "key")), ["id", "key"], "left_anti")
-    cut = materialise(_chunk_rows(rows))
-    copied = materialise(cut.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")))
-    release_shuffles(rows.sparkSession)
-    left = _left(copied)
-    later = cut.join(copied.filter("first < last").select("digest", "first"), "digest").filter("id > first")
-    whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("size")).alias("b")))
-    later = materialise(later.select("id", "key", whole.alias("spans")))
-    release_shuffles(rows.sparkSession)
-    repeated = materialise(_repeated(rows, left))
-    count = repeated.count()
-    few = count <= BITMAP_ROWS
-    found = _snippets(rows, left, _bitmap(repeated, count) if few else None)
-    if not few:
-        found = found.join(repeated, "h", "left_semi")
-    found = materialise(found)
-    release_shuffles(rows.sparkSession)
-    classes = materialise(found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("h").alias("h")))
-    matches = materialise(_matches(found, classes).groupBy("digest").agg(F.array_sort(F.collect_set("start")).alias("starts")))
-    release_shuffles(rows.sparkSession)
-    told = classes.join(matches, "digest", "left").filter("first < last OR starts IS NOT NULL").select("digest", "first", "starts")
-    known = found.select("digest", "id", "key", "at", "size").join(told, "digest")
-    parts = F.transform("starts", lambda s: F.struct((F.col("at") + s).alias("a"), (F.col("at") + s + LENGTH).alias("b")))
-    spans = known.select("id", "key", F.when(F.col("id") > F.col("first"), whole).otherwise(parts).alias("spans")).filter("spans IS NOT NULL").unionByName(later)
-    if n_copies <= COPY_ROWS:
-        full = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")))
-        spans = spans.unionByName(copies.filter(F.col("size") >= LENGTH).select("id", "key", full.alias("spans")))
-    return spans.groupBy("id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-
-
-def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+def _told(sent: DataFrame, n_buckets: int, index_bytes: int) -> DataFrame:
+    """batch, places, masks: the pieces of each batch with strings that a smaller id holds."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_bucket(batches):
+            key = np.concatenate([np.cumsum(_numbers(r["keys"], 6)) for r in held])
+            owner = np.concatenate([_numbers(r["owners"]).view(np.int64) + r["base"] for r in held])
+            count = np.concatenate([_numbers(r["counts"], 1) for r in held]).astype(np.int64)
+            text = np.frombuffer(b"".join(r["text"] for r in held), np.uint8)
+            mask = marked(key, owner, text, count, index_bytes)
+            ends = np.cumsum([len(r["counts"]) for r in held])
+            out: list[list] = [[], [], []]
+            for row, own in zip(held, np.split(mask, ends[:-1]), strict=True):
+                if own.any():
+                    for column, value in zip(out, (row["batch"], _numbers(row["places"], 6)[own > 0].tobytes(), own[own > 0].tobytes()), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["batch", "places", "masks"])
+
+    to_blocks = _in_order(sent.filter("bucket >= 0"), n_buckets)
+    return materialise(to_blocks.mapInArrow(settle, "batch long, places binary, masks binary"))
+
+
+def _notes(docs: DataFrame, id_col: str, text_col: str, hot_pieces: int, block_bytes: int, index_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The numbered rows, and all that was found for each batch of them."""
+    rows = _numbered(docs, id_col, text_col)
+    known = rows.filter("id IS NOT NULL")
+    heard = _heard(known, hot_pieces)
+    n_buckets = _n_buckets((heard.agg(F.sum("n")).first()[0] or 0) * (LENGTH + SPAN // 2), block_bytes)
+    sent = _sent(known, heard, n_buckets)
+    told = _told(sent, n_buckets, index_bytes)
+    local = sent.filter("bucket < 0").select("batch", "places", "counts", "keys", "owners", F.lit(None).cast("binary").alias("masks"))
+    return rows, local.unionByName(told, allowMissingColumns=True)
+
+
+def _covered(notes: pa.Table, size: int) -> np.ndarray | None:
+    """Which of a batch's bytes go."""
+    if not notes.num_rows:
+        return None
+    hit = np.zeros(size + 2 * LENGTH, bool)
+    masks, alias = [], []
+    for row in notes.to_pylist():
+        places = np.frombuffer(row["places"], np.int64)
+        if row["masks"] is None:
+            count = np.frombuffer(row["counts"], np.int64)
+            hit[np.repeat(places, count) + _along(count)] = True
+            alias.append((np.frombuffer(row["keys"], np.int64), np.frombuffer(row["owners"], np.int64)))
         else:
-            out.append((a, b))
+            masks.append((places, np.frombuffer(row["masks"], np.uint32)))
+    if masks:
+        places, mask = (np.concatenate(x) for x in zip(*masks, strict=True))
+        by = np.argsort(places)
+        places, mask = places[by], mask[by]
+        for one, other in alias:
+            at = np.minimum(np.searchsorted(places, one), len(places) - 1)
+            same = places[at] == one
+            masks.append((other[same], mask[at[same]]))
+        places, mask = (np.concatenate(x) for x in zip(*masks, strict=True))
+        for i in range(SPAN):
+            hit[places[mask >> np.uint32(i) & np.uint32(1) == 1] + i] = True
+    starts = np.flatnonzero(hit)
+    if not len(starts):
+        return None
+    change = np.zeros(size + 2 * LENGTH, np.int32)
+    change[starts] += 1
+    change[starts + LENGTH] -= 1
+    return np.cumsum(change)[:size] > 0
+
+
+def _spans(rows: pa.Table, notes: pa.Table) -> list[tuple[bytes, np.ndarray]]:
+    """text and the edges of its removed runs (start, end, start, ...) of every row, in order of ``seq``."""
+    known = rows.filter(rows.column("id").is_valid())
+    data, ends = _texts(known.column("text"))
+    gone = _covered(notes, len(data)) if known.num_rows else None
+    out, at, none = [], 0, np.zeros(0, np.int64)
+    for id_, text in zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), strict=True):
+        edges = none
+        if id_ is not None:
+            own = None if gone is None else gone[at : at + len(text)]
+            at += len(text)
+            if own is not None and own.any():
+                edges = np.flatnonzero(np.diff(own, prepend=False, append=False))
+        out.append((text, edges))
     return out
 
 
-def _with_spans(rows: DataFrame, spans: DataFrame, id_: str, text: str) -> DataFrame:
-    """``rows`` with the column _spans of their removals, null where nothing goes."""
-    spans = spans.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    key = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return rows.join(spans, (F.col(id_) == F.col("_id")) & (key == F.col("_key")), "left").drop("_id", "_key")
+def _kept(text: bytes, edges: np.ndarray) -> list[bytes]:
+    all_ = [0, *edges.tolist(), len(text)]
+    return [text[a:b] for a, b in zip(all_[::2], all_[1::2], strict=True)]
 
 
-def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_pieces: int = HOT_PIECES, block_bytes: int = BLOCK_BYTES, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``docs`` with all its columns and rows, the repeats cut out of the text.
 
-    Characters of which a part was cut go as a whole; null texts stay null.
+    Characters of which a part was cut go as a whole; null texts stay null. Rows without an id are
+    neither sources nor changed; rows that repeat an id are no sources for each other. Other columns,
+    whatever their names, stay as they are. Texts of any length are searched in segments. An empty
+    table gives an empty result.
     """
-    spans = materialise(removals(docs, id_col, text_col))
-    release_shuffles(docs.sparkSession)
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        def one(t, a, b):
-            data = t.encode("utf-8", "replace")
-            edges = [0, *(x for r in _merged([{"a": int(x), "b": int(y)} for x, y in zip(a, b, strict=True)]) for x in r), len(data)]
-            return b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore")
+    rows, notes = _notes(docs, id_col, text_col, hot_pieces, block_bytes, index_bytes)
+    names = [f"c{i}" for i, c in enumerate(docs.columns) if c != text_col]
 
-        return pd.Series([t if a is None else one(t, a, b) for t, a, b in zip(text, starts, ends, strict=True)])
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("seq").combine_chunks()
+        new = [b"".join(p.decode("utf-8", "ignore").encode() for p in _kept(t, e)) if len(e) else t for t, e in _spans(left, right)]
+        return left.select(["nothing", *names]).append_column("text", pa.array(new, pa.binary()))
 
-    joined = _with_spans(docs, spans, id_col, text_col)
-    shorter = cut(F.col(text_col).cast("string"), F.col("_spans.a"), F.col("_spans.b"))
-    return joined.withColumn(text_col, shorter).select(*docs.columns)
+    types = ", ".join(["nothing boolean", *(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema) if f.name != text_col), "text binary"])
+    out = rows.groupBy("batch").cogroup(notes.groupBy("batch")).applyInArrow(cut, types)
+    text = F.when(~F.col("nothing"), F.col("text").cast("string")).cast(docs.schema[text_col].dataType)
+    return out.select(*(text.alias(c) if c == text_col else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: ``id_col``, key, n_bytes, spans (maximal removed byte ranges), kept (binary).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_pieces: int = HOT_PIECES, block_bytes: int = BLOCK_BYTES, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """One row a document: ``id_col``, n_bytes, spans (maximal removed byte ranges), kept (binary).
 
     ``kept`` is the remaining bytes in order, null where nothing is removed, and may end or begin inside
-    a character; ``kept_sha256`` is their SHA-256. Null texts count as empty. Rows that repeat an id and
-    a text are treated alike; equal ids never count as smaller. Rows with a null id are neither sources
-    nor changed. An empty table gives an empty result.
+    a character; ``kept_sha256`` is their SHA-256. Null texts count as empty. Rows that repeat an id are
+    no sources for each other (only smaller ids are). Rows with a null id are neither sources nor
+    changed. Other columns are not read. Texts of any length are searched in segments. An empty table
+    gives an empty result.
     """
-    spans = materialise(removals(docs, id_col, text_col))
-    release_shuffles(docs.sparkSession)
-    rows = _texts(docs, id_col, text_col).withColumn("key", F.xxhash64(F.col("text").cast("string")))
-    joined = _with_spans(rows, spans, "id", "text").select("id", "key", "text", "_spans")
+    rows, notes = _notes(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, hot_pieces, block_bytes, index_bytes)
     type_ = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                texts = part.column(2).to_pylist()
-                runs = [_merged(s) for s in part.column(3).to_pylist()]
-                kept = []
-                for text, own in zip(texts, runs, strict=True):
-                    edges = [0, *(x for r in own for x in r), len(text)]
-                    kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if own else None)
-                digest = [hashlib.sha256(t if k is None else k).hexdigest() for t, k in zip(texts, kept, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(list(map(len, texts)), pa.int64()), pa.array([[{"a": a, "b": b} for a, b in r] for r in runs], type_), pa.array(kept, pa.binary()), pa.array(digest, pa.string())],
-                    names=["id", "key", "n_bytes", "spans", "kept", "kept_sha256"],
-                )
-
-    out = joined.mapInArrow(run, "id long, key long, n_bytes long, spans array<struct<a: bigint, b: bigint>>, kept binary, kept_sha256 string")
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("seq").combine_chunks()
+        found = _spans(left, right)
+        kept = [b"".join(_kept(t, e)) if len(e) else None for t, e in found]
+        digest = [hashlib.sha256(t if k is None else k).hexdigest() for (t, _), k in zip(found, kept, strict=True)]
+        spans = [[{"a": a, "b": b} for a, b in zip(e[::2].tolist(), e[1::2].tolist(), strict=True)] for _, e in found]
+        return pa.table(
+            [left.column("id"), left.column("size"), pa.array(spans, type_), pa.array(kept, pa.binary()), pa.array(digest, pa.string())],
+            names=["id", "n_bytes", "spans", "kept", "kept_sha256"],
+        )
+
+    texts = rows.select("batch", "seq", "id", "size", "text")
+    out = texts.groupBy("batch").cogroup(notes.groupBy("batch")).applyInArrow(cut, "id long, n_bytes long, spans array<struct<a: bigint, b: bigint>>, kept binary, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)

@@ -1,7 +1,6 @@
 """The corpus operators against brute force and libraries, with awkward inputs."""
 
 import collections
-import hashlib
 import os
 import re
 import zlib
@@ -13,7 +12,8 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm import bpe, components, decontaminate, language, licenses, quality, queries, sharding, simhash, suffix_dedup, token_files, toxicity
+from test_repeats import plain_repeats
+from tessera.llm import bpe, components, decontaminate, language, licenses, quality, queries, sharding, simhash, token_files, toxicity
 
 DATA = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -354,54 +354,6 @@ def test_decontamination_finds_planted_passages(spark):
     assert want <= got and len(got - want) <= 1
 
 
-# ---- repeats
-
-
-def plain_repeats(rows):
-    first = {}
-    for i, t in rows:
-        for s in range(len(t) - 49):
-            first[t[s : s + 50]] = min(first.get(t[s : s + 50], i), i)
-    out = {}
-    for i, t in rows:
-        gone = np.zeros(len(t), bool)
-        for s in range(len(t) - 49):
-            if first[t[s : s + 50]] < i:
-                gone[s : s + 50] = True
-        out[i] = (len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest())
-    return out
-
-
-@pytest.mark.parametrize(("hot", "block"), [(4096, 1 << 20), (2, 1 << 10)])
-def test_repeats_equal_brute_force(spark, docs, monkeypatch, hot, block):
-    monkeypatch.setattr(suffix_dedup, "HOT_CLASSES", hot)
-    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
-    rng = np.random.default_rng(4)
-    base = ["".join(rng.choice(list("abcdéß "), 160)) for _ in range(4)]
-    rows = [(100 + i, "".join(rng.choice(list("xyz"), 20)) + base[i % 4][rng.integers(30) : 100 + rng.integers(60)] + "q" * rng.integers(80), None, None, None) for i in range(40)]
-    own = spark.createDataFrame(rows, SCHEMA).unionByName(docs)
-    want = plain_repeats([(i, t.encode()) for i, t in {r["doc_id"]: r["text"] or "" for r in own.collect() if r["doc_id"] is not None}.items()])
-    got = suffix_dedup.remove_repeats(own).filter("doc_id IS NOT NULL").collect()
-    assert len(got) == own.filter("doc_id IS NOT NULL").count()
-    for r in got:
-        assert (r["n_bytes"], sum(s["b"] - s["a"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) == want[r["doc_id"]]
-    assert own.columns == suffix_dedup.strip_repeats(own).columns
-
-
-def test_repeats_without_the_bitmap(spark, docs, monkeypatch):
-    a = {(r["doc_id"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs).collect()}
-    monkeypatch.setattr(suffix_dedup, "BITMAP_ROWS", 0)
-    assert a == {(r["doc_id"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs).collect()}
-    assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
-
-
-def test_suffix_array_is_sorted():
-    text = np.frombuffer(b"mississippi\0mississippi", np.uint8).astype(np.uint16)
-    order, _ = suffix_dedup.suffix_array(text)
-    raw = text.astype(np.uint8).tobytes()
-    assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
-
-
 # ---- toxicity
 
 
