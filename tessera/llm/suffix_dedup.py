@@ -100,7 +100,9 @@ def pieces(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         count = np.diff(starts, append=n)
         inside = label[starts] >= 0
         starts, count = starts[inside], count[inside]
-        found.append((lo + starts, count, anchor[starts] >> np.uint64(16), _digests(hashes, starts, count)))
+        # Anchors are least hashes, so small; hashed once more they are spread evenly over the ranges.
+        key = _mixed((anchor[starts] | _MASK16) * _MULTIPLIER) >> np.uint64(64 - _HASH_BITS)
+        found.append((lo + starts, count, key, _digests(hashes, starts, count)))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -289,6 +291,16 @@ def _sent(rows: DataFrame, heard: DataFrame, n_buckets: int) -> DataFrame:
     return materialise(told.applyInArrow(send, "batch long, bucket int, base long, keys binary, owners binary, places binary, counts binary, text binary"))
 
 
+def _polynomials(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 bits of each string: a polynomial of its bytes modulo 2**64, from the sums of all bytes before."""
+    base = int(_MULTIPLIER)
+    powers = np.cumprod(np.full(len(text) + 1, base, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text + np.uint64(1)) * powers[:-1])])
+    inverse = np.uint64(pow(base, -1, 1 << 64))
+    back = np.cumprod(np.full(len(text) + 1, inverse, np.uint64))
+    return _mixed((sums[start + size] - sums[start]) * back[start])
+
+
 def _joined(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of the strings, each followed by STOP, with FINISH behind the last, and the strings' ends in them."""
     ends = np.cumsum(size + 1) - 1
@@ -316,8 +328,7 @@ def marked(key: np.ndarray, owner: np.ndarray, text: np.ndarray, count: np.ndarr
     size = count + LENGTH - 1
     start = np.cumsum(size) - size
     # Distinct pieces, in order of key, digest and owner; each is indexed or streamed once, for its least owner.
-    weights = np.random.default_rng(7).integers(0, 1 << 63, LENGTH + SPAN, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
-    digest = np.add.reduceat((text.astype(np.uint64) + np.uint64(1)) * weights[_along(size)], start) if len(size) else np.zeros(0, np.uint64)
+    digest = _polynomials(text, start, size)
     by = np.lexsort((owner, digest, key))
     new = (np.diff(key[by], prepend=~key[by[:1]]) != 0) | (np.diff(digest[by], prepend=~digest[by[:1]]) != 0)
     first = by[np.flatnonzero(new)]
