@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import HEAVY_ROWS, join_unique, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,18 +13,18 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
     """One round over edges (a, b): every node's neighbours are hung below the smallest of them.
 
-    The minimum is combined before the shuffle and joined back, so that a node with very many
-    neighbours is never gathered in one place.
+    The minimum is combined before the shuffle and joined back; where there are ``many`` edges, nodes with
+    very many neighbours are joined by a broadcast of their minima, so their edges stay where they are.
     """
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    hung = near.join(least, "a")
+    least = near.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    hung = join_unique(near, least.drop("n"), "a", least.filter(F.col("n") > HEAVY_ROWS)) if many else near.join(least.drop("n"), "a")
     if large:
         out = hung.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -33,7 +33,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``node``, ``root`` (smallest node of its component) for every node of the links (a, b).
+    """``node``, ``root`` (smallest node of its component) for every node of the links (a, b) of any ordered type.
 
     Self-links and repeated links are ignored; an empty table gives an empty result. Each round is
     written to the shared folder; the number of rounds grows with the logarithm of the longest path.
@@ -44,7 +44,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        edges = materialise(_star(_star(edges, True), False))
+        many = state[0] > HEAVY_ROWS
+        edges = materialise(_star(_star(edges, True, many), False, many))
         before, state = state, _state(edges)
         if before == state:
             break

@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SLICE_ROWS, broadcast_if_small, materialise
+from .common import HEAVY_ROWS, SLICE_ROWS, broadcast_if_small, join_unique, materialise
 from .components import components
 
 BITS, SEED = 64, 42
@@ -47,19 +48,19 @@ def fingerprint(text: str | None, width: int) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``fp`` (64 bits in a signed long) for every row; null or wordless texts give 0."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def fingerprints(docs: DataFrame, width: int, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` but the text, and ``fp`` (64 bits in a signed long); null or wordless texts give 0."""
+    rows = docs.withColumn("fp", F.col(text_col).cast("string"))
+    rows = rows.select(*(c for c in docs.columns if c != text_col), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                fps = np.array([fingerprint(x, width) for x in part.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+                fps = np.array([fingerprint(x, width) for x in part.column(part.num_columns - 1).to_pylist()], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fps.view(np.int64))], names=part.schema.names)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, fp long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def partition_bits(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -207,31 +208,43 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return out.unionByName(left.cogroup(right).applyInPandas(_block_links(radius), "a long, b long"))
 
 
+def _roots(nodes: DataFrame, radius: int) -> DataFrame:
+    """fp, root: the smallest ``node`` of each fingerprint's component; ``nodes`` has fp and node, both unique."""
+    pairs = links(nodes.select("fp"), radius)
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node")), side)
+    roots = components(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    return nodes.join(roots, "node", "left").select("fp", "n", F.coalesce("root", "node").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``id_col``, ``fp``, ``component_id`` (smallest id linked to it, itself included).
 
-    Equal fingerprints are one node, so copies are never paired. Null and empty texts have fingerprint
-    0 and are linked like any other. Repeated rows are kept; a component of null ids only has a null
-    component_id. An empty table gives an empty result.
+    Equal fingerprints are one node, so copies are never paired, and a fingerprint of very many rows stays
+    where its rows are. Null and empty texts have fingerprint 0 and are linked like any other; texts of any
+    length are read whole. Repeated rows are kept; a component of null ids only has a null component_id.
+    Other columns are not read. An empty table gives an empty result.
     """
-    found = materialise(fingerprints(docs, width, id_col, text_col))
-    nodes = materialise(found.groupBy("fp").agg(F.min(id_col).alias("first")))
-    roots = components(links(nodes.select("fp"), radius))
-    owner = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    owner = materialise(owner)
-    least = owner.groupBy("root").agg(F.min("first").alias("component_id"))
-    return found.join(owner.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    found = materialise(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), width))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "fp")
+    nodes = materialise(found.groupBy("fp").agg(F.min(first).alias("node"), F.count(F.lit(1)).alias("n")))
+    owner = materialise(_roots(nodes, radius).select("fp", "n", F.col("root.id").alias("component_id")))
+    out = join_unique(found, owner.drop("n"), "fp", owner.filter(F.col("n") > HEAVY_ROWS))
+    return out.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, width: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, with the smallest id of their component; one row if that id repeats.
+    """One row of ``docs``, all columns, of each component: that with the smallest id, null ids last.
 
-    Rows without an id can't be ordered: they stay where their whole component has none.
+    Rows count one by one, so different texts under one id each stand for their own component; of rows that
+    repeat an id in a component the first written stays. Null and empty texts are one component. Columns
+    of any name stay as they are; texts of any length are read whole; an empty table gives an empty result.
     """
-    found = near_duplicates(docs, width, radius, id_col, text_col)
-    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    first = materialise(first.groupBy(F.col(id_col).alias("_first")).agg(F.count(F.lit(1)).alias("n")))
-    stay = docs.join(first.select("_first"), F.col(id_col).eqNullSafe(F.col("_first")), "left_semi")
-    if first.filter("n > 1 AND _first IS NOT NULL").isEmpty():
-        return stay
-    return stay.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(stay.filter(F.col(id_col).isNull()))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = materialise(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()))
+    id_, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    found = materialise(fingerprints(rows.select("row", F.col(id_).alias("id"), F.col(text).alias("text")), width))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    nodes = materialise(found.groupBy("fp").agg(F.min(first).alias("node"), F.count(F.lit(1)).alias("n")))
+    stay = _roots(nodes, radius).select(F.col("root.row").alias("row")).distinct()
+    return rows.join(stay, "row", "left_semi").select(*names).toDF(*docs.columns)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 from .run_index import FINISH, FIRST, STOP, RunIndex
 
 LENGTH = 50
@@ -400,7 +400,7 @@ def _told(sent: DataFrame, n_buckets: int, index_bytes: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["batch", "places", "masks"])
 
     to_blocks = _in_order(sent.filter("bucket >= 0"), n_buckets)
-    return materialise(to_blocks.mapInArrow(settle, "batch long, places binary, masks binary"))
+    return to_blocks.mapInArrow(settle, "batch long, places binary, masks binary")
 
 
 def _notes(docs: DataFrame, id_col: str, text_col: str, hot_pieces: int, block_bytes: int, index_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -410,9 +410,11 @@ def _notes(docs: DataFrame, id_col: str, text_col: str, hot_pieces: int, block_b
     heard = _heard(known, hot_pieces)
     n_buckets = _n_buckets((heard.agg(F.sum("n")).first()[0] or 0) * (LENGTH + SPAN // 2), block_bytes)
     sent = _sent(known, heard, n_buckets)
-    told = _told(sent, n_buckets, index_bytes)
+    discard(heard)
     local = sent.filter("bucket < 0").select("batch", "places", "counts", "keys", "owners", F.lit(None).cast("binary").alias("masks"))
-    return rows, local.unionByName(told, allowMissingColumns=True)
+    notes = materialise(local.unionByName(_told(sent, n_buckets, index_bytes), allowMissingColumns=True))
+    discard(sent)
+    return rows, notes
 
 
 def _covered(notes: pa.Table, size: int) -> np.ndarray | None:

@@ -176,6 +176,14 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty, 4, 4).count() == 0
     kept = simhash.keep_first(docs, 4, 4)
     assert kept.columns == docs.columns and kept.filter("doc_id = 5").count() == 1 and kept.filter("doc_id = 6").count() == 0
+    clash = docs.select("doc_id", "text", *(F.lit(n).alias(n) for n in ("_first", "id", "fp", "row", "n", "c0", "node")))
+    assert simhash.keep_first(clash, 4, 4).columns == clash.columns and simhash.keep_first(empty, 4, 4).count() == 0
+
+
+def test_other_texts_under_one_id_stay(spark):
+    rows = [(1, LONG), (1, "an entirely different text of eight words here"), (2, LONG), (1, LONG), (None, "words without any id at all, twice"), (None, "words without any id at all, twice")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 4)
+    assert sorted(kept.collect(), key=str) == sorted([rows[0], rows[1], rows[4]], key=str)
 
 
 @pytest.mark.parametrize("block", [1024, 8])
