@@ -24,8 +24,9 @@ SHARE = 0.5
 LITERALS = 5
 #: Words by which alignments may differ within one copy (words put in or left out).
 SLIDE = 8
-#: Rows up to which the items' windows, or the pairs found, are broadcast; beyond it Spark shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows up to which the items' windows, or the pairs found, are broadcast, and the words and windows of items
+#: up to which these are; beyond it Spark shuffles.
+BROADCAST_ROWS, BROADCAST_WORDS = 200_000, 2_000_000
 
 NUMBER, UNIT, NAME = "\uE000", "\uE001", "\uE002"
 # Units that may follow a number.
@@ -84,27 +85,45 @@ def items_table(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     return rows.filter(F.size("windows") > 0).select("item", F.xxhash64("text").alias("version"), "values", "windows")
 
 
+def _searched(items: DataFrame) -> DataFrame:
+    """item, hash: the windows that make a document a candidate.
+
+    Of an item's n windows a copy has n * SHARE or more, so it has one of any n - n * SHARE + 1. Those that
+    are in the fewest items are taken: an instruction that begins all items makes no candidates.
+    """
+    each = items.select("item", "version", F.size("windows").alias("n"), F.inline("windows"))
+    often = each.groupBy("hash").agg(F.countDistinct("item", "version").alias("items"))
+    by_rarity = F.sort_array(F.collect_list(F.struct("items", "hash", "start")))
+    each = each.join(often, "hash").groupBy("item", "version", "n").agg(by_rarity.alias("windows"))
+    few = F.col("n") - F.ceil(F.col("n") * SHARE - 1e-9).cast("int") + 1
+    return each.select("item", F.explode(F.slice("windows", F.lit(1), few).getField("hash")).alias("hash")).distinct()
+
+
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark item it contains; documents without one are absent.
 
     Columns: ``id_col``, ``item_col``, n_windows (of the item), n_matched, share, exact (no placeholder
-    differs), key (hash of id and text); of several copies the one with most matches, an exact one first. Null and empty texts match nothing; items of fewer than WINDOW
-    words, or of placeholders mostly, give no evidence and match nothing; repeated rows give one row.
+    differs), key (hash of id and text); of several copies the one with most matches, an exact one first.
+    Null and empty texts match nothing; items of fewer than WINDOW words, or of placeholders mostly, give no
+    evidence and match nothing. Rows that repeat an id and a text give one row; null ids are reported as
+    null. Texts of any length are searched whole; other columns, whatever their names, are not read. An
+    empty table on either side gives an empty result.
     """
     items = materialise(items_table(benchmark, item_col, bench_text_col))
-    wanted = materialise(items.select("item", F.explode("windows.hash").alias("hash")).distinct())
+    wanted = materialise(_searched(items))
     known = broadcast_if_small(wanted, wanted.count(), BROADCAST_ROWS)
+    n_words = items.agg(F.coalesce(F.sum(F.size("values") + F.size("windows")), F.lit(0))).first()[0]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
 
-    # Every word starts a window, in documents as in items, so each shared window makes its pair a candidate.
+    # Every word starts a window, in documents as in items.
     searched = rows.select("key", F.explode(F.array_distinct(let(_tokens(F.col("text")), _all_windows))).alias("hash"))
     pairs = materialise(searched.join(known, "hash").select("key", "item").distinct())
     n_pairs = pairs.count()
 
     near = rows.join(broadcast_if_small(pairs, n_pairs, BROADCAST_ROWS), "key").distinct()
-    near = near.join(broadcast_if_small(items, items.count(), BROADCAST_ROWS // 20), "item")
+    near = near.join(broadcast_if_small(items, n_words, BROADCAST_WORDS), "item")
     near = near.withColumn("own", _values(F.col("text")))
 
     hashes = F.col("windows.hash")
@@ -154,8 +173,14 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the documents that contain a benchmark item."""
+    """``docs`` with all its columns, whatever their names, without the documents that contain a benchmark item.
+
+    Rows that repeat an id and a text go or stay together; null texts stay; an empty table gives an empty one.
+    """
     found = materialise(find(docs, benchmark, id_col, text_col).select("key").distinct())
-    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    found = broadcast_if_small(found.withColumnRenamed("key", "found_key"), found.count(), BROADCAST_ROWS)
-    return docs.join(found, key == F.col("found_key"), "left_anti")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    id_, text = F.col(names[docs.columns.index(id_col)]), F.col(names[docs.columns.index(text_col)])
+    rows = rows.withColumn("key", F.xxhash64(id_, F.coalesce(text.cast("string"), F.lit(""))))
+    found = broadcast_if_small(found, found.count(), BROADCAST_ROWS)
+    return rows.join(found, "key", "left_anti").select(*names).toDF(*docs.columns)

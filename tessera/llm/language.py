@@ -4,8 +4,9 @@ For each language a context tree of bounded depth holds, for every context of up
 bytes seen after it. A byte costs -log2 of its probability in the longest known context; a byte not
 seen there costs the escape of that context and is coded in the next shorter one (method C: of n
 occurrences with d different bytes, a byte seen c times has c / (n + d), the escape d / (n + d)).
-The statistics are frozen after training, so all costs are worked out beforehand and a text's exact
-code length in each language is a sum of table entries.
+The counts are those of the training texts, without strings of more than three bytes seen less than
+LEAST_SEEN times, which count as never seen. They are frozen after training, so all costs are worked out
+beforehand and a text's exact code length in each language is a sum of table entries.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ ORDER = 4
 SAMPLE_DOCS = 1200
 #: Contexts of three and more bytes keep a successor only if it was seen this often.
 LEAST_SEEN = 2
+#: A text fits no language if it costs more than so many times the language's mean a byte, and SLACK_BITS.
+MOST_TIMES, SLACK_BITS = 4.0, 64.0
 #: Bytes scored at once.
 CHUNK = 1 << 19
 UNDETERMINED = "und"
@@ -134,6 +137,8 @@ class Model:
         self.tables: list[Table] = []
         self.escapes: list[Table | None] = []
         self.floor = np.full(wide, 8.0)
+        #: Mean bits a byte of the training texts in their own language.
+        self.means = np.full(wide, 8.0)
         for k, (lang, gram, n) in enumerate(counts):
             context = gram >> np.uint64(8)
             keys, row = np.unique(gram, return_inverse=True)
@@ -192,6 +197,12 @@ class Model:
             at = end
         return out
 
+    def fits(self, texts: list[bytes], bits: np.ndarray) -> np.ndarray:
+        """Whether each prepared text is described by its best language, given the code lengths ``bits``."""
+        size = np.array([len(t) - ORDER for t in texts], dtype=float)
+        best = bits.argmin(1)
+        return bits[np.arange(len(texts)), best] <= MOST_TIMES * self.means[best] * size + SLACK_BITS
+
     def _bits(self, data: np.ndarray) -> np.ndarray:
         packed = data[ORDER:].astype(np.uint64)
         for k in range(1, ORDER + 1):
@@ -203,10 +214,12 @@ def train(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, id_col: str
     """Grow the trees from a bounded sample of labelled rows (null labels are left out).
 
     What reaches the driver is the strings of at most five bytes of about ``docs_per_language``
-    documents a language, whatever the size of the table. None if nothing is labelled.
+    documents a language, whatever the size of the table. Null and letterless texts teach nothing, repeated
+    rows count as often as they stand, other columns are not read. None if nothing is labelled (so for an
+    empty table).
     """
-    rows = labelled.filter(F.col(lang_col).isNotNull())
-    table = training_counts(sample(rows, docs_per_language, id_col, lang_col), lang_col, text_col).toPandas()
+    rows = sample(labelled.filter(F.col(lang_col).isNotNull()), docs_per_language, id_col, lang_col)
+    table = training_counts(rows, lang_col, text_col).toPandas()
     if not len(table):
         return None
     langs = sorted(table["lang"].unique())
@@ -215,7 +228,27 @@ def train(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, id_col: str
     for k in range(ORDER + 1):
         own = (table["k"] == k).to_numpy()
         counts.append((number[own], table["gram"].to_numpy()[own].astype(np.int64).view(np.uint64), table["n"].to_numpy()[own].astype(float)))
-    return Model(langs, counts)
+    model = Model(langs, counts)
+    means = _mean_costs(rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")), model)
+    for r in means.collect():
+        model.means[langs.index(r["lang"])] = r["mean"]
+    return model
+
+
+def _mean_costs(rows: DataFrame, model: Model) -> DataFrame:
+    """lang, mean: bits a byte of the texts of each language in that language."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    number = {x: i for i, x in enumerate(model.langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                both = [(x, prepared(t)) for x, t in zip(*(c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns), strict=True) if has_letter(t)]
+                bits = shared.value.code_lengths([t for _, t in both]) if both else np.zeros((0, len(number)))
+                own = [float(b[number[x]]) for b, (x, _) in zip(bits, both, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.string()), pa.array(own, pa.float64()), pa.array([len(t) - ORDER for _, t in both], pa.int64())], names=["lang", "bits", "size"])
+
+    return rows.mapInArrow(run, "lang string, bits double, size long").groupBy("lang").agg((F.sum("bits") / F.sum("size")).alias("mean"))
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +256,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     ``score`` is the posterior of the language under equal priors, given the exact code lengths. Null
     texts and texts without a letter (and every text, if nothing could be learned) are ``und`` with
-    score 0 and null bits. Ties go to the alphabetically first language.
+    score 0 and null bits. Ties go to the alphabetically first language. Texts of any length are scored
+    whole, in pieces of CHUNK bytes; repeated rows and null ids stay as they are, other columns are not read,
+    and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -250,8 +285,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 def keep_recognised(docs: DataFrame, model: Model | None, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text has a language: one pass, no shuffle.
 
-    Rejected are null texts, texts without a letter, and texts whose best language has a posterior
-    below ``least_score``. If nothing could be learned, every text with a letter stays.
+    Rejected are null texts, texts without a letter, texts whose best language has a posterior below
+    ``least_score``, and texts that fit no language: their code length in the best one is more than
+    MOST_TIMES its mean in training (other scripts, encoded data, noise). If nothing could be learned, every
+    text with a letter stays. Repeated rows are judged alike; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index(text_col)
@@ -265,9 +302,10 @@ def keep_recognised(docs: DataFrame, model: Model | None, least_score: float = 0
                 keep = np.array([has_letter(t) for t in texts], dtype=bool)
                 fit = np.flatnonzero(keep)
                 if own is not None and len(fit):
-                    bits = own.code_lengths([prepared(texts[i]) for i in fit])
+                    ready = [prepared(texts[i]) for i in fit]
+                    bits = own.code_lengths(ready)
                     score = 1.0 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
-                    keep[fit] = score >= least_score
+                    keep[fit] = (score >= least_score) & own.fits(ready, bits)
                 yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

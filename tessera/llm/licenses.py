@@ -1,8 +1,8 @@
 """License scan: exact set-similarity join of text blocks with license templates, without Python code.
 
-A block is a line, or a run of words across line breaks, for notices that are wrapped: for a template of n
-words those are windows of 2n words, one every n / 2 words, so a notice spread over 1.5n words is whole in
-one of them. A template applies to a block that holds at least CONTAINMENT of the template's
+A block is a run of words, across line breaks, since notices are wrapped: for a template of n words those
+are windows of 2n words, one every n / 2 words, so a notice spread over 1.5n words is whole in one of
+them, and words scattered over a long line are not taken for a notice. A template applies to a block that holds at least CONTAINMENT of the template's
 distinct words. Words are ordered by their frequency over all documents, rarest first: a block that
 meets the threshold must hold one of the template's first |T| - need + 1 words (prefix filter), must
 have at least ``need`` words (length filter), and the words from the first common one on must suffice
@@ -33,6 +33,7 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "mit-named": "MIT License",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
@@ -75,7 +76,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     are the smallest and largest starts (words from 0, null without a place). ``labels`` joins the
     phrases' labels with those of the templates found; ``score`` is the largest containment that met the
     threshold, else 0. Null and empty texts have no words; label columns are then empty strings.
-    Repeated rows and null ids are kept row by row.
+    Repeated rows and null ids are kept row by row, texts of any length are read whole, other columns are
+    not read, and an empty table gives an empty result.
     """
     spans = {k: _span(v) for k, v in (TEMPLATES if templates is None else templates).items()}
     templates = _template_words(TEMPLATES if templates is None else templates)
@@ -119,19 +121,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     prefix = F.broadcast(spark.createDataFrame(prefixes, "word string, label string, t_at int, t_size int, need int, span int"))
     whole = F.broadcast(spark.createDataFrame(list(ranked.items()), "label string, t_words array<string>"))
 
-    block = lambda span, at: F.struct(span.alias("span"), at.alias("at"))
-    texts = rows.filter("text IS NOT NULL")
-    lines = texts.select("row", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.select("row", block(F.lit(0), F.col("at")).alias("block"), F.array_distinct(_words(_spaced(F.col("line")))).alias("all_words"))
     sizes = F.array(*(F.lit(n) for n in sorted({n for n in spans.values() if n}))).cast("array<int>")
-    wrapped = texts.filter(F.col("text").contains("\n")).select("row", _words(_spaced(F.col("text"))).alias("every"))
-    wrapped = wrapped.filter(F.size("every") > 0).select("row", "every", F.explode(sizes).alias("span"))
-    wrapped = wrapped.select("row", "every", "span", F.explode(F.expr("sequence(0, size(every) - 1, (span + 1) div 2)")).alias("at"))
-    wrapped = wrapped.select("row", block(F.col("span"), F.col("at")).alias("block"), F.array_distinct(F.slice("every", F.col("at") + 1, F.col("span") * 2)).alias("all_words"))
-    blocks = lines.unionByName(wrapped)
+    texts = rows.filter("text IS NOT NULL").select("row", _words(_spaced(F.col("text"))).alias("every"))
+    blocks = texts.filter(F.size("every") > 0).select("row", "every", F.explode(sizes).alias("block_span"))
+    blocks = blocks.select("row", "every", "block_span", F.explode(F.expr("sequence(0, size(every) - 1, (block_span + 1) div 2)")).alias("at"))
+    window = F.slice("every", F.col("at") + 1, F.col("block_span") * 2)
+    blocks = blocks.select("row", F.struct("block_span", "at").alias("block"), F.array_distinct(window).alias("all_words"))
     blocks = blocks.select("row", "block", F.size("all_words").alias("b_size"), F.array_intersect(F.array(*map(F.lit, order)), "all_words").alias("own"))
     common = blocks.select("row", "block", "b_size", "own", F.posexplode("own").alias("b_at", "word")).join(prefix, "word")
-    common = common.filter("b_size >= need AND block.span IN (0, span)")
+    common = common.filter("b_size >= need AND block.block_span = span")
     first = common.groupBy("row", "block", "label", "t_size", "need").agg(F.min(F.struct("b_at", "t_at")).alias("at"), F.first("own").alias("own"))
     possible = first.filter(1 + F.least(F.col("t_size") - F.col("at.t_at") - 1, F.size("own") - F.col("at.b_at") - 1) >= F.col("need"))
     verified = possible.join(whole, "label").withColumn("share", F.size(F.array_intersect("own", "t_words")) / F.col("t_size"))

@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, hash_fraction
@@ -31,8 +33,6 @@ LENGTHS = range(4, 13)
 LEAST_DOCS, LEAST_G2 = 4, 20.0
 #: A longer entry replaces a shorter one if it keeps this share of its toxic documents.
 KEEP = 0.9
-#: Most candidates that reach the driver, commonest in toxic documents first.
-MOST_CANDIDATES = 50_000
 
 # Look-alike letters (Cyrillic, Greek, Latin variants) and digits or signs used as letters.
 LOOKALIKES = {
@@ -91,7 +91,10 @@ def features(automaton: ahocorasick.Automaton, text: str | None) -> tuple[float,
     for end, (size, weight) in automaton.iter(folded) if folded and len(automaton) else ():
         (skips if weight is None else hits).append((end - size + 1, end, weight or 0.0))
     if skips:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in skips)]
+        # A hit lies inside an exception if one that begins at or before it reaches its end.
+        skips.sort()
+        starts, reach = [a for a, _, _ in skips], list(accumulate((b for _, b, _ in skips), max))
+        hits = [h for h in hits if (k := bisect_right(starts, h[0])) == 0 or reach[k - 1] < h[1]]
     total = sum(h[2] for h in hits)
     return float(np.log1p(total)), float(np.log1p(100 * total / max(1, folded.count(" ") - 1)))
 
@@ -100,7 +103,7 @@ def _beginnings(text: str | None) -> set[str]:
     return {w[:n] for word in set(fold(text).split()) for w in (word + " ",) for n in LENGTHS if n <= len(w)}
 
 
-def _document_counts(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
+def _document_counts(rows: DataFrame) -> DataFrame:
     """entry, n: documents of ``rows`` (text) with a word that begins so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,31 +111,36 @@ def _document_counts(rows: DataFrame, only: set[str] | None = None) -> DataFrame
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 n: Counter = Counter()
                 for text in batch.column(0).slice(at, SLICE_ROWS).to_pylist():
-                    found = _beginnings(text)
-                    n.update(found if only is None else found & only)
+                    n.update(_beginnings(text))
                 yield pa.RecordBatch.from_pydict({"entry": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
     return rows.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
-def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Entries and weights: significant word beginnings, the most specific that keep their documents."""
-    weights = {}
-    for entry, a in toxic.items():
-        b = clean.get(entry, 0)
-        weight = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
-        both = (a + b) / (n_toxic + n_clean)
-        g2 = 2 * (a * np.log(a / (n_toxic * both)) + (b * np.log(b / (n_clean * both)) if b else 0))
-        if a >= LEAST_DOCS and weight > 1 and g2 >= LEAST_G2:
-            weights[entry] = float(weight)
-    out = {}
+def _weight(n_toxic: int, n_clean: int) -> Column:
+    """Log odds of an entry in ``a`` toxic and ``b`` clean documents."""
+    return F.log((F.col("a") + 0.5) / (n_toxic + 1)) - F.log((F.col("b") + 0.5) / (n_clean + 1))
+
+
+def _g2(n_toxic: int, n_clean: int) -> Column:
+    """Likelihood ratio statistic of an entry in ``a`` toxic and ``b`` clean documents."""
+    both = (F.col("a") + F.col("b")) / (n_toxic + n_clean)
+    clean = F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (n_clean * both))).otherwise(0.0)
+    return 2 * (F.col("a") * F.log(F.col("a") / (n_toxic * both)) + clean)
+
+
+def choose(weights: dict[str, float], toxic: dict[str, int]) -> dict[str, float]:
+    """The most specific of the entries that keep their documents; ``toxic`` counts those."""
+    out: dict[str, float] = {}
+    longer: dict[str, int] = {}  # most toxic documents of a chosen entry with this beginning
     for entry, weight in sorted(weights.items(), key=lambda x: (-len(x[0]), x[0])):
         shorter = [entry[:n] for n in LENGTHS if n < len(entry) and entry[:n] in weights]
-        longer = [e for e in out if e.startswith(entry)]
-        if any(toxic[e] >= KEEP * toxic[entry] for e in longer):
+        if longer.get(entry, -1) >= KEEP * toxic[entry]:
             continue
         if all(toxic[entry] >= KEEP * toxic[s] or weights[s] < weight - 0.7 for s in shorter):
             out[entry] = weight
+            for n in LENGTHS:
+                longer[entry[:n]] = max(longer.get(entry[:n], 0), toxic[entry])
     return out
 
 
@@ -164,11 +172,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id
     seed = Lexicon(dict.fromkeys(SEED_LEXICON, 5.0))
     if not n.get(1) or not n.get(0):
         return seed
-    toxic = _document_counts(sample.filter("y = 1")).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "entry").limit(MOST_CANDIDATES).collect()
-    toxic = {r["entry"]: r["n"] for r in toxic}
-    only = set(toxic)
-    clean = {r["entry"]: r["n"] for r in _document_counts(sample.filter("y = 0"), only).collect()}
-    weights = choose(toxic, clean, n[1], n[0])
+    # The test for significance is Spark's; what passes is as bounded as the sample.
+    both = _document_counts(sample.filter("y = 1")).filter(F.col("n") >= LEAST_DOCS).withColumnRenamed("n", "a")
+    both = both.join(_document_counts(sample.filter("y = 0")), "entry", "left").select("entry", "a", F.coalesce("n", F.lit(0)).alias("b"))
+    found = both.withColumn("weight", _weight(n[1], n[0])).filter((F.col("weight") > 1) & (_g2(n[1], n[0]) >= LEAST_G2)).collect()
+    weights = choose({r["entry"]: r["weight"] for r in found}, {r["entry"]: r["a"] for r in found})
     if not weights:
         return seed
     lexicon = Lexicon(weights)
@@ -196,7 +204,8 @@ def _measured(rows: DataFrame, lexicon: Lexicon, first: str, out) -> DataFrame:
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``score`` (0 to 1) for every row; null and wordless texts score as texts without hits.
 
-    One pass over whole texts without a shuffle; repeated rows, null ids and other columns don't matter.
+    One pass over whole texts of any length without a shuffle; repeated rows and null ids stay as they are,
+    other columns are not read, and an empty table gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
