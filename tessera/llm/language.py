@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,15 +220,16 @@ def train(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, id_col: str
     empty table).
     """
     rows = sample(labelled.filter(F.col(lang_col).isNotNull()), docs_per_language, id_col, lang_col)
-    table = training_counts(rows, lang_col, text_col).toPandas()
-    if not len(table):
+    table = training_counts(rows, lang_col, text_col).toArrow()
+    if not table.num_rows:
         return None
-    langs = sorted(table["lang"].unique())
-    number = table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
+    langs = sorted(table["lang"].unique().to_pylist())
+    number = pc.index_in(table["lang"], pa.array(langs)).to_numpy().astype(np.int64)
+    order, gram, n = (table[c].to_numpy() for c in ("k", "gram", "n"))
     counts = []
     for k in range(ORDER + 1):
-        own = (table["k"] == k).to_numpy()
-        counts.append((number[own], table["gram"].to_numpy()[own].astype(np.int64).view(np.uint64), table["n"].to_numpy()[own].astype(float)))
+        own = order == k
+        counts.append((number[own], gram[own].view(np.uint64), n[own].astype(float)))
     model = Model(langs, counts)
     means = _mean_costs(rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")), model)
     for r in means.collect():

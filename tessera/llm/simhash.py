@@ -189,11 +189,17 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     sizes = materialise(data.groupBy("p", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK))
     n_hot = sizes.count()
     close = F.expr(f"bit_count(l.fp ^ r.fp) <= {radius} AND l.fp < r.fp")
+
+    def near(data: DataFrame) -> DataFrame:
+        # Hinted: Spark takes the probes for as small as the fingerprints they are made of, and would broadcast them.
+        both = data.alias("l").hint("merge").join(probes.alias("r"), ["p", "key"])
+        return both.filter(close).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+
     if not n_hot:
-        return data.alias("l").join(probes.alias("r"), ["p", "key"]).filter(close).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+        return near(data)
     hot = broadcast_if_small(sizes, n_hot, 100_000)
     few = data.join(hot, ["p", "key"], "left_anti")
-    out = few.alias("l").join(probes.alias("r"), ["p", "key"]).filter(close).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    out = near(few)
     chunks = F.ceil(F.col("n") / BLOCK).cast("int")
     wide = F.greatest(F.lit(1), F.ceil(F.col("n") * max(len(_masks(b, t)) for b, t in plan if t >= 0) / BLOCK)).cast("int")
     both = {"x": chunks, "y": F.least(wide, chunks * 64)}

@@ -395,8 +395,8 @@ def test_pipeline(spark):
     one = pipeline.materialise(step[0](spark, rows, DATA))
     assert one.columns == rows.columns and one.filter("NOT text rlike '\\\\p{L}'").count() == 0
     two = pipeline.materialise(step[1](spark, one, DATA))
-    fps = sorted((r["doc_id"], plain_fingerprint(r["text"])) for r in one.collect())
-    roots = plain_components([f for _, f in fps], 4)
+    fps = sorted((r["doc_id"], plain_fingerprint(r["text"], pipeline.NEAR_WORDS)) for r in one.collect())
+    roots = plain_components([f for _, f in fps], pipeline.NEAR_RADIUS)
     assert sorted(r["doc_id"] for r in two.collect()) == sorted({fps[x][0] for x in roots})
     three = pipeline.materialise(step[2](spark, two, DATA))
     cut = plain_repeats([(r["doc_id"], r["text"].encode()) for r in two.collect()])
@@ -408,3 +408,20 @@ def test_pipeline(spark):
     library = Tokenizer.from_file(TOKENIZER)
     assert five == {r["doc_id"]: library.encode(r["text"], add_special_tokens=False).ids for r in four.collect()}
     assert len(five) <= len(left)
+
+
+def test_pipeline_stages_take_awkward_rows(spark, docs, tmp_path):
+    import corpus_pipeline as pipeline
+
+    table(spark, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clash = docs.select("doc_id", "text", "lang", *(F.lit(c).alias(c) for c in ("_id", "_key", "_spans", "_first", "found_key", "key", "n", "batch", "row", "fp", "id", "c0")))
+    for rows in (clash.limit(0), clash):
+        for name, stage in pipeline.STAGES:
+            left = pipeline.materialise(stage(spark, rows, str(tmp_path)))
+            assert left.count() <= rows.count()
+            if name != "encoding":
+                assert left.dtypes == rows.dtypes
+            if name == "repeat_removal":
+                assert left.count() == rows.count()
+            rows = left
+    assert rows.count() > 3
