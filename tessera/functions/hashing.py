@@ -8,9 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Stands for a null key in a seeded hash.
+NO_KEY = "\\N"
+
+
 def seeded(seed: int | str, *keys: Column | str) -> Column:
-    """md5 of "<seed>:<key>"; several keys are joined by ":". The order of these texts is the shuffle."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k for k in keys)))
+    """md5 of "<seed>:<key>"; several keys are joined by ":", nulls as NO_KEY. The order of these texts is the shuffle."""
+    texts = ((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys)
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(t, F.lit(NO_KEY)) for t in texts)))
+
+
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` that keeps rows with nulls in them: a null matches a null. The left side's keys stay."""
+    names = {k: f"_match{i}" for i, k in enumerate(keys)}
+    right = right.select(*(F.col(k).alias(names[k]) for k in keys), *(c for c in right.columns if c not in names))
+    on = F.lit(True)
+    for k, n in names.items():
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    return left.join(right, on, how).drop(*names.values())
 
 
 def uniform(seed: int | str, *keys: Column | str) -> Column:
@@ -23,7 +38,8 @@ def ranked(df: DataFrame, order: Sequence[Column | str], bucket: Column, by: Seq
 
     ``bucket`` must not decrease along the order and should have a few thousand values: rows are ranked
     inside each bucket, and the buckets before it are counted, so neither a global order nor a group of
-    any size meets in one task. ``total`` names a column for the group's number of rows.
+    any size meets in one task. ``total`` names a column for the group's number of rows. Nulls in ``by``
+    are a group of their own.
     """
     rows = df.withColumn("_bucket", bucket)
     counts = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -31,7 +47,7 @@ def ranked(df: DataFrame, order: Sequence[Column | str], bucket: Column, by: Seq
     before = F.sum("_n").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(*by, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(group).alias("_total"))
     inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order))
-    out = rows.withColumn(name, inside).join(counts, [*by, "_bucket"])
+    out = match(rows.withColumn(name, inside), counts, [*by, "_bucket"])
     out = out.withColumn(name, F.col(name) + F.col("_before"))
     if total:
         out = out.withColumn(total, F.col("_total"))

@@ -18,6 +18,12 @@ def label_from_method(method: Column, label: Column | None = None, real: str = "
     return own if label is None else F.coalesce(label.cast("int"), own)
 
 
+def label_from_category(category: Column, labels: dict[str, int]) -> Column:
+    """The label of a folder's category, upper and lower case alike; null for a category without one."""
+    known = F.create_map(*(F.lit(x) for k, v in labels.items() for x in (k.lower(), v)))
+    return F.try_element_at(known, F.lower(category))
+
+
 def label_invert(flag: Column) -> Column:
     return 1 - flag.cast("int")
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import inf, isfinite
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of the score range in the two-level prefix sums.
-BUCKETS = 1024
+from tessera.functions.hashing import match
+
+#: Buckets of scores in the two-level prefix sums.
+BUCKETS = 512
 
 
 def ratio(top: Column, bottom: Column, empty=0.0) -> Column:
@@ -57,19 +61,21 @@ def cumulative(df: DataFrame, score: str, by: Sequence[str] = (), label: str = "
     """by, score, pos, neg and pos_below, neg_below, all_pos, all_neg for each distinct score.
 
     Rows are counted per distinct score first; then bucket totals are summed along the score and the
-    scores ranked inside their bucket, so no slice is ordered in one task.
+    scores ranked inside their bucket, so no slice is ordered in one task. The buckets are between
+    approximate quantiles of the distinct scores, so crowded ends of the range are divided as well.
     """
     y = F.col(label)
     points = df.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-    bucket = F.least(F.greatest(F.floor(F.col("score") * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1))
-    points = points.withColumn("_b", bucket)
+    cuts = points.select(F.percentile_approx(F.col("score").cast("double"), [i / BUCKETS for i in range(1, BUCKETS)])).first()[0]
+    splits = [-inf, *sorted({c for c in cuts or [0.0] if isfinite(c)} or {0.0}), inf]
+    points = Bucketizer(splits=splits, inputCol="score", outputCol="_b", handleInvalid="keep").transform(points)
     totals = points.groupBy(*by, "_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     group = Window.partitionBy(*by)
     before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_b", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c + "0") for c in ("_p", "_n")), F.sum("_p").over(group).alias("all_pos"), F.sum("_n").over(group).alias("all_neg"))
     inside = Window.partitionBy(*by, "_b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     out = points.withColumns({"pos_below": F.coalesce(F.sum("pos").over(inside), F.lit(0)), "neg_below": F.coalesce(F.sum("neg").over(inside), F.lit(0))})
-    out = out.join(totals, [*by, "_b"])
+    out = match(out, totals, [*by, "_b"])
     return out.select(*by, "score", "pos", "neg", (F.col("pos_below") + F.col("_p0")).alias("pos_below"), (F.col("neg_below") + F.col("_n0")).alias("neg_below"), "all_pos", "all_neg")
 
 

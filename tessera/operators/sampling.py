@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import hash_ranked, uniform
+from tessera.functions.hashing import hash_ranked, match, seeded, uniform
+
+
+#: Spark's own bound for cutting groups before a shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
 
 
 def balance(df: DataFrame, key: str, label: str = "label", by: Sequence[str] = (), seed: int = 42, cap: int | None = None, keep_single: bool = False) -> DataFrame:
@@ -20,19 +24,27 @@ def balance(df: DataFrame, key: str, label: str = "label", by: Sequence[str] = (
     n = n if cap is None else F.least(n, F.lit(cap // 2))
     sides = sides.select(*by, n.alias("_take"))
     rows = hash_ranked(df, seed, [key], [*by, label])
-    rows = rows.join(sides, [*by]) if by else rows.crossJoin(F.broadcast(sides))  # one row of counts
+    rows = match(rows, sides, by) if by else rows.crossJoin(F.broadcast(sides))  # one row of counts
     keep = F.col("rank") <= F.col("_take")
     return rows.filter(keep | (F.col("_take") == 0) if keep_single else keep).drop("rank", "_take")
 
 
 def cap(df: DataFrame, key: str, by: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """At most ``n`` rows of each group, in hash order."""
-    return hash_ranked(df, seed, [key], by).filter(F.col("rank") <= n).drop("rank")
+    """At most ``n`` rows of each group (nulls are one), in hash order.
+
+    Up to GROUP_LIMIT rows Spark cuts each partition's groups before the shuffle; beyond it groups are
+    ranked in two levels, so that a large one is not ordered in one task.
+    """
+    if n > GROUP_LIMIT:
+        return hash_ranked(df, seed, [key], by).filter(F.col("rank") <= n).drop("rank")
+    rows = df.withColumn("_hash", seeded(seed, key))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_hash", key))
+    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_hash", "_rank")
 
 
 def quota(df: DataFrame, key: str, quotas: DataFrame, by: Sequence[str], seed: int = 42) -> DataFrame:
     """At most ``quota`` rows of each group, from a table (by..., quota); groups without one give nothing."""
-    return hash_ranked(df, seed, [key], by).join(quotas.select(*by, "quota"), [*by]).filter(F.col("rank") <= F.col("quota")).drop("rank", "quota")
+    return match(hash_ranked(df, seed, [key], by), quotas.select(*by, "quota"), by).filter(F.col("rank") <= F.col("quota")).drop("rank", "quota")
 
 
 def quota_with_topup(df: DataFrame, key: str, by: Sequence[str], per_group: int, total: int, seed: int = 42) -> DataFrame:
@@ -55,12 +67,18 @@ def deficit_fill(first: DataFrame, second: DataFrame, key: str, total: int, seed
 
 def fill_from_groups(df: DataFrame, key: str, group: str, by: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """Visit the groups of each stratum in hash order and take rows until ``n``; the last group is cut."""
-    sizes = df.groupBy(*by, group).agg(F.count(F.lit(1)).alias("_size"))
-    sizes = hash_ranked(sizes, seed, [group], by)
-    before = F.sum("_size").over(Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    take = sizes.withColumn("_take", F.least("_size", F.greatest(F.lit(0), n - F.coalesce(before, F.lit(0))))).filter("_take > 0")
-    rows = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
-    rows = rows.join(take.select(*by, group, "_take"), [*by, group])
+    sizes = df.groupBy(*by, group).agg(F.count(F.lit(1)).alias("_size")).withColumn("_hash", seeded(seed, group))
+    # Rows in the groups before a group: those in earlier ranges of hashes, and those before it in its own range.
+    sizes = sizes.withColumn("_range", F.substring("_hash", 1, 3))
+    ranges = sizes.groupBy(*by, "_range").agg(F.sum("_size").alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select(*by, "_range", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    inside = F.sum("_size").over(Window.partitionBy(*by, "_range").orderBy("_hash", group).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = match(sizes.withColumn("_before", F.coalesce(inside, F.lit(0))), ranges, [*by, "_range"])
+    before = F.col("_before") + F.col("_earlier")
+    take = sizes.withColumn("_take", F.least("_size", F.greatest(F.lit(0), n - before))).filter("_take > 0")
+    rows = df.withColumn("_h", seeded(seed, key))
+    rows = match(rows, take.select(*by, group, "_take"), [*by, group])
     inside = F.row_number().over(Window.partitionBy(*by, group).orderBy("_h", key))
     return rows.withColumn("_r", inside).filter("_r <= _take").drop("_h", "_r", "_take")
 
@@ -68,7 +86,7 @@ def fill_from_groups(df: DataFrame, key: str, group: str, by: Sequence[str], n:
 def few_groups_fallback(df: DataFrame, key: str, group: str, by: Sequence[str], n: int, least_groups: int = 8, seed: int = 42) -> DataFrame:
     """fill_from_groups, but strata with fewer than ``least_groups`` groups are sampled row by row."""
     counts = df.groupBy(*by).agg(F.countDistinct(group).alias("_groups"))
-    rows = df.join(counts, [*by])
+    rows = match(df, counts, by)
     rows = rows.withColumn("_unit", F.when(F.col("_groups") < least_groups, F.col(key).cast("string")).otherwise(F.col(group).cast("string")))
     return fill_from_groups(rows, key, "_unit", by, n, seed).select(df.columns)
 
@@ -76,7 +94,7 @@ def few_groups_fallback(df: DataFrame, key: str, group: str, by: Sequence[str],
 def sample_groups(df: DataFrame, group: str, by: Sequence[str], k: int, seed: int = 42) -> DataFrame:
     """All rows of ``k`` groups of each stratum."""
     chosen = hash_ranked(df.select(*by, group).distinct(), seed, [group], by).filter(F.col("rank") <= k)
-    return df.join(chosen.select(*by, group), [*by, group], "left_semi")
+    return match(df, chosen.select(*by, group), [*by, group], "left_semi")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -91,11 +109,19 @@ def middle_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return rows.filter("_r = _n div 2").drop("_r", "_n")
 
 
+def _first_ranges(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of each suite in as many first ranges of hashes as hold ``_take`` rows."""
+    counts = rows.groupBy("suite", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("suite").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = match(counts.withColumn("_before", F.coalesce(before, F.lit(0))), sizes, ["suite"])
+    return match(rows, counts.filter(F.col("_before") < F.col("_take")).select("suite", "_range"), ["suite", "_range"], "left_semi").drop("_range")
+
+
 def suite_balanced(df: DataFrame, key: str, method: str = "method", label: str = "label", real: str = "real", seed: int = 42) -> DataFrame:
     """For each method as many reals as it has fakes (or fewer of the fakes), as rows (suite, ...).
 
-    Reals are ordered anew for each method. Before they meet the small table of methods they are cut to
-    the most that any method can take, so the product is no larger than the result can be.
+    Reals are ordered anew for each method. They meet the small table of methods, but only the rows in
+    the first ranges of hashes that hold a method's share are ranked and shuffled.
     """
     fakes, reals = df.filter(F.col(label) == 1), df.filter(F.col(label) == 0)
     n_real = reals.agg(F.count(F.lit(1)).alias("_reals"))
@@ -103,7 +129,7 @@ def suite_balanced(df: DataFrame, key: str, method: str = "method", label: str =
     sizes = sizes.select(F.col(method).alias("suite"), F.least("_fakes", "_reals").alias("_take"))
     own = hash_ranked(fakes.withColumn("suite", F.col(method)), seed, [key], ["suite"])
     others = reals.crossJoin(F.broadcast(sizes.select("suite")))
-    others = hash_ranked(others, seed, ["suite", key], ["suite"])
+    others = hash_ranked(_first_ranges(others.withColumn("_range", F.substring(seeded(seed, "suite", key), 1, 3)), sizes), seed, ["suite", key], ["suite"])
     both = own.unionByName(others).join(F.broadcast(sizes), "suite")
     return both.filter(F.col("rank") <= F.col("_take")).drop("rank", "_take")
 

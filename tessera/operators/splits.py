@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import hash_ranked
+from tessera.functions.hashing import hash_ranked, match
 
 
 def _cuts(parts: dict[str, float], total: Column, at_least_one: bool) -> list[tuple[str, Column | None]]:
@@ -32,11 +32,11 @@ def split_groups(df: DataFrame, keys: Sequence[str], parts: dict[str, float], se
     """Adds ``split``: all rows of a group (equal ``keys``) go to one part, groups are dealt by share.
 
     ``by`` divides inside each stratum. The shares count groups, not rows; with ``at_least_one`` the
-    first part is never empty.
+    first part is never empty. Every row stays: nulls are a group, or a stratum, of their own.
     """
     groups = hash_ranked(df.select(*by, *keys).distinct(), seed, [*keys], by, total="_groups")
     groups = groups.select(*by, *keys, _named(F.col("rank"), _cuts(parts, F.col("_groups"), at_least_one)).alias("split"))
-    return df.join(groups, [*by, *keys])
+    return match(df, groups, [*by, *keys])
 
 
 def split_fixed(df: DataFrame, keys: Sequence[str], counts: dict[str, int], rest: str, seed: int = 42) -> DataFrame:
@@ -46,7 +46,7 @@ def split_fixed(df: DataFrame, keys: Sequence[str], counts: dict[str, int], rest
         upper += n
         cuts.append((name, F.lit(upper)))
     groups = hash_ranked(df.select(*keys).distinct(), seed, keys)
-    return df.join(groups.select(*keys, _named(F.col("rank"), [*cuts, (rest, None)]).alias("split")), [*keys])
+    return match(df, groups.select(*keys, _named(F.col("rank"), [*cuts, (rest, None)]).alias("split")), keys)
 
 
 def split_rows(df: DataFrame, key: str, parts: dict[str, float], by: Sequence[str], seed: int = 42) -> DataFrame:
@@ -91,9 +91,27 @@ def leave_one_out(df: DataFrame, column: str, always: str | None = None) -> Data
     """fold, role and the row: one fold for each value; its rows are test, all others train.
 
     The number of folds is the number of distinct values (a small dimension); ``always`` names a value
-    without a fold of its own, whose rows train in every fold.
+    without a fold of its own, whose rows train in every fold. The result has a row for each row and fold;
+    ``fold_sizes`` counts them without making them.
     """
     folds = df.select(F.col(column).alias("fold")).distinct()
     if always is not None:
         folds = folds.filter(F.col("fold") != always)
     return df.crossJoin(F.broadcast(folds)).withColumn("role", F.when(F.col(column) == F.col("fold"), "test").otherwise("train"))
+
+
+def fold_sizes(df: DataFrame, column: str, counts: Sequence[Column], always: str | None = None) -> DataFrame:
+    """fold, role and ``counts`` (sums over rows, named) of the folds of ``leave_one_out``.
+
+    Rows are summed for each value first, and a training set is everything less its fold's own rows, so
+    rows never meet folds.
+    """
+    names = [f"_s{i}" for i in range(len(counts))]
+    each = df.groupBy(column).agg(*counts)
+    columns = [c for c in each.columns if c != column]
+    whole = each.agg(*(F.sum(c).alias(n) for c, n in zip(columns, names, strict=True)))
+    folds = each.filter(F.col(column).isNotNull())
+    folds = (folds if always is None else folds.filter(F.col(column) != always)).crossJoin(F.broadcast(whole))  # one row
+    test = folds.select(F.col(column).alias("fold"), F.lit("test").alias("role"), *columns)
+    train = folds.select(F.col(column).alias("fold"), F.lit("train").alias("role"), *((F.col(n) - F.col(c)).alias(c) for c, n in zip(columns, names, strict=True)))
+    return test.unionByName(train)

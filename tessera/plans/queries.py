@@ -199,7 +199,7 @@ def _(spark, d):
     f"{M}, f AS (SELECT DISTINCT method AS fold FROM m WHERE method <> 'real') SELECT fold, CASE WHEN method = fold THEN 'test' ELSE 'train' END AS role, count(*) AS n, sum(label) AS fakes FROM m, f GROUP BY ALL",
 )
 def _(spark, d):
-    return D.leave_one_out(samples(spark, d).select("method", "label"), "method", "real").groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("fakes"))
+    return D.fold_sizes(samples(spark, d), "method", [F.count(F.lit(1)).alias("n"), F.sum("label").alias("fakes")], "real")
 
 
 # ---- sampling
@@ -476,6 +476,11 @@ def _(spark, d):
     return rounded(A.binary_metrics(samples(spark, d).filter("label = 1"), ["method"]).select("method", "n", "tp", "fn", "fake_det"), "fake_det")
 
 
+@query("real_only_report", f"{M}, c AS (SELECT domain, {CELLS} FROM m WHERE label = 0 GROUP BY domain) SELECT domain, n, tn, fp, round(tn / n, 8) AS real_acc FROM c")
+def _(spark, d):
+    return rounded(A.binary_metrics(samples(spark, d).filter("label = 0"), ["domain"]).select("domain", "n", "tn", "fp", "real_acc"), "real_acc")
+
+
 @query("paired_metrics", f"{M}, b AS (SELECT identity FROM m GROUP BY identity HAVING min(label) <> max(label)), c AS (SELECT {CELLS} FROM m WHERE identity IN (SELECT identity FROM b)) SELECT n, tn, fp, fn, tp, {RATIOS} FROM c")
 def _(spark, d):
     return A.binary_metrics(A.paired(samples(spark, d)))
@@ -766,6 +771,12 @@ def _(spark, d):
     return rounded(C.top(each, [F.desc("fn_rate"), "method"], 4), "fn_rate")
 
 
+@query("best_methods", f"{M} SELECT method, round(avg(1 - pred), 8) AS fn_rate FROM m WHERE label = 1 GROUP BY method ORDER BY avg(1 - pred), method LIMIT 4")
+def _(spark, d):
+    each = samples(spark, d).filter("label = 1").groupBy("method").agg(F.avg(1 - F.col("pred")).alias("fn_rate"))
+    return rounded(C.top(each, ["fn_rate", "method"], 4), "fn_rate")
+
+
 @query("uncertain_errors", f"{M} SELECT sample_id, label, pred FROM m WHERE label <> pred ORDER BY abs(prob - 0.5), sample_id LIMIT 25")
 def _(spark, d):
     return C.top(samples(spark, d).filter("label <> pred"), [F.abs(F.col("prob") - 0.5), "sample_id"], 25).select("sample_id", "label", "pred")
@@ -952,9 +963,62 @@ def _(spark, d):
     return spark.read.json(folder).select("domain", "n")
 
 
+@query("scan_tree", f"{M} SELECT 'domain=' || domain AS category, 'method=' || method AS \"group\" FROM m GROUP BY ALL")
+def _(spark, d):
+    folder = I.scratch(spark, "tree")
+    samples(spark, d).select("domain", "method", F.col("sample_id").cast("string").alias("value")).write.partitionBy("domain", "method").text(folder)
+    return S.scan_tree(spark, folder, r"\.txt$").filter("length > 0").select("category", "group").distinct()
+
+
+@query(
+    "scan_nested_index",
+    f"{M} SELECT domain AS source, method AS side, 'all' AS split, video, row_number() OVER (PARTITION BY domain, method, video ORDER BY CAST(sample_id AS VARCHAR)) - 1 AS position, CAST(sample_id AS VARCHAR) AS frame FROM m",
+)
+def _(spark, d):
+    folder = I.scratch(spark, "json")
+    videos = samples(spark, d).groupBy("domain", "method", "video").agg(F.sort_array(F.collect_list(F.col("sample_id").cast("string"))).alias("frames"))
+    inner = F.map_from_entries(F.collect_list(F.struct("video", F.struct("frames"))))
+    indexes = videos.groupBy("domain", "method").agg(inner.alias("videos"))
+    index = F.create_map("domain", F.create_map("method", F.create_map(F.lit("all"), "videos")))
+    indexes.select(F.to_json(index).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return S.scan_nested_index(spark, folder).withColumn("position", F.col("position").cast("long"))
+
+
+@query("scan_annotations", f"{M} SELECT sample_id AS image_id, 'v/' || video AS file_name, label FROM m")
+def _(spark, d):
+    folder = I.scratch(spark, "json")
+    images = F.collect_list(F.struct(F.col("sample_id").alias("id"), F.concat(F.lit("v/"), "video").alias("file_name")))
+    notes = F.collect_list(F.struct(F.col("sample_id").alias("image_id"), F.col("label").alias("category_id")))
+    documents = samples(spark, d).groupBy("domain", "method").agg(images.alias("images"), notes.alias("annotations"))
+    documents.select("images", "annotations").write.option("maxRecordsPerFile", 1).json(folder)
+    return S.scan_annotations(spark, folder)
+
+
+@query("scan_features", f"{M} SELECT sample_id, prob FROM m")
+def _(spark, d):
+    folder = I.scratch(spark, "features")
+    samples(spark, d).select("sample_id", "prob").write.parquet(folder)
+    return S.scan_features(spark, folder)
+
+
+@query("scan_reports", f"{M} SELECT method, domain, 'n' AS metric, CAST(count(*) AS DOUBLE) AS value FROM m GROUP BY ALL UNION ALL SELECT method, domain, 'fakes', CAST(sum(label) AS DOUBLE) FROM m GROUP BY ALL")
+def _(spark, d):
+    folder = I.scratch(spark, "json")
+    each = samples(spark, d).groupBy("method", "domain").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").cast("double").alias("fakes"))
+    report = F.create_map(F.concat_ws("/", "method", "domain"), F.create_map(F.lit("n"), "n", F.lit("fakes"), "fakes"))
+    each.select(F.to_json(report).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return S.scan_reports(spark, folder)
+
+
 # ---- single expressions
 
 
+@query("label_from_category", f"{M} SELECT sample_id, CASE domain WHEN 'cdc' THEN 0 WHEN 'ffc' THEN 0 WHEN 'fe' THEN 1 END AS label FROM m")
+def _(spark, d):
+    own = K.label_from_category(F.upper("domain"), {"cdc": 0, "ffc": 0, "fe": 1})
+    return samples(spark, d).select("sample_id", own.alias("label"))
+
+
 @query("label_from_method", f"{M} SELECT sample_id, CASE WHEN sample_id % 10 = 0 THEN 0 ELSE label END AS label, 1 - label AS inverted FROM m")
 def _(spark, d):
     own = K.label_from_method(F.col("method"), F.when(F.col("sample_id") % 10 == 0, 0))

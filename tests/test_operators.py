@@ -196,3 +196,42 @@ def test_incremental_manifest(spark, tmp_path):
     spark.range(3, 8).write.mode("append").parquet(new)
     incremental.grow_manifest(spark, new, schema, out, str(tmp_path / "c"), "id")
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(8))
+
+
+def with_nulls(spark):
+    rows = [(i, None if i % 3 == 0 else f"id{i % 7}", None if i % 4 == 0 else f"m{i % 2}", int(i % 5 < 2)) for i in range(60)]
+    return spark.createDataFrame(rows, "k long, identity string, method string, label int")
+
+
+def test_null_keys_keep_their_rows(spark):
+    df = with_nulls(spark)
+    for got in (
+        splits.split_groups(df, ["identity"], {"train": 0.7, "test": 0.3}),
+        splits.split_groups(df, ["identity"], {"train": 0.7, "test": 0.3}, by=["method"]),
+        splits.split_fixed(df, ["identity"], {"test": 2}, "train"),
+        splits.split_rows(df, "k", {"train": 0.7, "test": 0.3}, ["method"]),
+    ):
+        assert got.count() == 60 and got.filter("split IS NULL").count() == 0 and got.columns == [*df.columns, "split"]
+    assert splits.split_groups(df, ["identity"], {"train": 0.7, "test": 0.3}).filter("identity IS NULL").select("split").distinct().count() == 1
+    assert {r["method"]: r["count"] for r in sampling.cap(df, "k", ["method"], 5).groupBy("method").count().collect()} == {None: 5, "m0": 5, "m1": 5}
+    assert {r["method"]: r["count"] for r in sampling.cap(df, "k", ["method"], 1001).groupBy("method").count().collect()} == {None: 15, "m0": 15, "m1": 30}
+    assert sampling.fill_from_groups(df, "k", "identity", ["method"], 100).count() == 60
+    assert {r["method"]: r["count"] for r in sampling.fill_from_groups(df, "k", "identity", ["method"], 9).groupBy("method").count().collect()} == {None: 9, "m0": 9, "m1": 9}
+    assert sampling.sample_groups(df, "identity", ["method"], 100).count() == 60
+    assert sampling.few_groups_fallback(df, "k", "identity", ["method"], 100).columns == df.columns
+    assert sampling.balance(df, "k", by=["method"]).count() == 48
+
+
+def test_fold_sizes_equal_the_folds(spark):
+    df = with_nulls(spark).withColumn("method", F.coalesce("method", F.lit("real")))
+    counts = lambda: [F.count(F.lit(1)).alias("n"), F.sum("label").alias("fakes")]
+    want = splits.leave_one_out(df, "method", "real").groupBy("fold", "role").agg(*counts())
+    assert sorted(splits.fold_sizes(df, "method", counts(), "real").collect()) == sorted(want.collect())
+
+
+def test_scores_at_the_ends_and_beyond(spark):
+    rows = [(x, int(i % 3 == 0)) for i, x in enumerate([0.0] * 5 + [1e-9 * k for k in range(40)] + [1.0 - 1e-9 * k for k in range(40)] + [-3.0, 7.5])]
+    got = metrics.cumulative(spark.createDataFrame(rows, "s double, label int"), "s").collect()
+    for r in got:
+        assert (r["pos_below"], r["neg_below"]) == tuple(sum(y == v and x < r["score"] for x, y in rows) for v in (1, 0))
+    assert metrics.cumulative(spark.createDataFrame([], "s double, label int"), "s").count() == 0
