@@ -92,9 +92,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     found = F.lit(False)
     for p in phrases:
         found = found | F.col("padded").contains(f" {p} ")
-    enough = F.lit(False)
-    for words in templates.values():
-        enough = enough | (F.size(F.array_intersect("hits", F.array(*map(F.lit, words)))) >= _need(words))
+    held = lambda words: F.size(F.array_intersect("hits", F.array(*map(F.lit, words)))) >= _need(words)
+    open_spans = F.array_distinct(F.array_compact(F.array(*(F.when(held(t), F.lit(spans[k])) for k, t in templates.items())).cast("array<int>")))
     head, tail = F.regexp_extract("padded", f"(?s)^(.*? ){any_phrase}(?= )", 1), F.regexp_extract("padded", f"(?s)^(.* ){any_phrase}(?= )", 1)
     starts = lambda prefix: (F.length(prefix) - F.length(F.translate(prefix, " ", "")) - 1).cast("long")
     base = F.array_compact(F.array(*(F.when(F.col("padded").contains(f" {p} "), F.lit(label)) for p, label in phrases.items())))
@@ -108,7 +107,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
             F.when(found, starts(tail)).alias("last_word"),
             F.array_sort(base).alias("base"),
             "hits",
-            F.when(enough, F.col("text")).alias("text"),
+            open_spans.alias("spans"),
+            F.when(F.size(open_spans) > 0, F.col("text")).alias("text"),
         )
     )
     # Templates are a fixed list, so these two tables are bounded by its number of words.
@@ -121,21 +121,26 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     prefix = F.broadcast(spark.createDataFrame(prefixes, "word string, label string, t_at int, t_size int, need int, span int"))
     whole = F.broadcast(spark.createDataFrame(list(ranked.items()), "label string, t_words array<string>"))
 
-    sizes = F.array(*(F.lit(n) for n in sorted({n for n in spans.values() if n}))).cast("array<int>")
-    texts = rows.filter("text IS NOT NULL").select("row", _words(_spaced(F.col("text"))).alias("every"))
-    blocks = texts.filter(F.size("every") > 0).select("row", "every", F.explode(sizes).alias("block_span"))
-    blocks = blocks.select("row", "every", "block_span", F.explode(F.expr("sequence(0, size(every) - 1, (block_span + 1) div 2)")).alias("at"))
-    window = F.slice("every", F.col("at") + 1, F.col("block_span") * 2)
-    blocks = blocks.select("row", F.struct("block_span", "at").alias("block"), F.array_distinct(window).alias("all_words"))
-    blocks = blocks.select("row", "block", F.size("all_words").alias("b_size"), F.array_intersect(F.array(*map(F.lit, order)), "all_words").alias("own"))
-    common = blocks.select("row", "block", "b_size", "own", F.posexplode("own").alias("b_at", "word")).join(prefix, "word")
-    common = common.filter("b_size >= need AND block.block_span = span")
+    # Windows only of the spans whose templates the whole text could meet, and of them only the templates' words.
+    texts = rows.filter("text IS NOT NULL").select("row", "spans", _words(_spaced(F.col("text"))).alias("every"))
+    least = min((_need(t) for t in templates.values()), default=1)
+
+    def windows(every: Column, span: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(every) - 1, F.floor((span + 1) / 2).cast("int"))
+        own = lambda at: F.array_intersect(F.array(*map(F.lit, order)), F.slice(every, at + 1, span * 2))
+        found = F.transform(starts, lambda at: F.struct(F.struct(span.alias("span"), at.alias("at")).alias("block"), own(at).alias("own")))
+        return F.filter(found, lambda w: F.size(w["own"]) >= least)
+
+    blocks = texts.filter(F.size("every") > 0).withColumn("span", F.explode("spans"))
+    blocks = blocks.select("row", F.inline(windows(F.col("every"), F.col("span"))))
+    common = blocks.select("row", "block", "own", F.posexplode("own").alias("b_at", "word")).join(prefix, "word")
+    common = common.filter(F.expr("size(own) >= need AND block.span = span"))
     first = common.groupBy("row", "block", "label", "t_size", "need").agg(F.min(F.struct("b_at", "t_at")).alias("at"), F.first("own").alias("own"))
     possible = first.filter(1 + F.least(F.col("t_size") - F.col("at.t_at") - 1, F.size("own") - F.col("at.b_at") - 1) >= F.col("need"))
     verified = possible.join(whole, "label").withColumn("share", F.size(F.array_intersect("own", "t_words")) / F.col("t_size"))
     verified = verified.filter(F.col("share") * F.col("t_size") >= F.col("need"))
     matched = verified.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("score"))
-    out = rows.drop("text", "hits").join(matched, "row", "left")
+    out = rows.drop("text", "hits", "spans").join(matched, "row", "left")
     both = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
     return out.select(
         F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word",
