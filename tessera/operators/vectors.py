@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer, StandardScaler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import HEAVY_ROWS, broadcast_if_small, join_unique, materialise
+from tessera.operators.components import components
+
+#: Vectors that a bucket should have, those that are compared in one task, and most planes of a table.
+BUCKET, BLOCK, MOST_BITS = 256, 2048, 48
+
 
 def fit_probe(df: DataFrame, features: str, label: str = "label", c: float = 1.0, steps: int = 200) -> PipelineModel:
     """Standardise, then a balanced ridge logistic curve; ``c`` weighs the loss against half the squared norm."""
@@ -61,11 +68,94 @@ def score_batches(df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], ke
     return rows.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, prob double")
 
 
-def near_copies(df: DataFrame, key: str, features: str, least_cosine: float, tables: int = 8, bucket: float = 0.5) -> DataFrame:
-    """a, b, cosine: pairs of normalised vectors within the cosine bound that share a random-projection bucket."""
-    rows = df.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("_raw"))
-    rows = Normalizer(inputCol="_raw", outputCol="_x").transform(rows).select(F.col(key).alias("k"), "_x")
-    model = BucketedRandomProjectionLSH(inputCol="_x", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=42).fit(rows)
-    most = float(np.sqrt(max(0.0, 2 - 2 * least_cosine))) + 1e-9
-    pairs = model.approxSimilarityJoin(rows, rows, most, "d").filter("datasetA.k < datasetB.k")
-    return pairs.select(F.col("datasetA.k").alias("a"), F.col("datasetB.k").alias("b"), (1 - F.col("d") * F.col("d") / 2).alias("cosine"))
+def _sign_keys(bits: int, tables: int, seed: int):
+    """k, x, t, bucket for each vector and table: the sides of ``bits`` random planes on which it lies."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.stack(batch["x"].to_numpy())
+            if planes is None:
+                planes = np.random.default_rng(seed).normal(size=(x.shape[1], tables * bits))
+            sides = (x @ planes > 0).reshape(len(x), tables, bits)
+            buckets = sides.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+            for t in range(tables):
+                yield pd.DataFrame({"k": batch["k"], "x": batch["x"], "t": t, "bucket": buckets[:, t]})
+
+    return run
+
+
+def _linked(least_cosine: float):
+    """A spanning forest (a, b) of the links between the vectors of one bucket."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        x, k = np.stack(group["x"].to_numpy()), group["k"].to_numpy()
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        near = x @ x.T >= least_cosine
+        new, links = np.ones(len(x), bool), []
+        for start in range(len(x)):
+            todo = [start] if new[start] else []
+            new[start] = False
+            while todo:
+                i = todo.pop()
+                found = np.flatnonzero(near[i] & new)
+                new[found] = False
+                links += [(i, j) for j in found]
+                todo += found.tolist()
+        return pd.DataFrame({"a": k[[i for i, _ in links]], "b": k[[j for _, j in links]]})
+
+    return run
+
+
+def _links(vectors: DataFrame, least_cosine: float, recall: float) -> DataFrame:
+    """Links (a, b) of distinct vectors (k, x), found where two lie on the same side of several random planes.
+
+    The number of planes follows the number of vectors, so that a bucket has about BUCKET of them where they
+    are spread evenly; the number of tables follows from ``recall`` for a pair just at the bound. Vectors
+    in buckets of over BLOCK go on to the next level with more planes; buckets that stay so large with
+    MOST_BITS planes are compared whole, block by block.
+    """
+    kind, out, level = vectors.schema["k"].dataType.simpleString(), None, 0
+    bits = max(1, math.ceil(math.log2(max(2, vectors.count()) / BUCKET)))
+    while True:
+        meets = (1 - math.acos(min(1.0, least_cosine)) / math.pi) ** bits
+        tables = 1 if meets >= recall else math.ceil(math.log(1 - recall) / math.log(1 - meets))
+        keyed = vectors.select("k", "x").mapInPandas(_sign_keys(bits, tables, 42 + level), f"k {kind}, x array<double>, t int, bucket long")
+        hot = materialise(keyed.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK))
+        n_hot = hot.count()
+        hint = broadcast_if_small(hot, n_hot, 100_000)
+        few = keyed.join(hint, ["t", "bucket"], "left_anti") if n_hot else keyed
+        found = few.groupBy("t", "bucket").applyInPandas(_linked(least_cosine), f"a {kind}, b {kind}")
+        out = found if out is None else out.unionByName(found)
+        if not n_hot:
+            return out
+        dense = keyed.join(hint, ["t", "bucket"])
+        if bits >= MOST_BITS:
+            parts = F.ceil(2 * F.col("n") / BLOCK).cast("int")
+            own = F.pmod(F.xxhash64("k"), parts).cast("int")
+            dense = dense.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+            group = ["t", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+            return out.unionByName(dense.groupBy(*group).applyInPandas(_linked(least_cosine), f"a {kind}, b {kind}"))
+        vectors = materialise(dense.select("k", "x").dropDuplicates(["k"]))
+        bits, level = min(MOST_BITS, bits + 4), level + 1
+
+
+def near_copies(df: DataFrame, key: str, features: str, least_cosine: float, recall: float = 0.95) -> DataFrame:
+    """``key``, class_id, copies for every row: the smallest key reachable over pairs of at least ``least_cosine``.
+
+    Equal vectors are one node, which stands for ``copies`` rows, so they are never paired. A pair just at
+    the bound is found with probability ``recall`` or more, a closer one almost surely. Vectors have one
+    length; null vectors, and those with a null or NaN in them, are alone. Keys are unique and not null. An
+    empty table gives an empty result.
+    """
+    rows = materialise(df.select(F.col(key).alias("k"), F.col(features).cast("array<double>").alias("x")))
+    usable = F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
+    vectors = materialise(rows.filter(usable).groupBy("x").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("copies")))
+    roots = components(_links(vectors, least_cosine, recall))
+    owners = vectors.join(roots, F.col("k") == F.col("node"), "left").select("x", "copies", F.coalesce("root", "k").alias("class_id"))
+    owners = materialise(owners)
+    known = join_unique(rows, owners, "x", owners.filter(F.col("copies") > HEAVY_ROWS)).select("k", "class_id", "copies")
+    alone = rows.filter(~F.coalesce(usable, F.lit(False))).select("k", F.col("k").alias("class_id"), F.lit(1).cast("long").alias("copies"))
+    return known.unionByName(alone).withColumnRenamed("k", key)

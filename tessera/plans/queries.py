@@ -813,7 +813,7 @@ def _(spark, d):
 
 @query("near_dedup_vectors")
 def _(spark, d):
-    return rounded(V.near_copies(table(spark, d, "embeddings"), "vec_id", "embedding", NEAR_COSINE), "cosine", digits=5)
+    return V.near_copies(table(spark, d, "embeddings"), "vec_id", "embedding", NEAR_COSINE)
 
 
 NEAR_COSINE = 0.45

@@ -131,12 +131,44 @@ def test_probe_equals_a_newton_solver(spark):
     assert ((scores >= 0) & (scores <= 1)).all()
 
 
-def test_near_copies_find_a_planted_pair(spark):
+def near_classes(spark, x, least):
+    df = spark.createDataFrame([(i, None if a is None else [float(v) for v in a]) for i, a in enumerate(x)], "id int, v array<double>")
+    return {r["id"]: (r["class_id"], r["copies"]) for r in vectors.near_copies(df, "id", "v", least).collect()}
+
+
+def test_near_copies_give_classes(spark):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(60, 16))
-    x[7] = x[3] + 0.01
-    df = spark.createDataFrame([(i, [float(v) for v in a]) for i, a in enumerate(x)], "id int, v array<double>")
-    assert [(r["a"], r["b"]) for r in vectors.near_copies(df, "id", "v", 0.99).collect()] == [(3, 7)]
+    x = list(rng.normal(size=(60, 16)))
+    x[7], x[9], x[20], x[30], x[31] = x[3] + 0.01, x[3] + 0.02, x[5], None, [float("nan")] * 16
+    want = {i: (i, 1) for i in range(60)} | {7: (3, 1), 9: (3, 1), 5: (5, 2), 20: (5, 2)}
+    assert near_classes(spark, x, 0.99) == want
+    assert near_classes(spark, [], 0.99) == {}
+
+
+def test_near_copies_of_a_dense_group(spark, monkeypatch):
+    """A third of the vectors in one direction: their buckets are split by more planes, then compared in blocks."""
+    monkeypatch.setattr(vectors, "BUCKET", 8)
+    monkeypatch.setattr(vectors, "BLOCK", 12)
+    monkeypatch.setattr(vectors, "MOST_BITS", 12)
+    rng = np.random.default_rng(3)
+    x = list(rng.normal(size=(90, 16)))
+    for i in range(0, 90, 3):
+        x[i] = x[0] + 1e-9 * rng.normal(size=16)
+    got = near_classes(spark, x, 0.95)
+    assert got == {i: (0 if i % 3 == 0 else i, 1) for i in range(90)}
+
+
+def test_near_copies_recall_of_pairs(spark):
+    """Pairs just above the bound, one to one, so that each must be found by itself."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 2000, 2):
+        side = x[i + 1] - (x[i + 1] @ x[i]) * x[i]
+        x[i + 1] = 0.91 * x[i] + np.sqrt(1 - 0.91**2) * side / np.linalg.norm(side)
+    got = near_classes(spark, x, 0.9)
+    assert all(got[i][0] == i for i in range(0, 2000, 2))
+    assert np.mean([got[i + 1][0] == i for i in range(0, 2000, 2)]) >= 0.9
 
 
 def png(path, pixels):
