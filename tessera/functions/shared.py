@@ -30,6 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{(root or _own_folder(spark.sparkContext.applicationId)).rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
 #: Spark deletes a query's shuffle files at its end, instead of when the driver happens to collect garbage.
 RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.hashing import match
+from tessera.operators.metrics import quantiles
+
 
 def decode_audit(spark: SparkSession, folder: str, expected: DataFrame | None = None) -> DataFrame:
     """path, status (ok, corrupt, absent), width, height for every image file below ``folder``.
@@ -55,6 +58,5 @@ def image_stats(spark: SparkSession, folder: str) -> DataFrame:
 def domain_gap(df: DataFrame, by: str, values: list[str]) -> DataFrame:
     """by, value, n, mean, p10, p50, p90: the same statistics for each domain or split."""
     long = df.select(by, F.inline(F.array(*(F.struct(F.lit(v).alias("value"), F.col(v).cast("double").alias("x")) for v in values))))
-    p = F.expr("percentile(x, array(0.1, 0.5, 0.9))")
-    out = long.groupBy(by, "value").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), p.alias("_p"))
-    return out.select(by, "value", "n", "mean", F.col("_p")[0].alias("p10"), F.col("_p")[1].alias("p50"), F.col("_p")[2].alias("p90"))
+    means = long.groupBy(by, "value").agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
+    return match(means, quantiles(long, "x", [by, "value"], [0.1, 0.5, 0.9]).toDF(by, "value", "p10", "p50", "p90"), [by, "value"], "left")

@@ -79,6 +79,19 @@ def cumulative(df: DataFrame, score: str, by: Sequence[str] = (), label: str = "
     return out.select(*by, "score", "pos", "neg", (F.col("pos_below") + F.col("_p0")).alias("pos_below"), (F.col("neg_below") + F.col("_n0")).alias("neg_below"), "all_pos", "all_neg")
 
 
+def quantiles(df: DataFrame, score: str, by: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """by, q0, q1, ...: exact quantiles of the non-null scores, linear between neighbours, from cumulative counts."""
+    points = cumulative(df.filter(F.col(score).isNotNull()).withColumn("_one", F.lit(1)), score, by, "_one")
+    out = []
+    for i, share in enumerate(shares):
+        place = (F.col("all_pos") - 1) * F.lit(float(share))
+        low = F.max(F.when(F.col("pos_below") <= F.floor(place), F.col("score")))
+        high = F.min(F.when(F.col("pos_below") + F.col("pos") > F.ceil(place), F.col("score")))
+        part = F.max(place - F.floor(place))
+        out.append((low * (1 - part) + high * part).alias(f"q{i}"))
+    return points.groupBy(*by).agg(*out)
+
+
 def roc_auc(df: DataFrame, score: str, by: Sequence[str] = (), label: str = "label") -> DataFrame:
     """by, auc: exact, ties count half; null for slices of one class."""
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5))
@@ -173,7 +186,8 @@ def macro_detection(df: DataFrame, method: str = "method", label: str = "label",
 
 def detection_summary(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
     """n, share above 0.5, mean and exact median of the score."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(score) > 0.5).cast("double")).alias("rate"), F.avg(score).alias("mean_p"), F.expr(f"percentile({score}, 0.5)").alias("median_p"))
+    means = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(score) > 0.5).cast("double")).alias("rate"), F.avg(score).alias("mean_p"))
+    return match(means, quantiles(df, score, by, [0.5]).withColumnRenamed("q0", "median_p"), by, "left")
 
 
 def paired(df: DataFrame, identity: str = "identity", label: str = "label") -> DataFrame:

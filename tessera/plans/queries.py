@@ -16,7 +16,7 @@ from tessera.operators import metrics as A
 from tessera.operators import sampling as B
 from tessera.operators import splits as D
 from tessera.operators import vectors as V
-from tessera.operators.images import domain_gap
+from tessera.operators.images import decode_audit, domain_gap, image_stats
 from tessera.plans.views import G, M, P, R, frames, pages, runs, samples, table
 from tessera.sources import manifests as S
 from tessera.sources import sinks
@@ -879,11 +879,57 @@ def _(spark, d):
     return spark.read.parquet(manifest).select("event_id", "event_type")
 
 
-@query("stream_window_mix", "SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n, CAST(sum(CASE WHEN event_type = 'view' THEN 0 ELSE 1 END) AS BIGINT) AS fakes FROM events GROUP BY ALL")
+@query(
+    "stream_window_mix",
+    """SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n, CAST(sum(CASE WHEN event_type = 'view' THEN 0 ELSE 1 END) AS BIGINT) AS fakes FROM events
+    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY ALL""",
+)
+def _(spark, d):
+    mix = I.windowed_class_mix(_landed(spark, d)[1], "ts", "1 day", "2 days", "event_type")  # closed days only
+    return I.run_to_files(mix, I.scratch(spark, "mix"), I.scratch(spark, "stream")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+# ---- image files: each vector as 8 x 8 grey values; some broken, absent or blank
+
+GREY = """WITH g AS (SELECT vec_id, CASE WHEN vec_id % 50 = 3 THEN 'corrupt' WHEN vec_id % 50 = 4 THEN 'absent' ELSE 'ok' END AS status,
+    list_transform(embedding, lambda v: CASE WHEN vec_id % 50 = 5 THEN 9 ELSE CAST(least(255, floor(abs(CAST(v AS DOUBLE)) * 512)) AS INTEGER) END) AS p FROM embeddings),
+i AS (SELECT *, list_transform(list_filter(range(10, 56), lambda k: (k - 1) % 8 BETWEEN 1 AND 6), lambda k: p[k - 8] + p[k + 8] + p[k - 1] + p[k + 1] - 4 * p[k]) AS bend FROM g)"""
+
+
+def _grey_images(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The folder of the images and the paths that a manifest would expect there."""
+    folder, part = I.scratch(spark, "images"), F.col("vec_id") % 50
+    pixel = lambda v: F.when(part == 5, 9).otherwise(F.least(F.lit(255), F.floor(F.abs(v.cast("double")) * 512).cast("int")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(part != 3, F.transform("embedding", pixel)).alias("pixels"))
+    rows = rows.withColumn("path", F.format_string("%d/%d.png", F.col("vec_id") % 16, "vec_id"))
+    sinks.write_grey_images(rows.filter(part != 4), folder, "path", "pixels", 8).count()
+    return folder, rows.select(F.concat(F.lit(f"{folder}/"), "path").alias("path"))
+
+
+def _vec_id(path: str = "path"):
+    return F.regexp_extract(path, r"(\d+)\.png$", 1).cast("long").alias("vec_id")
+
+
+@query("decode_audit", f"{GREY} SELECT vec_id, status, CASE status WHEN 'ok' THEN 8 WHEN 'corrupt' THEN -1 END AS width FROM g")
+def _(spark, d):
+    folder, expected = _grey_images(spark, d)
+    return decode_audit(spark, folder, expected).select(_vec_id(), "status", "width")
+
+
+@query("image_stats", f"{GREY} SELECT vec_id, round(list_avg(p), 5) AS mean, round(list_stddev_pop(p), 5) AS std FROM i WHERE status = 'ok'")
+def _(spark, d):
+    return rounded(image_stats(spark, _grey_images(spark, d)[0]).select(_vec_id(), "mean", "std"), "mean", "std", digits=5)
+
+
+@query("sharpness_rgb", f"{GREY} SELECT vec_id, round(list_var_pop(bend), 4) AS sharpness, round(list_avg(p), 5) AS red, round(list_avg(p), 5) AS green, round(list_avg(p), 5) AS blue FROM i WHERE status = 'ok'")
+def _(spark, d):
+    stats = image_stats(spark, _grey_images(spark, d)[0]).select(_vec_id(), F.round("sharpness", 4).alias("sharpness"), "red", "green", "blue")
+    return rounded(stats, "red", "green", "blue", digits=5)
+
+
+@query("blank_images", f"{GREY} SELECT vec_id FROM i WHERE status = 'ok' AND len(list_distinct(p)) = 1")
 def _(spark, d):
-    name = f"mix_{uuid.uuid4().hex}"
-    I.run_once(I.windowed_class_mix(_landed(spark, d)[1], "ts", "1 day", "2 days", "event_type"), name, "complete", I.scratch(spark, "stream"))
-    return spark.table(name).withColumn("start", F.date_format("start", "yyyy-MM-dd"))  # one row a day and event type
+    return image_stats(spark, _grey_images(spark, d)[0]).filter("blank").select(_vec_id())
 
 
 # ---- files written and read back

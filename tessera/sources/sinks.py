@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import os
+import struct
+import zlib
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import path_exists
+
 STANDARD = ("path", "label")
 DETAILED = ("path", "label", "method", "identity", "domain", "video")
 
@@ -25,13 +33,8 @@ def append_manifest(df: DataFrame, folder: str, key: str) -> None:
     """Append the rows whose key isn't there yet (one row of each new key)."""
     spark = df.sparkSession
     new = df.dropDuplicates([key])
-    try:
-        old = spark.read.parquet(folder).select(key)
-    except Exception as e:  # the folder may not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    else:
-        new = new.join(old, key, "left_anti")
+    if path_exists(spark, folder):
+        new = new.join(spark.read.parquet(folder).select(key), key, "left_anti")
     new.write.mode("append").parquet(folder)
 
 
@@ -47,3 +50,30 @@ def predictions_wide(df: DataFrame, key: str, models: Sequence[str], model: str
 def submission(df: DataFrame, key: str, pred: str = "pred") -> DataFrame:
     """key, answer: "fake" or "real"."""
     return df.select(key, F.when(F.col(pred) == 1, "fake").otherwise("real").alias("answer"))
+
+
+def _png(pixels: np.ndarray, width: int) -> bytes:
+    """A grey image of 8 bits a pixel."""
+    rows = pixels.astype(np.uint8).reshape(-1, width)
+    raw = b"".join(b"\0" + row.tobytes() for row in rows)
+    parts = ((b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(raw)), (b"IEND", b""))
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data)) for kind, data in parts)
+
+
+def write_grey_images(df: DataFrame, folder: str, path: str, pixels: str, width: int) -> DataFrame:
+    """path: what was written, one PNG file a row at ``folder``/path, from arrays of grey values of full rows.
+
+    The files are written by the tasks, a retried task writes the same ones again. A null array gives a file
+    that no reader decodes.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, values in zip(batch["path"], batch["pixels"], strict=True):
+                system, place = fs.FileSystem.from_uri(f"{folder}/{name}")
+                system.create_dir(os.path.dirname(place), recursive=True)
+                with system.open_output_stream(place) as out:
+                    out.write(b"\x89PNG broken" if values is None else _png(np.asarray(values), width))
+            yield batch[["path"]]
+
+    return df.select(F.col(path).alias("path"), F.col(pixels).cast("array<int>").alias("pixels")).mapInPandas(run, "path string")

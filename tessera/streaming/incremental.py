@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.functions.shared import path_exists, shared_dir
+
 
 def grow_manifest(spark: SparkSession, incoming: str, schema, manifest: str, checkpoint: str, key: str) -> None:
     """Append what is new in the Parquet folder ``incoming`` to ``manifest``; a re-run adds only unknown keys.
@@ -18,13 +17,8 @@ def grow_manifest(spark: SparkSession, incoming: str, schema, manifest: str, che
 
     def add(batch: DataFrame, _: int) -> None:
         new = batch.dropDuplicates([key])
-        try:
-            known = spark.read.parquet(manifest).select(key)
-        except Exception as e:  # nothing is written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        else:
-            new = new.join(known, key, "left_anti")
+        if path_exists(spark, manifest):
+            new = new.join(spark.read.parquet(manifest).select(key), key, "left_anti")
         new.write.mode("append").parquet(manifest)
 
     stream = spark.readStream.schema(schema).parquet(incoming)
@@ -37,7 +31,11 @@ def live_class_mix(stream: DataFrame, batch: str, label: str = "label") -> DataF
 
 
 def windowed_class_mix(stream: DataFrame, ts: str, length: str, late: str, by: str, label: str = "label") -> DataFrame:
-    """n and fakes in each time window and group; rows later than ``late`` behind the newest are dropped."""
+    """n and fakes in each time window and group; for append mode.
+
+    A window is given once, when the newest row is ``late`` beyond its end; its state goes then, and rows
+    for it that come in a later batch are dropped.
+    """
     w = F.window(ts, length)
     out = stream.withWatermark(ts, late).groupBy(w, by).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("fakes"))
     return out.select(F.col("window.start").alias("start"), by, "n", "fakes")
@@ -50,7 +48,12 @@ def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQ
     return query
 
 
+def run_to_files(df: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Append the groups that the watermark has closed to Parquet files in ``folder``; gives what is there."""
+    df.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests) a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{root.rstrip('/')}/tessera-{kind}-{uuid.uuid4().hex}"
+    """A new folder name below spark.checkpoint.dir; in local mode without it (tests) below a temporary folder."""
+    return f"{shared_dir(spark)}-{kind}"
