@@ -14,8 +14,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import materialise
 from tessera.llm import bpe, decontaminate, language, simhash, suffix_dedup
-from tessera.llm.common import materialise
 from tessera.llm.queries import TOKENIZER
 
 

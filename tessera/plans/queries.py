@@ -330,7 +330,14 @@ def _(spark, d):
     return rounded(B.class_weights(samples(spark, d)), "weight", "other_share")
 
 
-@query("weighted_resample")
+@query(
+    "weighted_resample",
+    f"""{M}, w AS (SELECT label, CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n) AS w FROM (SELECT label, count(*) AS n FROM m GROUP BY label)),
+    c AS (SELECT label, sum(exp(-w) * pow(w, i) / gamma(i + 1)) OVER (PARTITION BY label ORDER BY i) AS c FROM w, range(0, 120) t(i)),
+    u AS (SELECT label, sample_id, CAST('0x' || substr(md5('42:' || sample_id), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u FROM m),
+    k AS (SELECT u.label, sample_id, count(*) AS k FROM u JOIN c ON u.label = c.label AND u >= c GROUP BY ALL)
+    SELECT label, CAST(sum(k) AS BIGINT) AS n, count(*) AS rows FROM k GROUP BY label""",
+)
 def _(spark, d):
     m = samples(spark, d).select("sample_id", "method", "label")
     weights = B.class_weights(m).select("label", "weight")
@@ -835,7 +842,12 @@ def _(spark, d):
     return rounded(A.binary_metrics(_probe(spark, d), ["split"]), "accuracy", "precision", "recall", "f1", "real_acc", "fake_det")
 
 
-@query("temperature_scale")
+@query(
+    "temperature_scale",
+    f"""{M}, p AS (SELECT label, greatest(1e-6, least(1 - 1e-6, prob)) AS p FROM m), c AS (SELECT CAST(round(ln(p / (1 - p)) * (2000 / 28.0)) AS INTEGER) AS cell, label, count(*) AS n FROM p GROUP BY ALL),
+    e AS (SELECT CAST(t / 20.0 AS DOUBLE) AS temperature, sum(n * ln(1 + exp(-cell * CAST(28.0 / 2000 AS DOUBLE) / (t / 20.0) * CASE label WHEN 1 THEN 1 ELSE -1 END))) / sum(n) AS nll FROM c, range(4, 101) r(t) GROUP BY t)
+    SELECT temperature, round(nll, 6) AS nll FROM e ORDER BY e.nll, temperature LIMIT 1""",
+)
 def _(spark, d):
     return rounded(V.temperature(samples(spark, d), "prob"), "nll", digits=6)
 
