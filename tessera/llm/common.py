@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a Python worker turns into one Arrow batch of results.
@@ -16,78 +11,11 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
 
-#: Rows of one key beyond which ``join_unique`` takes the key out of the shuffle, and most such keys.
-HEAVY_ROWS, MOST_HEAVY = 10_000, 100_000
-
-
-@cache
-def _own_folder(application: str) -> str:
-    return "file://" + tempfile.mkdtemp(prefix="tessera-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is missing in local mode (as in tests) a temporary folder of the application;
-    on a cluster its executors would not see that folder, so the setting is required there.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(root or _own_folder(spark.sparkContext.applicationId)).rstrip('/')}/tessera-{uuid.uuid4().hex}"
-
-
-#: Spark deletes a query's shuffle files at its end, instead of when the driver happens to collect garbage.
-RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    What was shuffled for it is not needed any more once it is written, so its files go at once.
-    """
-    path, conf = shared_dir(df.sparkSession), df.sparkSession.conf
-    before = conf.get(RELEASE_SHUFFLES, "false")
-    conf.set(RELEASE_SHUFFLES, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        conf.set(RELEASE_SHUFFLES, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the folder of a materialised ``df`` that nothing reads any more."""
-    files = df.inputFiles()
-    if files:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def join_unique(rows: DataFrame, unique: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
-    """Inner join on ``key``, which is unique in ``unique`` and may be that of very many ``rows``.
-
-    ``heavy`` has the keys of more than HEAVY_ROWS rows. There is at most one such key for HEAVY_ROWS
-    rows; as long as they are few enough to be broadcast, their rows are joined where they are.
-    """
-    n = heavy.limit(MOST_HEAVY + 1).count()
-    if not n or n > MOST_HEAVY:
-        return rows.join(unique, key)
-    keys = F.broadcast(heavy.select(key))
-    few = F.broadcast(unique.join(keys, key, "left_semi"))
-    return rows.join(keys, key, "left_anti").join(unique, key).unionByName(rows.join(few, key))
-
-
 def lower_ascii(col):
     """Lower-case A-Z only; other letters keep their case."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Hint a broadcast only when the counted rows stay within ``limit``; otherwise Spark shuffles."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def hash_fraction(col, seed: str):
     """A deterministic pseudo-random number in [0, 1) for each value of ``col``."""
     return F.pmod(F.xxhash64(F.lit(seed), col), F.lit(1 << 30)) / F.lit(float(1 << 30))

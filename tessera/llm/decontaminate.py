@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
+from tessera.functions.shared import broadcast_if_small, materialise
 from .quality import let
 
 WINDOW = 8

@@ -16,7 +16,9 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise
+from tessera.functions.shared import materialise
+
+from .common import lower_ascii
 
 CONTAINMENT = 0.8
 #: Separators of words: ASCII other than letters and digits (after lower-casing).

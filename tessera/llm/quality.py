@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_fraction, materialise
+from tessera.functions.shared import materialise
+
+from .common import hash_fraction
 
 BUCKETS = 1 << 16
 #: Added to every bucket's count in both multinomials.

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from tessera.functions.shared import discard, materialise
 from .run_index import FINISH, FIRST, STOP, RunIndex
 
 LENGTH = 50

@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import SLICE_ROWS, shared_dir
+from tessera.functions.shared import shared_dir
+
+from .common import SLICE_ROWS
 
 KINDS = ("ids", "off", "doc", "nul")
 

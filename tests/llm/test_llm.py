@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from test_repeats import plain_repeats
-from tessera.llm import bpe, components, decontaminate, language, licenses, quality, queries, sharding, simhash, token_files, toxicity
+from tessera.llm import bpe, decontaminate, language, licenses, quality, queries, sharding, simhash, token_files, toxicity
+from tessera.operators import components
 
 DATA = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
