@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import keys
 from tessera.functions.hashing import hash_ranked
-from tessera.operators import history, images, metrics, sampling, splits, vectors
+from tessera.operators import components, history, images, metrics, sampling, splits, vectors
 from tessera.sources import manifests, sinks
 from tessera.streaming import incremental
 
@@ -171,6 +171,24 @@ def test_near_copies_recall_of_pairs(spark):
     assert np.mean([got[i + 1][0] == i for i in range(0, 2000, 2)]) >= 0.9
 
 
+def test_components_of_a_hub_and_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(components, "HEAVY_ROWS", 20)
+    links = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 130)] + [(131, 130), (7, 7)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(40)} | {i: 100 for i in range(100, 132)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(5)
+    x = {g: np.round(rng.random(n), 2) for g, n in (("a", 101), ("b", 1), (None, 40))}
+    df = spark.createDataFrame([(g, float(v)) for g, values in x.items() for v in values] + [("a", None), ("c", None)], "g string, x double")
+    got = {r["g"]: (r["q0"], r["q1"], r["q2"]) for r in metrics.quantiles(df, "x", ["g"], [0.1, 0.5, 0.77]).collect()}
+    assert set(got) == set(x)
+    for g, values in x.items():
+        assert np.allclose(got[g], np.quantile(values, [0.1, 0.5, 0.77]))
+
+
 def png(path, pixels):
     h, w = pixels.shape[:2]
     raw = b"".join(b"\0" + row.tobytes() for row in pixels.astype(np.uint8))
