@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, licenses, quality, sharding, simhash, suffix_dedup, token_files, toxicity
+from . import bpe, decontaminate, language, licenses, manifest, quality, sharding, simhash, suffix_dedup, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 #: Id that op10 appends to every document.
@@ -84,6 +84,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(spark, folder, parts)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    text = F.when(in_fold(2, 0), F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    proofs = manifest.prove(docs, carry={"other": manifest.leaf([text if c == "text" else F.col(c) for c in manifest.FIELDS])})
+    proofs = proofs.withColumn("folded_root", manifest.fold(F.col("other"), F.col("path")))
+    return proofs.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ppm_language": op1_ppm_language,
@@ -96,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_join": op8_license_join,
         "op9_toxic_lexicon": op9_toxic_lexicon,
         "op10_token_files": op10_token_files,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
@@ -124,4 +133,4 @@ def license_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_join": license_sql()}
+    return {"op8_license_join": license_sql(), "op12_merkle_manifest": manifest.manifest_sql()}
