@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, licenses, manifest, quality, sharding, simhash, suffix_dedup, token_files, toxicity
+from . import bpe, decontaminate, language, licenses, manifest, phrases, quality, sharding, simhash, suffix_dedup, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 #: Id that op10 appends to every document.
@@ -92,6 +92,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_parsed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.compare_with_edits(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ppm_language": op1_ppm_language,
@@ -105,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxic_lexicon": op9_toxic_lexicon,
         "op10_token_files": op10_token_files,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_parsed_fingerprints": op13_parsed_fingerprints,
     }
 
 
