@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, licenses, manifest, phrases, quality, sharding, simhash, suffix_dedup, token_files, toxicity
+from . import bpe, collocations, decontaminate, language, licenses, manifest, phrases, quality, sharding, simhash, suffix_dedup, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 #: Id that op10 appends to every document.
 END_ID = 2
 SHARDS = 8
+#: Phrases that op11 reports for each language.
+PHRASES = 2000
 TOXIC_FROM = 0.7
 SHINGLE_WORDS, SIMHASH_RADIUS = 4, 4
 
@@ -84,6 +86,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(spark, folder, parts)
 
 
+def op11_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.top(collocations.mine(documents(spark, sf_dir)), PHRASES)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     text = F.when(in_fold(2, 0), F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -108,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_join": op8_license_join,
         "op9_toxic_lexicon": op9_toxic_lexicon,
         "op10_token_files": op10_token_files,
+        "op11_phrase_index": op11_phrase_index,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_parsed_fingerprints": op13_parsed_fingerprints,
     }
@@ -138,4 +146,4 @@ def license_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_join": license_sql(), "op12_merkle_manifest": manifest.manifest_sql()}
+    return {"op8_license_join": license_sql(), "op11_phrase_index": collocations.phrases_sql(PHRASES), "op12_merkle_manifest": manifest.manifest_sql()}
