@@ -46,7 +46,7 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).replace(_END, b" \n ").split(b" ")
 
 
-def shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = SHARD_WORDS) -> DataFrame:
     """totals (lang, n), words (lang, word, n) and ids (32-bit numbers of words from 1, 0 between pieces) of each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +86,7 @@ def shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
                 parts.append(np.fromiter(map(own.__getitem__, found), np.int32, len(found)))
                 parts.append(np.ones(1, np.int32))
                 size += len(found)
-                if size >= SHARD_WORDS:
+                if size >= most:
                     yield shard()
                     known, parts, size, number = {}, [], 0, count(2)
         if parts:
@@ -261,7 +261,7 @@ def _exact(value: Column) -> Column:
     return value.cast("decimal(19,0)")
 
 
-def mine(docs: DataFrame, longest: int = 5, least: int = 100, share: int = 100, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def mine(docs: DataFrame, longest: int = 5, least: int = 100, share: int = 100, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """lang, phrase, n_words, a, cut, l, r, n, score of every phrase of 2 to ``longest`` words that occurs ``least`` times in a language.
 
     Texts are lower-cased in A-Z, cut into pieces at ``.,;:!?`` and line ends and into words at blanks and tabs. a is the
@@ -274,7 +274,7 @@ def mine(docs: DataFrame, longest: int = 5, least: int = 100, share: int = 100,
     """
     if longest < 2:
         raise ValueError("a phrase has two words at least")
-    split = materialise(shards(docs, lang_col, text_col))
+    split = materialise(shards(docs, lang_col, text_col, shard_words))
     sizes = materialise(split.select(F.inline("totals")).groupBy("lang").agg(F.sum("n").alias("total")))
     singles = split.select(F.inline("words")).groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     singles = materialise(singles.select("lang", "phrase", F.lit(1).alias("n_words"), "n"))
