@@ -86,7 +86,7 @@ def path_relayout(method: Column, path: Column) -> Column:
 
 
 def path_after(path: Column, anchor: str) -> Column:
-    """The parts behind ``anchor``, null without it."""
+    """The parts behind the first ``anchor``, null without it, empty if it is the last part."""
     parts = F.split(path, "/")
     at = F.array_position(parts, anchor)
     return F.when(at > 0, F.array_join(F.slice(parts, at.cast("int") + 1, F.size(parts)), "/"))

@@ -692,10 +692,9 @@ def _(spark, d):
     return A.binary_metrics(samples(spark, d).filter(F.col("method").isin("real", "signup", "error")))
 
 
-@query("keys_and_paths", f"{P} SELECT page_id, split_part(path, '/', 1) AS host, regexp_extract(path, '/(en|fr|de|es)/', 1) AS side, regexp_replace(name, '[.][^.]*$', '') AS stem, replace(replace(replace(path, '/', '_'), '?', '_'), '#', '_') AS flat_start FROM p WHERE regexp_full_match(path, '[A-Za-z0-9./?#-]*')")
+@query("keys_and_paths", f"{P} SELECT page_id, split_part(path, '/', 1) AS host, regexp_extract(path, '/(en|fr|de|es)/', 1) AS side, regexp_replace(name, '[.][^.]*$', '') AS stem, regexp_replace(path, '[^A-Za-z0-9._-]', '_', 'g') AS flat_start FROM p")
 def _(spark, d):
-    rows = pages(spark, d).filter(F.col("path").rlike("^[A-Za-z0-9./?#-]*$"))
-    return rows.select("page_id", F.split("path", "/")[0].alias("host"), F.regexp_extract("path", "/(en|fr|de|es)/", 1).alias("side"), K.video_stem(F.col("path")).alias("stem"), K.path_safe(F.col("path")).alias("flat_start"))
+    return pages(spark, d).select("page_id", F.split("path", "/")[0].alias("host"), F.regexp_extract("path", "/(en|fr|de|es)/", 1).alias("side"), K.video_stem(F.col("path")).alias("stem"), K.path_safe(F.col("path")).alias("flat_start"))
 
 
 @query("identity_keys", f"{M} SELECT sample_id, split_part(video, '_', 1) AS pair_first, CASE WHEN regexp_full_match(video, '[0-9]+_[0-9]+') THEN 'pair' ELSE 'other' END AS kind, list_extract(regexp_extract_all(video, '[0-9]+'), -1) AS last_id, domain || ':' || video AS full_key FROM m")
@@ -946,6 +945,9 @@ def _(spark, d):
 
 # ---- files written and read back
 
+#: Bytes of a range of a JSON file: few, so that the files of the smaller tables are cut many times as well.
+SPLIT_BYTES = 1 << 16
+
 MANIFEST_SQL = f"{M} SELECT method, video, domain || '/' || method || '/' || sample_id || '.png' AS path, identity, domain, label FROM m"
 
 
@@ -1035,21 +1037,17 @@ def _(spark, d):
 def _(spark, d):
     folder = I.scratch(spark, "json")
     videos = samples(spark, d).groupBy("domain", "method", "video").agg(F.sort_array(F.collect_list(F.col("sample_id").cast("string"))).alias("frames"))
-    inner = F.map_from_entries(F.collect_list(F.struct("video", F.struct("frames"))))
-    indexes = videos.groupBy("domain", "method").agg(inner.alias("videos"))
-    index = F.create_map("domain", F.create_map("method", F.create_map(F.lit("all"), "videos")))
-    indexes.select(F.to_json(index).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
-    return S.scan_nested_index(spark, folder).withColumn("position", F.col("position").cast("long"))
+    sinks.write_nested_index(videos.select(F.col("domain").alias("source"), F.col("method").alias("side"), F.lit("all").alias("split"), "video", "frames"), folder)
+    return S.scan_nested_index(spark, folder, SPLIT_BYTES).withColumn("position", F.col("position").cast("long"))
 
 
 @query("scan_annotations", f"{M} SELECT sample_id AS image_id, 'v/' || video AS file_name, label FROM m")
 def _(spark, d):
-    folder = I.scratch(spark, "json")
-    images = F.collect_list(F.struct(F.col("sample_id").alias("id"), F.concat(F.lit("v/"), "video").alias("file_name")))
-    notes = F.collect_list(F.struct(F.col("sample_id").alias("image_id"), F.col("label").alias("category_id")))
-    documents = samples(spark, d).groupBy("domain", "method").agg(images.alias("images"), notes.alias("annotations"))
-    documents.select("images", "annotations").write.option("maxRecordsPerFile", 1).json(folder)
-    return S.scan_annotations(spark, folder)
+    folder, m = I.scratch(spark, "json"), samples(spark, d)
+    part = lambda name, *fields: m.select("domain", F.lit(name).alias("part"), F.col("sample_id").alias("place"), F.to_json(F.struct(*fields)).alias("value"))
+    images = part("images", F.col("sample_id").alias("id"), F.concat(F.lit("v/"), "video").alias("file_name"))
+    sinks.write_json_arrays(images.unionByName(part("annotations", F.col("sample_id").alias("image_id"), F.col("label").alias("category_id"))), folder, "domain")
+    return S.scan_annotations(spark, folder, split_bytes=SPLIT_BYTES)
 
 
 @query("scan_features", f"{M} SELECT sample_id, prob FROM m")
@@ -1094,10 +1092,9 @@ def _(spark, d):
     return pages(spark, d).select("page_id", K.path_rewrite(F.col("url"), "https://m.", "mobile/").alias("new_url"))
 
 
-@query("path_parts", f"{P} SELECT page_id, list_extract(string_split(path, '/'), -2) AS folder, CASE WHEN list_contains(string_split(path, '/'), 'en') THEN substr(path, strpos(path, '/en/') + 4) END AS tail FROM p WHERE path NOT LIKE '%/en'")
+@query("path_parts", f"{P}, q AS (SELECT page_id, string_split(path, '/') AS parts FROM p) SELECT page_id, coalesce(list_extract(parts, -2), '') AS folder, CASE WHEN list_contains(parts, 'en') THEN array_to_string(parts[list_position(parts, 'en') + 1 :], '/') END AS tail FROM q")
 def _(spark, d):
-    rows = pages(spark, d).filter(~F.col("path").endswith("/en"))
-    return rows.select("page_id", K.path_folder(F.col("path")).alias("folder"), K.path_after(F.col("path"), "en").alias("tail"))
+    return pages(spark, d).select("page_id", K.path_folder(F.col("path")).alias("folder"), K.path_after(F.col("path"), "en").alias("tail"))
 
 
 @query("safe_ratio", f"{M} SELECT identity, round(sum(label) / greatest(1, count(*) - sum(label)), 8) AS ratio FROM m GROUP BY identity")

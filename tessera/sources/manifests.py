@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.keys import label_from_method
+from tessera.sources.split_json import scan_json_values
 
 _S, _I = T.StringType(), T.IntegerType()
 MANIFEST = T.StructType([T.StructField(c, _S) for c in ("method", "video", "path", "identity", "domain")] + [T.StructField("label", _I)])
 POOL = T.StructType([T.StructField("path", _S), T.StructField("label", _I), T.StructField("method", _S)])
 SPLIT = T.StructType([T.StructField("path", _S), T.StructField("label", _I)])
-NESTED = T.MapType(_S, T.MapType(_S, T.MapType(_S, T.StructType([T.StructField("frames", T.ArrayType(_S))]))))
 IMAGE_SUFFIXES = r"\.(png|jpe?g|bmp)$"
 
 
@@ -48,20 +48,26 @@ def scan_tree(spark: SparkSession, folder: str, suffixes: str = IMAGE_SUFFIXES,
     return out.select("path", "length", F.try_element_at(parts, F.lit(-3)).alias("category"), F.try_element_at(parts, F.lit(-2)).alias("group"), F.try_element_at(parts, F.lit(-1)).alias("name"))
 
 
-def scan_nested_index(spark: SparkSession, path: str) -> DataFrame:
-    """source, side, split, video, position, frame from {source: {side: {split: {video: {frames: [...]}}}}}."""
-    schema = T.MapType(_S, NESTED)
-    rows = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", schema).alias("m"))
-    rows = rows.select(F.explode("m").alias("source", "a")).select("source", F.explode("a").alias("side", "b"))
-    rows = rows.select("source", "side", F.explode("b").alias("split", "c")).select("source", "side", "split", F.explode("c").alias("video", "d"))
-    return rows.select("source", "side", "split", "video", F.posexplode("d.frames").alias("position", "frame"))
+def scan_nested_index(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+    """source, side, split, video, position, frame from {source: {side: {split: {video: {frames: [...]}}}}}.
 
+    Files of any size are read in ranges of ``split_bytes``; a task holds one video's frames at a time.
+    """
+    values = scan_json_values(spark, path, 4, split_bytes)
+    names = [F.col("keys")[i].alias(n) for i, n in enumerate(("source", "side", "split", "video"))]
+    return values.select(*names, F.posexplode(F.from_json("value", "frames array<string>")["frames"]).alias("position", "frame"))
 
-def scan_annotations(spark: SparkSession, path: str, category: int = 1) -> DataFrame:
-    """image_id, file_name, label: 1 if any annotation of the image has ``category``."""
-    doc = spark.read.option("multiLine", "true").schema("images array<struct<id: bigint, file_name: string>>, annotations array<struct<image_id: bigint, category_id: int>>").json(path)
-    images = doc.select(F.inline("images")).withColumnRenamed("id", "image_id")
-    hits = doc.select(F.inline("annotations")).filter(F.col("category_id") == category).select("image_id").distinct().withColumn("_hit", F.lit(1))
+
+def scan_annotations(spark: SparkSession, path: str, category: int = 1, split_bytes: int | None = None) -> DataFrame:
+    """image_id, file_name, label: 1 if any annotation of the image has ``category``.
+
+    Files {"images": [{id, file_name}], "annotations": [{image_id, category_id}]} of any size are read in ranges
+    of ``split_bytes``, so the order of the two arrays doesn't matter and neither is held whole.
+    """
+    values = scan_json_values(spark, path, 2, split_bytes)
+    part = lambda name, schema: values.filter(F.col("keys")[0] == name).select(F.from_json("value", schema).alias("v")).select("v.*")
+    images = part("images", "id bigint, file_name string").withColumnRenamed("id", "image_id")
+    hits = part("annotations", "image_id bigint, category_id int").filter(F.col("category_id") == category).select("image_id").distinct().withColumn("_hit", F.lit(1))
     return images.join(hits, "image_id", "left").select("image_id", "file_name", F.coalesce("_hit", F.lit(0)).alias("label"))
 
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import path_exists
@@ -52,6 +52,46 @@ def submission(df: DataFrame, key: str, pred: str = "pred") -> DataFrame:
     return df.select(key, F.when(F.col(pred) == 1, "fake").otherwise("real").alias("answer"))
 
 
+def _json_text(value: Column | str) -> Column:
+    """A string as JSON, with quotes; null as null."""
+    listed = F.to_json(F.array(F.col(value) if isinstance(value, str) else value), {"ignoreNullFields": "false"})
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def write_nested_index(df: DataFrame, folder: str) -> None:
+    """One JSON document a source, {source: {side: {split: {video: {"frames": [...]}}}}}, from rows source, side, split, video, frames.
+
+    A row knows from its neighbours what it has to open and to close, so a task holds one video at a time.
+    A video is expected once in its split; the documents of sources that are null or empty are left to a folder of their own.
+    """
+    along = Window.partitionBy("source").orderBy("side", "split", "video")
+    before = F.lag(F.struct("side", "split")).over(along)
+    inner = F.concat(_json_text("split"), F.lit(":{"))
+    side = F.concat(_json_text("side"), F.lit(":{"), inner)
+    opening = (
+        F.when(before.isNull(), F.concat(F.lit("{"), _json_text("source"), F.lit(":{"), side))
+        .when(~before["side"].eqNullSafe(F.col("side")), F.concat(F.lit("}},"), side))
+        .when(~before["split"].eqNullSafe(F.col("split")), F.concat(F.lit("},"), inner))
+        .otherwise(F.lit(","))
+    )
+    closing = F.when(F.lead(F.lit(1)).over(along).isNull(), "}}}}").otherwise("")
+    line = F.concat(opening, _json_text("video"), F.lit(":"), F.to_json(F.struct("frames")), closing)
+    df.select("source", line.alias("value")).write.partitionBy("source").text(folder)
+
+
+def write_json_arrays(df: DataFrame, folder: str, by: str) -> None:
+    """One JSON document for each value of ``by``, {part: [value, ...], ...}, from rows ``by``, part, place, value (JSON text).
+
+    Parts and, within them, places ascend. A task holds one value at a time.
+    """
+    along = Window.partitionBy(by).orderBy("part", "place")
+    before = F.lag("part").over(along)
+    named = F.concat(_json_text("part"), F.lit(":["))
+    opening = F.when(before.isNull(), F.concat(F.lit("{"), named)).when(before != F.col("part"), F.concat(F.lit("],"), named)).otherwise(F.lit(","))
+    closing = F.when(F.lead(F.lit(1)).over(along).isNull(), "]}").otherwise("")
+    df.select(by, F.concat(opening, "value", closing).alias("value")).write.partitionBy(by).text(folder)
+
+
 def _png(pixels: np.ndarray, width: int) -> bytes:
     """A grey image of 8 bits a pixel."""
     rows = pixels.astype(np.uint8).reshape(-1, width)
