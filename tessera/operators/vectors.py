@@ -87,15 +87,13 @@ def _sign_keys(bits: int, tables: int, seed: int):
     return run
 
 
-def _linked(least_cosine: float):
-    """A spanning forest (a, b) of the links between the vectors of one bucket."""
+def linked(near_of: Callable[[pd.DataFrame], np.ndarray]):
+    """A spanning forest (a, b) of the links between the rows (k, ...) of one bucket; ``near_of`` gives their matrix."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        x, k = np.stack(group["x"].to_numpy()), group["k"].to_numpy()
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        near = x @ x.T >= least_cosine
-        new, links = np.ones(len(x), bool), []
-        for start in range(len(x)):
+        near, k = near_of(group), group["k"].to_numpy()
+        new, links = np.ones(len(k), bool), []
+        for start in range(len(k)):
             todo = [start] if new[start] else []
             new[start] = False
             while todo:
@@ -109,6 +107,15 @@ def _linked(least_cosine: float):
     return run
 
 
+def _similar(least_cosine: float):
+    def near(group: pd.DataFrame) -> np.ndarray:
+        x = np.stack(group["x"].to_numpy())
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        return x @ x.T >= least_cosine
+
+    return near
+
+
 def _links(vectors: DataFrame, least_cosine: float, recall: float) -> DataFrame:
     """Links (a, b) of distinct vectors (k, x), found where two lie on the same side of several random planes.
 
@@ -127,7 +134,7 @@ def _links(vectors: DataFrame, least_cosine: float, recall: float) -> DataFrame:
         n_hot = hot.count()
         hint = broadcast_if_small(hot, n_hot, 100_000)
         few = keyed.join(hint, ["t", "bucket"], "left_anti") if n_hot else keyed
-        found = few.groupBy("t", "bucket").applyInPandas(_linked(least_cosine), f"a {kind}, b {kind}")
+        found = few.groupBy("t", "bucket").applyInPandas(linked(_similar(least_cosine)), f"a {kind}, b {kind}")
         out = found if out is None else out.unionByName(found)
         if not n_hot:
             return out
@@ -137,7 +144,7 @@ def _links(vectors: DataFrame, least_cosine: float, recall: float) -> DataFrame:
             own = F.pmod(F.xxhash64("k"), parts).cast("int")
             dense = dense.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
             group = ["t", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
-            return out.unionByName(dense.groupBy(*group).applyInPandas(_linked(least_cosine), f"a {kind}, b {kind}"))
+            return out.unionByName(dense.groupBy(*group).applyInPandas(linked(_similar(least_cosine)), f"a {kind}, b {kind}"))
         vectors = materialise(dense.select("k", "x").dropDuplicates(["k"]))
         bits, level = min(MOST_BITS, bits + 4), level + 1
 

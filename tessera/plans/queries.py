@@ -17,6 +17,7 @@ from tessera.operators import sampling as B
 from tessera.operators import splits as D
 from tessera.operators import vectors as V
 from tessera.operators.images import decode_audit, domain_gap, image_stats
+from tessera.operators.perceptual import near_images, perceptual_hashes
 from tessera.plans.views import G, M, P, R, frames, pages, runs, samples, table
 from tessera.sources import manifests as S
 from tessera.sources import sinks
@@ -943,6 +944,44 @@ def _(spark, d):
     return image_stats(spark, _grey_images(spark, d)[0]).filter("blank").select(_vec_id())
 
 
+#: Bits in which the hashes of near copies of an image may differ.
+NEAR_BITS = 6
+
+
+def _hashed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, hash of the images; every seventh vector has a copy twice as wide and high, every eleventh one that is brighter by 2."""
+    folder, id_ = I.scratch(spark, "images"), F.col("vec_id")
+    pixel = lambda v: F.least(F.lit(250), F.floor(F.abs(v.cast("double")) * 512).cast("int"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", pixel).alias("pixels"))
+    wide = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.get("pixels", F.floor(k / 32).cast("int") * 8 + F.floor(k % 16 / 2).cast("int")))
+    for kind, width, part in (("plain", 8, rows), ("wide", 16, rows.filter(id_ % 7 == 0).withColumn("pixels", wide)), ("bright", 8, rows.filter(id_ % 11 == 0).withColumn("pixels", F.transform("pixels", lambda p: p + 2)))):
+        path = F.format_string("%d/%s%d.png", id_ % 16, F.lit(kind), id_)
+        sinks.write_grey_images(part.withColumn("path", path), folder, "path", "pixels", width).count()
+    return perceptual_hashes(spark, folder).withColumn("name", F.regexp_extract("path", r"([a-z]+\d+)\.png$", 1))
+
+
+# Cells of the 8 x 9 grid over 8 x 8 pixels: each row is a row of pixels, column c has 8 - c parts of pixel c and c of the one before.
+HASHED = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(least(250, floor(abs(CAST(v AS DOUBLE)) * 512)) AS INTEGER)) AS p FROM embeddings),
+c AS (SELECT vec_id, list_transform(range(72), lambda k: coalesce((8 - k % 9) * p[k // 9 * 8 + k % 9 + 1], 0) * CAST(k % 9 < 8 AS INTEGER) + CASE WHEN k % 9 > 0 THEN k % 9 * p[k // 9 * 8 + k % 9] ELSE 0 END) AS cells FROM e),
+b AS (SELECT vec_id, array_to_string(list_transform(range(64), lambda k: CAST(CAST(cells[k // 8 * 9 + k % 8 + 2] > cells[k // 8 * 9 + k % 8 + 1] AS INTEGER) AS VARCHAR)), '') AS bits FROM c),
+n AS (SELECT 'plain' || vec_id AS name, bits FROM b UNION ALL SELECT 'wide' || vec_id, bits FROM b WHERE vec_id % 7 = 0 UNION ALL SELECT 'bright' || vec_id, bits FROM b WHERE vec_id % 11 = 0)"""
+
+
+@query("perceptual_hashes", f"{HASHED} SELECT name, bits FROM n")
+def _(spark, d):
+    return _hashed_images(spark, d).select("name", F.lpad(F.bin("hash"), 64, "0").alias("bits"))
+
+
+@query(
+    "near_images",
+    f"""{HASHED.replace("WITH e", "WITH RECURSIVE e", 1)}, l AS (SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON hamming(x.bits, y.bits) <= {NEAR_BITS}),
+    r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+    SELECT a AS name, min(b) AS class_id, (SELECT count(*) FROM n m WHERE m.bits = any_value(n.bits)) AS copies FROM r JOIN n ON n.name = r.a GROUP BY a""",
+)
+def _(spark, d):
+    return near_images(_hashed_images(spark, d), NEAR_BITS, "name")
+
+
 # ---- files written and read back
 
 #: Bytes of a range of a JSON file: few, so that the files of the smaller tables are cut many times as well.
