@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +21,7 @@ from tessera.plans.views import G, M, P, R, frames, pages, runs, samples, table
 from tessera.sources import manifests as S
 from tessera.sources import sinks
 from tessera.streaming import incremental as I
+from tessera.streaming import live as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -866,29 +866,65 @@ def _(spark, d):
 
 # ---- streams over the events table
 
+#: Files that the events land in, one a batch, and score cells of the running metrics.
+LANDED, CELLS = 4, 100
+
+
+def _landing(rows: DataFrame, folder: str, files: int) -> None:
+    """As new files would arrive: appended to the folder."""
+    rows.repartition(files).write.mode("append").parquet(folder)
+
 
 def _landed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """The events in a folder of their own, as new files would arrive, and a stream over it."""
+    """The events in a folder of their own and a stream over it."""
     folder = I.scratch(spark, "landing")
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     rows.withColumn("label", (F.col("event_type") != "view").cast("int")).write.parquet(folder)
     return folder, spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
 
 
+def _arriving(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """A stream that brings the rows in LANDED batches."""
+    folder = I.scratch(spark, "landing")
+    _landing(rows, folder, LANDED)
+    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _kept(spark: SparkSession, changes: DataFrame, keys: list[str]) -> DataFrame:
+    folder = I.scratch(spark, "keyed")
+    L.run_keyed(changes, folder, I.scratch(spark, "stream"))
+    return L.latest(spark, folder, changes.schema, keys)
+
+
 @query("live_batch_metrics", "SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN event_type = 'view' THEN 0 ELSE 1 END) AS BIGINT) AS fakes, avg(CASE WHEN event_type = 'view' THEN 0.0 ELSE 1.0 END) AS share FROM events GROUP BY event_type")
 def _(spark, d):
-    name = f"live_{uuid.uuid4().hex}"
-    I.run_once(I.live_class_mix(_landed(spark, d)[1], "event_type"), name, "complete", I.scratch(spark, "stream"))
-    return spark.table(name)  # one row an event type
+    rows = table(spark, d, "events").select("event_id", "event_type", (F.col("event_type") != "view").cast("int").alias("label"))
+    return _kept(spark, L.class_mix(_arriving(spark, rows), ["event_type"]), ["event_type"])
+
+
+def _live_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = samples(spark, sf_dir).select("sample_id", "domain", "prob2", "label")  # prob2 lies on a grid of 1 / CELLS
+    return _kept(spark, L.score_cells(_arriving(spark, rows), ["domain"], "prob2", cells=CELLS), ["domain", "cell"])
+
+
+@query("live_auc", f"{M}, x AS (SELECT domain, label, rank() OVER (PARTITION BY domain ORDER BY prob2) + (count(*) OVER (PARTITION BY domain, prob2) - 1) / 2 AS r FROM m), c AS (SELECT domain, count(*) AS n, sum(label) AS p, count(*) - sum(label) AS q, sum(r) FILTER (label = 1) AS s FROM x GROUP BY domain) SELECT domain, n, round((s - p * (p + 1) / 2) / (p * q), 8) AS auc FROM c")
+def _(spark, d):
+    return rounded(L.live_auc(_live_cells(spark, d), ["domain"]), "auc")
+
+
+@query("live_calibration", f"{M} SELECT domain, CAST(greatest(0, ceil(round(prob2 * 100) / 10) - 1) AS INTEGER) AS bin, count(*) AS n, round(avg(prob2), 8) AS mean_score, round(avg(label), 8) AS share FROM m GROUP BY ALL")
+def _(spark, d):
+    return rounded(L.live_calibration(_live_cells(spark, d), ["domain"], CELLS // 10), "mean_score", "share")
 
 
 @query("incremental_manifest", "SELECT event_id, event_type FROM events")
 def _(spark, d):
-    path, manifest = _landed(spark, d)[0], I.scratch(spark, "manifest")
-    schema = spark.read.parquet(path).schema
-    for _ in range(2):  # the second run, with a checkpoint of its own, finds nothing new
-        I.grow_manifest(spark, path, schema, manifest, I.scratch(spark, "stream"), "event_id")
-    return spark.read.parquet(manifest).select("event_id", "event_type")
+    rows, incoming = table(spark, d, "events").select("event_id", "event_type"), I.scratch(spark, "landing")
+    manifest, checkpoint = I.scratch(spark, "manifest"), I.scratch(spark, "stream")
+    for part in (rows.filter("event_id % 3 <> 0"), rows):  # the second run meets the keys of the first again
+        _landing(part, incoming, 2)
+        I.grow_manifest(spark, incoming, rows.schema, manifest, checkpoint, "event_id")
+    return spark.read.parquet(manifest)
 
 
 @query(

@@ -12,7 +12,6 @@ from tessera.functions import keys
 from tessera.functions.hashing import hash_ranked
 from tessera.operators import components, history, images, metrics, sampling, splits, vectors
 from tessera.sources import manifests, sinks
-from tessera.streaming import incremental
 
 
 @pytest.fixture(scope="module")
@@ -238,16 +237,6 @@ def test_writers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).count() == 2
 
 
-def test_incremental_manifest(spark, tmp_path):
-    new, out = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.range(5).write.parquet(new)
-    schema = spark.read.parquet(new).schema
-    incremental.grow_manifest(spark, new, schema, out, str(tmp_path / "c"), "id")
-    spark.range(3, 8).write.mode("append").parquet(new)
-    incremental.grow_manifest(spark, new, schema, out, str(tmp_path / "c"), "id")
-    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(8))
-
-
 def with_nulls(spark):
     rows = [(i, None if i % 3 == 0 else f"id{i % 7}", None if i % 4 == 0 else f"m{i % 2}", int(i % 5 < 2)) for i in range(60)]
     return spark.createDataFrame(rows, "k long, identity string, method string, label int")
