@@ -30,8 +30,8 @@ SHARD_WORDS = 1 << 21
 BITS_EACH, MOST_BITS = 32, 1 << 28
 #: Counted rows up to which the languages' sizes are broadcast.
 BROADCAST_ROWS = 100_000
-#: Rows of one Arrow batch of results.
-SLICE = 1 << 16
+#: Buckets of phrases: classes of the first word, and of the last.
+FIRST_PARTS, LAST_PARTS = 256, 16
 #: Parts that a language's phrases are ranked in first.
 RANK_PARTS = 64
 UNKNOWN = "und"
@@ -118,15 +118,21 @@ class Side:
         self.size = n
         #: The symbol in front of each suffix; and these symbols with their rows, sorted: ranks of symbols.
         self.before = text[order - 1]
-        self.ranks = np.sort(self.before * n + np.arange(n))
+        del key, order
+        self.ranks = self.before * np.int64(n)
+        self.ranks += np.arange(n)
+        self.ranks.sort()
 
     def extend(self, lo: np.ndarray, hi: np.ndarray, symbols: int) -> tuple[np.ndarray, ...]:
         """(interval, symbol, count, lo, smaller) of every extension: its first row, and how many smaller symbols the interval has."""
         size = hi - lo
         edge = np.cumsum(size) - size
-        which = np.repeat(np.arange(len(lo)), size)
-        rows = np.arange(len(which)) + np.repeat(lo - edge, size)
-        key = np.sort(which * (symbols + 1) + self.before[rows])
+        rows = np.repeat(lo - edge, size)
+        rows += np.arange(len(rows))
+        key = np.repeat(np.arange(len(lo)) * (symbols + 1), size)
+        key += self.before[rows]
+        del rows
+        key.sort()
         new = np.flatnonzero(np.diff(key, prepend=-1))
         times = np.diff(new, append=len(key))
         of, symbol = np.divmod(key[new], symbols + 1)
@@ -208,11 +214,36 @@ def _runs(text: np.ndarray, breaks: np.ndarray, least: int) -> np.ndarray:
     length = np.diff(np.searchsorted(inside, first), append=len(inside))
     keep = np.repeat(length >= least, length)
     inside, kept = inside[keep], length[length >= least]
-    out = np.zeros(len(inside) + len(kept) + 1, np.int64)
+    out = np.zeros(len(inside) + len(kept) + 1, np.int32)
     out[np.arange(len(inside)) + np.repeat(np.arange(1, len(kept) + 1), kept)] = text[inside]
     return out
 
 
+def _packed(found: np.ndarray, times: np.ndarray, lang: pa.Array, word: pa.Array, hashes: np.ndarray) -> pa.RecordBatch:
+    """lang, bucket, packed: the phrases in lines, each the words but the last, then all last words with counts above 1 behind them.
+
+    The bucket follows from the first and the last word, so that neither makes a hot one.
+    """
+    codes = lang.dictionary_encode()
+    first, last = hashes[found[:, 0]], hashes[found[:, -1]]
+    bucket = (first % np.uint64(FIRST_PARTS) * np.uint64(LAST_PARTS) + last % np.uint64(LAST_PARTS)).astype(np.int64)
+    row = codes.indices.to_numpy()[found[:, 0] - 1] * (FIRST_PARTS * LAST_PARTS) + bucket
+    order = np.lexsort((*found[:, -2::-1].T, row))
+    found, times, row = found[order], times[order], row[order]
+    new_row = np.diff(row, prepend=-1) != 0
+    new_line = new_row.copy()
+    new_line[1:] |= (found[1:, :-1] != found[:-1, :-1]).any(1)
+    ends = word.take(pa.array(found[:, -1] - 1))
+    often = pa.array(times > 1)
+    ends = pc.if_else(often, pc.binary_join_element_wise(ends, pc.cast(pa.array(times), pa.string()), " "), ends)
+    lists = lambda values, new: pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new), len(values)).astype(np.int32)), values)
+    heads = (word.take(pa.array(c - 1)) for c in found[new_line, :-1].T)
+    lines = pc.binary_join_element_wise(pc.binary_join_element_wise(*heads, " "), pc.binary_join(lists(ends, new_line), "\t"), "\t")
+    texts = pc.binary_join(lists(lines, new_row[new_line]), "\n")
+    key = row[new_row]
+    return pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(key // (FIRST_PARTS * LAST_PARTS))), pa.array((key % (FIRST_PARTS * LAST_PARTS)).astype(np.int32)), texts], names=["lang", "bucket", "packed"])
+
+
 def counted(shard: DataFrame, words: np.ndarray, pairs: np.ndarray | None, longest: int, least: int) -> DataFrame:
     """lang, phrase, n_words, n: phrases of ``longest`` words, or with ``pairs`` of 3 to ``longest``, that occur ``least`` times in all.
 
@@ -228,7 +259,7 @@ def counted(shard: DataFrame, words: np.ndarray, pairs: np.ndarray | None, longe
                 lang, word = entries.field("lang"), entries.field("word")
                 hashes = np.fromiter(map(_word_hash, lang.to_pylist(), word.to_pylist()), np.uint64, len(entries))
                 frequent = np.flatnonzero(_has(own_words, hashes))
-                new = np.zeros(len(entries) + 1, np.int64)
+                new = np.zeros(len(entries) + 1, np.int32)
                 new[frequent + 1] = np.arange(1, len(frequent) + 1)
                 text = new[np.frombuffer(batch.column(1)[row].as_buffer(), "<i4")]
                 breaks, hashes = np.zeros(len(text), bool), np.r_[np.uint64(0), hashes[frequent]]
@@ -238,19 +269,18 @@ def counted(shard: DataFrame, words: np.ndarray, pairs: np.ndarray | None, longe
                 text = _runs(text, breaks, 2 if own_pairs is None else 3)
                 if len(text) == 1:
                     continue
-                index = PhraseIndex(text, len(frequent), longest)
                 lang, word = lang.take(pa.array(frequent)), word.take(pa.array(frequent))
-                for found, times in index.phrases():
-                    if own_pairs is not None and found.shape[1] < 3:
-                        continue
-                    for at in range(0, len(found), SLICE):
-                        part = found[at : at + SLICE] - 1
-                        phrase = pc.binary_join_element_wise(*(word.take(pa.array(c)) for c in part.T), " ")
-                        size = pa.array(np.full(len(part), part.shape[1], np.int32))
-                        yield pa.RecordBatch.from_arrays([lang.take(pa.array(part[:, 0])), phrase, size, pa.array(times[at : at + SLICE])], names=["lang", "phrase", "n_words", "n"])
-
-    rows = shard.select("words", "ids").mapInArrow(run, "lang string, phrase string, n_words int, n long")
-    return rows.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+                for found, times in PhraseIndex(text, len(frequent), longest).phrases():
+                    if own_pairs is None or found.shape[1] > 2:
+                        yield _packed(found, times, lang, word, hashes)
+
+    rows = shard.select("words", "ids").mapInArrow(run, "lang string, bucket int, packed string").repartition("lang", "bucket")
+    # What was dealt by bucket needs no further exchange to be counted by phrase.
+    lines = rows.select("lang", "bucket", F.explode(F.split("packed", "\n")).alias("line")).select("lang", "bucket", F.split("line", "\t").alias("line"))
+    ends = lines.select("lang", "bucket", F.col("line")[0].alias("head"), F.explode(F.slice("line", F.lit(2), F.size("line"))).alias("end"))
+    ends = ends.select("lang", "bucket", F.concat_ws(" ", "head", F.substring_index("end", " ", 1)).alias("phrase"), F.coalesce(F.get(F.split("end", " "), F.lit(1)).cast("long"), F.lit(1)).alias("n"))
+    summed = ends.groupBy("lang", "bucket", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return summed.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n_words"), "n")
 
 
 def _joined(words: Column, start: Column | int, length: Column | int) -> Column:
