@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import hash_ranked, match, seeded, uniform
-
+from tessera.functions.shared import broadcast_if_small, materialise
 
 #: Spark's own bound for cutting groups before a shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
@@ -109,36 +109,100 @@ def middle_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return rows.filter("_r = _n div 2").drop("_r", "_n")
 
 
-def _first_ranges(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The rows of each suite in as many first ranges of hashes as hold ``_take`` rows."""
-    counts = rows.groupBy("suite", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("suite").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = match(counts.withColumn("_before", F.coalesce(before, F.lit(0))), sizes, ["suite"])
-    return match(rows, counts.filter(F.col("_before") < F.col("_take")).select("suite", "_range"), ["suite", "_range"], "left_semi").drop("_range")
+#: Suites that a real row is held against at once, as one array.
+SUITES_AT_ONCE = 1000
+
+
+def _below(reals: DataFrame, key: str, wanted: DataFrame, seed: int) -> DataFrame:
+    """The pairs of a real row and a suite whose hash is below the suite's ``_cut``; no others are made."""
+    parts = max(1, -(-wanted.count() // SUITES_AT_ONCE))
+    lists = wanted.groupBy(F.pmod(F.xxhash64("suite"), F.lit(parts)).alias("_part")).agg(F.collect_list(F.struct("suite", "_cut")).alias("_suites")).drop("_part")
+    low = F.filter("_suites", lambda s: F.substring(seeded(seed, s["suite"], key), 1, 8) < s["_cut"])
+    met = reals.crossJoin(F.broadcast(lists))  # one row of suites, as long as there are SUITES_AT_ONCE or fewer
+    return met.withColumn("suite", F.explode(low)).withColumn("suite", F.col("suite.suite")).drop("_suites")
+
+
+def _with_cut(wanted: DataFrame) -> DataFrame:
+    """Adds the hash below which about ``_rows`` of ``_reals`` rows are, as eight hex digits ("g" is above all)."""
+    share = F.col("_rows") / F.col("_reals")
+    return wanted.withColumn("_cut", F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex(F.ceil(share * float(1 << 32)).cast("long")), 8, "0"))))
+
+
+def lowest_for_suites(reals: DataFrame, key: str, sizes: DataFrame, seed: int = 42, margin: float = 2.5) -> DataFrame:
+    """suite and the ``_take`` rows of ``reals`` that come first in the suite's hash order, for each row of ``sizes`` (suite, _take, _reals).
+
+    Hashes are even, so the place where a suite's share ends is known but for a few rows; pairs below that place and a
+    margin (in standard deviations) are made. Suites that still lack rows, about one in two hundred, are made again with twice the share.
+    """
+    wanted = materialise(_with_cut(sizes.filter("_take > 0").withColumn("_rows", F.greatest(F.lit(1.0), F.col("_take") + margin * F.sqrt("_take") + 3))))
+    made, done = None, materialise(_below(reals, key, wanted, seed))
+    while True:
+        n = done.groupBy("suite").agg(F.count(F.lit(1)).alias("_n"))
+        short = materialise(match(wanted, n, ["suite"], "left").filter((F.coalesce("_n", F.lit(0)) < F.col("_take")) & (F.col("_cut") != "g")).drop("_n"))
+        lacks = short.count()
+        good = match(done, short.select("suite"), ["suite"], "left_anti") if lacks else done
+        made = good if made is None else made.unionByName(good)
+        if not lacks:
+            break
+        wanted = _with_cut(short.withColumn("_rows", 2 * F.col("_rows")))
+        done = materialise(_below(reals, key, wanted, seed))
+    rows = match(hash_ranked(made, seed, ["suite", key], ["suite"], digits=5), sizes.select("suite", "_take"), ["suite"])
+    return rows.filter(F.col("rank") <= F.col("_take")).drop("rank", "_take")
 
 
 def suite_balanced(df: DataFrame, key: str, method: str = "method", label: str = "label", real: str = "real", seed: int = 42) -> DataFrame:
     """For each method as many reals as it has fakes (or fewer of the fakes), as rows (suite, ...).
 
-    Reals are ordered anew for each method. They meet the small table of methods, but only the rows in
-    the first ranges of hashes that hold a method's share are ranked and shuffled.
+    Reals are ordered anew for each method, but only those that come first are made into rows of its suite.
     """
     fakes, reals = df.filter(F.col(label) == 1), df.filter(F.col(label) == 0)
     n_real = reals.agg(F.count(F.lit(1)).alias("_reals"))
-    sizes = fakes.groupBy(method).agg(F.count(F.lit(1)).alias("_fakes")).crossJoin(F.broadcast(n_real))
-    sizes = sizes.select(F.col(method).alias("suite"), F.least("_fakes", "_reals").alias("_take"))
-    own = hash_ranked(fakes.withColumn("suite", F.col(method)), seed, [key], ["suite"])
-    others = reals.crossJoin(F.broadcast(sizes.select("suite")))
-    others = hash_ranked(_first_ranges(others.withColumn("_range", F.substring(seeded(seed, "suite", key), 1, 3)), sizes), seed, ["suite", key], ["suite"])
-    both = own.unionByName(others).join(F.broadcast(sizes), "suite")
-    return both.filter(F.col("rank") <= F.col("_take")).drop("rank", "_take")
+    sizes = fakes.groupBy(method).agg(F.count(F.lit(1)).alias("_fakes")).crossJoin(F.broadcast(n_real))  # one row
+    sizes = materialise(sizes.select(F.col(method).alias("suite"), F.least("_fakes", "_reals").alias("_take"), "_reals"))
+    own = match(hash_ranked(fakes.withColumn("suite", F.col(method)), seed, [key], ["suite"]), sizes.select("suite", "_take"), ["suite"])
+    own = own.filter(F.col("rank") <= F.col("_take")).drop("rank", "_take")
+    return own.unionByName(lowest_for_suites(reals, key, sizes, seed))
 
 
-def suite_full(df: DataFrame, method: str = "method", label: str = "label") -> DataFrame:
-    """For each method all its fakes and all reals; the result is methods x reals by definition."""
-    fakes, reals = df.filter(F.col(label) == 1), df.filter(F.col(label) == 0)
-    methods = fakes.select(F.col(method).alias("suite")).distinct()
-    return fakes.withColumn("suite", F.col(method)).unionByName(reals.crossJoin(F.broadcast(methods)))
+def suite_full(df: DataFrame, method: str = "method", label: str = "label", methods: DataFrame | None = None) -> DataFrame:
+    """For each method all its fakes and all reals; the result is methods x reals by definition.
+
+    ``methods`` (column suite) names the suites; by default they are the methods of the fakes.
+    """
+    fakes, reals = df.filter(F.col(label) == 1).withColumn("suite", F.col(method)), df.filter(F.col(label) == 0)
+    if methods is None:
+        methods = fakes.select("suite")
+    methods = materialise(methods.select("suite").distinct())
+    return match(fakes, methods, ["suite"], "left_semi").unionByName(reals.crossJoin(broadcast_if_small(methods, methods.count(), SUITES_AT_ONCE)))
+
+
+def method_suites(benchmark: DataFrame, test: DataFrame, key: str, method: str = "method", label: str = "label", seed: int = 42) -> DataFrame:
+    """Rows (suite, variant, ...) of every method of the benchmark's fakes, in the five variants of its suite.
+
+    test_balanced, test_full and test_detailed (the same rows) of the test split; benchmark_balanced and benchmark_full of all rows.
+    A method without a fake in the test split has no test_balanced, and only reals in test_full.
+    """
+    methods = benchmark.filter(F.col(label) == 1).select(F.col(method).alias("suite"))
+    named = lambda df, name: df.withColumn("variant", F.lit(name))
+    full = suite_full(test, method, label, methods)
+    out = named(suite_balanced(test, key, method, label, seed=seed), "test_balanced")
+    for name, df in (("test_full", full), ("test_detailed", full), ("benchmark_balanced", suite_balanced(benchmark, key, method, label, seed=seed)), ("benchmark_full", suite_full(benchmark, method, label))):
+        out = out.unionByName(named(df, name))
+    return out
+
+
+def methods_summary(rows: DataFrame, in_test: Column, method: str = "method", label: str = "label") -> DataFrame:
+    """method and the sizes of its suites: test_split_fakes, test_split_balanced_total, benchmark_fakes, benchmark_balanced_total, benchmark_full_total.
+
+    All follow from the numbers of fakes and of reals; no suite is made.
+    """
+    real = rows.filter(F.col(label) == 0).agg(F.count_if(in_test).alias("_test"), F.count(F.lit(1)).alias("_all"))
+    fake = rows.filter(F.col(label) == 1).groupBy(method).agg(F.count_if(in_test).alias("test_split_fakes"), F.count(F.lit(1)).alias("benchmark_fakes"))
+    both = fake.crossJoin(F.broadcast(real))  # one row
+    return both.select(
+        method, "test_split_fakes", (2 * F.least("test_split_fakes", "_test")).alias("test_split_balanced_total"),
+        "benchmark_fakes", (2 * F.least("benchmark_fakes", "_all")).alias("benchmark_balanced_total"), (F.col("benchmark_fakes") + F.col("_all")).alias("benchmark_full_total"),
+    )
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

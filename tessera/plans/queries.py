@@ -19,7 +19,7 @@ from tessera.operators.images import decode_audit, domain_gap, image_stats
 from tessera.operators.perceptual import near_images, perceptual_hashes
 from tessera.plans.views import G, M, P, R, frames, pages, runs, samples, table
 from tessera.sources import manifests as S
-from tessera.sources import sinks
+from tessera.sources import sinks, snapshots
 from tessera.streaming import incremental as I
 from tessera.streaming import live as L
 
@@ -520,13 +520,15 @@ def _(spark, d):
     return rounded(C.ensemble(long, weights, "sample_id", "view", "p"), "prob", digits=7)
 
 
-@query("methods_summary", f"{M}, s AS (SELECT DISTINCT method FROM m WHERE label = 1), r AS (SELECT count(*) AS reals FROM m WHERE label = 0) SELECT method, count(*) AS fakes, 2 * least(count(*), any_value(reals)) AS balanced_total, count(*) + any_value(reals) AS full_total FROM m, r WHERE label = 1 GROUP BY method")
+@query(
+    "methods_summary",
+    f"""{_split_sql(THREE)}, r AS (SELECT count(*) FILTER (split = 'test') AS test_reals, count(*) AS reals FROM m JOIN s USING (identity) WHERE label = 0),
+    f AS (SELECT method, count(*) FILTER (split = 'test') AS test_split_fakes, count(*) AS benchmark_fakes FROM m JOIN s USING (identity) WHERE label = 1 GROUP BY method)
+    SELECT method, test_split_fakes, 2 * least(test_split_fakes, test_reals) AS test_split_balanced_total, benchmark_fakes, 2 * least(benchmark_fakes, reals) AS benchmark_balanced_total, benchmark_fakes + reals AS benchmark_full_total FROM f, r""",
+)
 def _(spark, d):
-    m = samples(spark, d).select("sample_id", "method", "label")
-    full = B.suite_full(m).select("suite", F.lit("full").alias("variant"), "label")
-    balanced = B.suite_balanced(m, "sample_id").select("suite", F.lit("balanced").alias("variant"), "label")
-    wide = full.unionByName(balanced).groupBy(F.col("suite").alias("method")).pivot("variant", ["full", "balanced"]).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("fakes"))
-    return wide.select("method", F.col("full_fakes").alias("fakes"), F.col("balanced_n").alias("balanced_total"), F.col("full_n").alias("full_total"))
+    rows = D.split_groups(samples(spark, d).select("identity", "method", "label"), ["identity"], PARTS3)
+    return B.methods_summary(rows, F.col("split") == "test")
 
 
 @query("decode_failures", "SELECT role AS error, count(*) AS n, array_to_string(list_slice(list_sort(list(DISTINCT conv_id)), 1, 10), ',') AS samples FROM conversations WHERE length(text) < 40 GROUP BY role")
@@ -1073,22 +1075,45 @@ def _(spark, d):
     folder = I.scratch(spark, "split")
     rows = D.split_groups(samples(spark, d), ["identity"], PARTS3)
     sinks.write_split(rows.withColumn("path", F.col("sample_id").cast("string")), folder, detailed=True)
-    return spark.read.parquet(folder).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("fakes"), F.min("identity").alias("first_identity"))
+    return snapshots.read(spark, folder).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("fakes"), F.min("identity").alias("first_identity"))
 
 
-@query("write_method_suites", f"{M}, s AS (SELECT DISTINCT method AS suite FROM m WHERE label = 1) SELECT suite, 'full' AS variant, count(*) AS n FROM m, s WHERE label = 0 OR method = suite GROUP BY suite")
+@query(
+    "write_method_suites",
+    f"""{_split_sql(THREE)}, x AS (SELECT m.*, split FROM m JOIN s USING (identity)), ks AS (SELECT DISTINCT method AS suite FROM x WHERE label = 1),
+    full_ AS (SELECT suite, sample_id, label, identity, split FROM x, ks WHERE label = 0 OR method = suite),
+    fakes AS (SELECT scope, method AS suite, sample_id, label, row_number() OVER (PARTITION BY scope, method ORDER BY md5('42:' || sample_id), sample_id) AS r FROM x, (VALUES ('test'), ('benchmark')) v(scope) WHERE label = 1 AND (scope = 'benchmark' OR split = 'test')),
+    reals AS (SELECT scope, suite, sample_id, label, row_number() OVER (PARTITION BY scope, suite ORDER BY md5('42:' || suite || ':' || sample_id), sample_id) AS r FROM x, ks, (VALUES ('test'), ('benchmark')) v(scope) WHERE label = 0 AND (scope = 'benchmark' OR split = 'test')),
+    n AS (SELECT scope, suite, least(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) AS n FROM (SELECT * FROM fakes UNION ALL SELECT * FROM reals) GROUP BY ALL),
+    v AS (SELECT suite, scope || '_balanced' AS variant, sample_id, label, NULL AS identity FROM (SELECT * FROM fakes UNION ALL SELECT * FROM reals) JOIN n USING (scope, suite) WHERE r <= n
+      UNION ALL SELECT suite, 'benchmark_full', sample_id, label, NULL FROM full_ UNION ALL SELECT suite, 'test_full', sample_id, label, NULL FROM full_ WHERE split = 'test' UNION ALL SELECT suite, 'test_detailed', sample_id, label, identity FROM full_ WHERE split = 'test')
+    SELECT suite, variant, count(*) AS n, CAST(sum(label) AS BIGINT) AS fakes, CAST(sum(sample_id) AS BIGINT) AS ids, min(identity) AS first_identity FROM v GROUP BY ALL""",
+)
 def _(spark, d):
     folder = I.scratch(spark, "suites")
-    sinks.write_suites(B.suite_full(samples(spark, d).select("sample_id", "method", "label")).withColumn("variant", F.lit("full")), folder)
-    return spark.read.parquet(folder).groupBy("suite", "variant").agg(F.count(F.lit(1)).alias("n"))
+    rows = D.split_groups(samples(spark, d), ["identity"], PARTS3).withColumn("path", F.col("sample_id").cast("string"))
+    sinks.write_suites(B.method_suites(rows, rows.filter("split = 'test'"), "sample_id"), folder)
+    found = snapshots.read(spark, folder).groupBy("suite", "variant")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("fakes"), F.sum(F.col("path").cast("long")).alias("ids"), F.min("identity").alias("first_identity"))
 
 
-@query("append_manifest", f"{M} SELECT sample_id, method FROM m WHERE method IN ('real', 'click', 'error')")
-def _(spark, d):
-    folder, m = I.scratch(spark, "manifest"), samples(spark, d).select("sample_id", "method")
+def _two_appends(spark: SparkSession, sf_dir: str) -> str:
+    folder, m = I.scratch(spark, "manifest"), samples(spark, sf_dir).select("sample_id", "method")
     sinks.append_manifest(m.filter("method IN ('real', 'click')"), folder, "sample_id")
     sinks.append_manifest(m.filter("method IN ('click', 'error')"), folder, "sample_id")
-    return spark.read.parquet(folder)
+    return folder
+
+
+@query("append_manifest", f"{M} SELECT sample_id, method FROM m WHERE method IN ('real', 'click', 'error')")
+def _(spark, d):
+    return snapshots.read(spark, _two_appends(spark, d))
+
+
+@query("manifest_versions", f"{M} SELECT sample_id, 1 AS since FROM m WHERE method IN ('real', 'click') UNION ALL SELECT sample_id, 2 FROM m WHERE method = 'error'")
+def _(spark, d):
+    folder = _two_appends(spark, d)
+    first, later = snapshots.read(spark, folder, 1), snapshots.changes(spark, folder, 1)
+    return first.select("sample_id", F.lit(1).alias("since")).unionByName(later.select("sample_id", F.lit(2).alias("since")))
 
 
 @query("write_summary", f"{M} SELECT domain, count(*) AS n FROM m GROUP BY domain")

@@ -13,29 +13,33 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.shared import path_exists
+from tessera.sources import snapshots
 
 STANDARD = ("path", "label")
 DETAILED = ("path", "label", "method", "identity", "domain", "video")
 
 
 def write_split(df: DataFrame, folder: str, detailed: bool = False, form: str = "parquet") -> None:
-    """One partition a split, with the standard or the detailed columns."""
-    df.select(*(DETAILED if detailed else STANDARD), "split").write.mode("overwrite").partitionBy("split").format(form).option("header", "true").save(folder)
+    """One partition a split, with the standard or the detailed columns, as the newest version of the table ``folder``."""
+    snapshots.commit(df.select(*(DETAILED if detailed else STANDARD), "split"), folder, replace=True, partition_by=["split"], form=form)
 
 
-def write_suites(df: DataFrame, folder: str) -> None:
-    """Rows with suite and variant, partitioned by both."""
-    df.write.mode("overwrite").partitionBy("suite", "variant").parquet(folder)
+#: Variants of a method's suite, with their columns: balanced and full, of the test split and of the whole benchmark.
+VARIANTS = {"test_balanced": STANDARD, "test_full": STANDARD, "test_detailed": DETAILED, "benchmark_balanced": STANDARD, "benchmark_full": STANDARD}
+
+
+def write_suites(suites: DataFrame, folder: str) -> None:
+    """Rows with suite and variant (of VARIANTS), partitioned by both, as the newest version of the table ``folder``.
+
+    Columns that a variant doesn't have are null in its rows.
+    """
+    own = lambda c: F.when(F.col("variant").isin([v for v, names in VARIANTS.items() if c in names]), F.col(c)).alias(c)
+    snapshots.commit(suites.select(*map(own, DETAILED), "suite", "variant"), folder, replace=True, partition_by=["suite", "variant"])
 
 
 def append_manifest(df: DataFrame, folder: str, key: str) -> None:
-    """Append the rows whose key isn't there yet (one row of each new key)."""
-    spark = df.sparkSession
-    new = df.dropDuplicates([key])
-    if path_exists(spark, folder):
-        new = new.join(spark.read.parquet(folder).select(key), key, "left_anti")
-    new.write.mode("append").parquet(folder)
+    """Commit the rows whose key isn't in the table ``folder`` yet (one row of each new key)."""
+    snapshots.commit(df, folder, [key])
 
 
 def write_summary(df: DataFrame, folder: str) -> None:

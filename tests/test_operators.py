@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import keys
 from tessera.functions.hashing import hash_ranked
 from tessera.operators import components, history, images, metrics, sampling, splits, vectors
-from tessera.sources import manifests, sinks
+from tessera.sources import manifests, sinks, snapshots
 
 
 @pytest.fixture(scope="module")
@@ -231,10 +231,10 @@ def test_readers(spark, tmp_path):
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("a", 0, "real", "i", "d", "v", "train"), ("b", 1, "m", "i", "d", "v", "test")], "path string, label int, method string, identity string, domain string, video string, split string")
     sinks.write_split(df, str(tmp_path / "s"), detailed=True)
-    assert spark.read.parquet(str(tmp_path / "s")).filter("split = 'train'").count() == 1
+    assert snapshots.read(spark, str(tmp_path / "s")).filter("split = 'train'").count() == 1
     for _ in range(2):
         sinks.append_manifest(df, str(tmp_path / "m"), "path")
-    assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+    assert snapshots.read(spark, str(tmp_path / "m")).count() == 2
 
 
 def with_nulls(spark):
