@@ -16,6 +16,7 @@ from tessera.operators import sampling as B
 from tessera.operators import splits as D
 from tessera.operators import vectors as V
 from tessera.operators.images import decode_audit, domain_gap, image_stats
+from tessera.operators import registry as X
 from tessera.operators.perceptual import near_images, perceptual_hashes
 from tessera.plans.views import G, M, P, R, frames, pages, runs, samples, table
 from tessera.sources import manifests as S
@@ -866,6 +867,53 @@ def _(spark, d):
     return rounded(V.score_batches(table(spark, d, "embeddings"), lambda x: 1 / (1 + np.exp(-x.sum(1))), "vec_id", "embedding"), "prob", digits=6)
 
 
+def load_linear(path: str):
+    """Weights from a text file of numbers; scores are logistic."""
+    import numpy as np
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(place) as file:
+        weights = np.array(file.read().split(), dtype=float)
+    return lambda x: 1 / (1 + np.exp(-(x @ weights)))
+
+
+def _linear_model(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame) -> X.Model:
+    """A model whose weights are the mean vector of ``rows``, in a file of the shared folder."""
+    folder = I.scratch(spark, f"model-{name}")
+    means = rows.select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.avg(F.col("v").cast("double")).alias("w"))
+    means.orderBy("i").coalesce(1).select(F.col("w").cast("string").alias("value")).write.text(folder)
+    file = next(f for f in spark.read.text(folder).inputFiles())
+    return X.Model(name, load_linear, file, 64)
+
+
+@query(
+    "score_models",
+    """WITH x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT label, unnest(range(1, 65)) AS i, unnest(e) AS v FROM x),
+    w AS (SELECT list(a ORDER BY i) AS a, list(o ORDER BY i) AS o FROM (SELECT i, avg(v) AS a, avg(v) FILTER (label % 2 = 1) AS o FROM u GROUP BY i))
+    SELECT vec_id, round(1 / (1 + exp(-list_dot_product(e, a))), 6) AS prob_all, round(1 / (1 + exp(-list_dot_product(e, o))), 6) AS prob_odd FROM x, w""",
+)
+def _(spark, d):
+    rows = table(spark, d, "embeddings")
+    models = X.Registry([_linear_model(spark, d, "all", rows), _linear_model(spark, d, "odd", rows.filter("label % 2 = 1"))])
+    scored = X.score_models(rows, list(models), "embedding")
+    return rounded(scored.select("vec_id", "prob_all", "prob_odd"), "prob_all", "prob_odd", digits=6)
+
+
+def load_letters(_: str):
+    """Counts of the letters a to z in each text, in either case."""
+    return lambda texts: [[t.lower().count(chr(97 + k)) for k in range(26)] for t in texts]
+
+
+@query("feature_store", "SELECT doc_id, " + ", ".join(f"length(text) - length(replace(replace(text, '{c}', ''), '{c.upper()}', '')) AS {c}" for c in "aez") + ", 26 AS dim FROM documents")
+def _(spark, d):
+    docs, folder, model = table(spark, d, "documents").select("doc_id", "text"), I.scratch(spark, "features"), X.Model("letters", load_letters, "", 26)
+    X.stored_features(docs.filter("doc_id % 2 = 0"), model, folder, "text")
+    rows = X.stored_features(docs, model, folder, "text")  # computes what the first call has not
+    at = lambda c: F.col("features")[ord(c) - 97].cast("long").alias(c)
+    return rows.select("doc_id", at("a"), at("e"), at("z"), F.size("features").alias("dim"))
+
+
 # ---- streams over the events table
 
 #: Files that the events land in, one a batch, and score cells of the running metrics.
@@ -1150,11 +1198,13 @@ def _(spark, d):
     return S.scan_annotations(spark, folder, split_bytes=SPLIT_BYTES)
 
 
-@query("scan_features", f"{M} SELECT sample_id, prob FROM m")
+@query("scan_features", "SELECT vec_id, label, len(embedding) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
 def _(spark, d):
-    folder = I.scratch(spark, "features")
-    samples(spark, d).select("sample_id", "prob").write.parquet(folder)
-    return S.scan_features(spark, folder)
+    folder, rows = I.scratch(spark, "features"), table(spark, d, "embeddings")
+    rows.select("vec_id", F.col("embedding").cast("array<float>").alias("features")).write.parquet(folder)
+    found = X.aligned_features(S.scan_features(spark, folder, "vec_id"), rows.select("vec_id", "label"), ["vec_id"], 64)
+    total = F.aggregate(F.col("features").cast("array<double>"), F.lit(0.0), lambda a, v: a + v)
+    return rounded(found.select("vec_id", "label", F.size("features").alias("dim"), total.alias("total")), "total", digits=4)
 
 
 @query("scan_reports", f"{M} SELECT method, domain, 'n' AS metric, CAST(count(*) AS DOUBLE) AS value FROM m GROUP BY ALL UNION ALL SELECT method, domain, 'fakes', CAST(sum(label) AS DOUBLE) FROM m GROUP BY ALL")

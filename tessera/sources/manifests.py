@@ -77,8 +77,13 @@ def scan_list(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.filter(F.size(parts) >= 2).select(parts[0].cast("int").alias("flag"), parts[1].alias("path"))
 
 
-def scan_features(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def scan_features(spark: SparkSession, path: str, key: str, column: str = "features") -> DataFrame:
+    """``key`` and an array of floats; ValueError where the stored columns are of another kind."""
+    rows = spark.read.parquet(path)
+    kind = rows.schema[column].dataType if column in rows.columns else None
+    if key not in rows.columns or not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, (T.FloatType, T.DoubleType)):
+        raise ValueError(f"{path} doesn't hold {key} and {column}, an array of floats")
+    return rows.select(key, F.col(column).cast("array<float>").alias(column))
 
 
 def scan_reports(spark: SparkSession, path: str) -> DataFrame:
