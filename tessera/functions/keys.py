@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Method families and their members.
 FAMILIES = {"organic": ("view", "real"), "commerce": ("click", "purchase"), "account": ("signup",), "fault": ("error",)}
+#: The families of forgery methods. The last one is held out as unknown when detectors are trained.
+TAXONOMY = {"FS": ("simswap", "faceswap", "blendface"), "FR": ("wav2lip", "sadtalker", "fomm"), "EFS": ("StyleGAN2", "VQGAN", "ddim"), "FE": ("stargan", "starganv2", "styleclip")}
+UNKNOWN_FAMILIES = ("FE",)
 
 
 def label_from_method(method: Column, label: Column | None = None, real: str = "real") -> Column:
@@ -107,13 +111,34 @@ def classify_source(name: Column) -> Column:
     )
 
 
-def method_family(method: Column) -> Column:
+def method_family(method: Column, families: Mapping[str, Sequence[str]] = FAMILIES) -> Column:
+    """The family of a method, "other" for one in none."""
     out = F.lit("other")
-    for family, members in FAMILIES.items():
+    for family, members in families.items():
         out = F.when(method.isin(*members), family).otherwise(out)
     return out
 
 
+def subject_prefix(stem: Column) -> Column:
+    """What stands before the first "_" of a file stem, the stem itself without one."""
+    return F.substring_index(stem, "_", 1)
+
+
+def path_remap(path: Column, method: Column, rules: Mapping[str | None, Sequence[tuple[str, str]]]) -> Column:
+    """``path`` with each method's (old, new) parts replaced, in order, after those of None, which hold for all methods."""
+    out = path
+    for old, new in rules.get(None, ()):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    whole = out
+    for name, parts in rules.items():
+        if name is not None:
+            own = whole
+            for old, new in parts:
+                own = F.replace(own, F.lit(old), F.lit(new))
+            out = F.when(method == name, own).otherwise(out)
+    return out
+
+
 def error_type(label: Column, pred: Column) -> Column:
     return F.when((label == 1) & (pred == 1), "TP").when((label == 0) & (pred == 0), "TN").when(label == 1, "FN").otherwise("FP")
 

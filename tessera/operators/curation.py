@@ -71,8 +71,8 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def exact_dedup(df: DataFrame, content: str, key: str) -> DataFrame:
-    """key, content_sha256, copies: the row of the smallest key of each distinct content (nulls are one)."""
-    hashed = df.select(key, F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("content_sha256"))
+    """key, content_sha256, copies: the row of the smallest key of each distinct content; null contents are one, apart from empty ones."""
+    hashed = df.select(key, F.sha2(F.col(content).cast("binary"), 256).alias("content_sha256"))
     return hashed.groupBy("content_sha256").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
 
 
@@ -88,8 +88,8 @@ def ensemble(scores: DataFrame, weights: DataFrame, key: str, member: str = "mod
 
 
 def compare_models(reports: DataFrame, keys: Sequence[str], models: Sequence[str], value: str, model: str = "model") -> DataFrame:
-    """keys, one column a model, delta (first minus second); keys that a model lacks stay with null."""
-    wide = reports.groupBy(*keys).pivot(model, list(models)).agg(F.first(value))
+    """keys, one column a model, delta (first minus second); keys that a model lacks stay with null, of repeated rows the highest counts."""
+    wide = reports.groupBy(*keys).pivot(model, list(models)).agg(F.max(value))
     return wide.withColumn("delta", F.col(models[0]) - F.col(models[1]))
 
 

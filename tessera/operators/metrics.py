@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from math import inf, isfinite
 
 from pyspark.ml.feature import Bucketizer
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import match
+from tessera.functions.shared import materialise
 
 #: Buckets of scores in the two-level prefix sums.
 BUCKETS = 512
@@ -65,7 +66,8 @@ def cumulative(df: DataFrame, score: str, by: Sequence[str] = (), label: str = "
     approximate quantiles of the distinct scores, so crowded ends of the range are divided as well.
     """
     y = F.col(label)
-    points = df.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+    # Written once, and read for the quantiles, the totals and the sums.
+    points = materialise(df.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")))
     cuts = points.select(F.percentile_approx(F.col("score").cast("double"), [i / BUCKETS for i in range(1, BUCKETS)])).first()[0]
     splits = [-inf, *sorted({c for c in cuts or [0.0] if isfinite(c)} or {0.0}), inf]
     points = Bucketizer(splits=splits, inputCol="score", outputCol="_b", handleInvalid="keep").transform(points)
@@ -229,3 +231,10 @@ def by_correctness(df: DataFrame, value: str, label: str = "label", pred: str =
     """is_error, n, mean, std (population) of an attribute."""
     wrong = (F.col(label) != F.col(pred)).alias("is_error")
     return df.groupBy(wrong).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
+def real_report(df: DataFrame, kinds: Mapping[str, Column], label: str = "label", pred: str = "pred") -> DataFrame:
+    """kind, value, n, real_acc, false_positives of the real rows by each of ``kinds`` (source, folder, kind of identifier, ...), in one pass."""
+    each = F.array(*(F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value")) for kind, value in kinds.items()))
+    rows = df.filter(F.col(label) == 0).select(F.inline(each), F.col(pred).alias("_pred"))
+    return rows.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("_pred") == 0).cast("double")).alias("real_acc"), F.count_if(F.col("_pred") == 1).alias("false_positives"))

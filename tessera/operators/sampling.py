@@ -251,10 +251,10 @@ def batch_balance(df: DataFrame, key: str, size: int, label: str = "label", seed
     return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("fakes"), F.avg(label).alias("share"))
 
 
-def frame_plan(df: DataFrame, total: str, n: int, every: int) -> DataFrame:
-    """plan, frame: frame numbers by ``n`` even places and by every ``every``-th frame, for each row."""
+def frame_plan(df: DataFrame, total: str, n: int, every: int, wanted: Sequence[int] = ()) -> DataFrame:
+    """plan, frame: frame numbers by ``n`` even places, by every ``every``-th frame, and those ``wanted`` that there are, for each row."""
     last = F.greatest(F.col(total) - 1, F.lit(0))
     even = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(last * i / F.lit(max(1, n - 1))).cast("long"))
     step = F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(every).cast("long"))
-    plans = F.array(F.struct(F.lit("even").alias("plan"), F.array_distinct(even).alias("frames")), F.struct(F.lit("step").alias("plan"), step.alias("frames")))
+    plans = F.array(F.struct(F.lit("even").alias("plan"), F.array_distinct(even).alias("frames")), F.struct(F.lit("step").alias("plan"), step.alias("frames")), F.struct(F.lit("set").alias("plan"), F.filter(F.array(*map(F.lit, sorted(set(wanted)))).cast("array<long>"), lambda f: (f >= 0) & (f <= last) & (F.col(total) > 0)).alias("frames")))
     return df.withColumn("_p", F.explode(plans)).select("*", F.col("_p.plan").alias("plan"), F.explode("_p.frames").alias("frame")).drop("_p")

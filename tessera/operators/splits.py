@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +74,12 @@ def leakage(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     return sets.select(F.inline(pairs)).groupBy("split_a", "split_b").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def leakage_by_level(df: DataFrame, levels: Mapping[str, str], split: str = "split") -> DataFrame:
+    """level, split_a, split_b, shared: ``leakage`` of several keys (a subject's, a video's, ...), each a column of its own."""
+    audits = [leakage(df, key, split).withColumn("level", F.lit(level)) for level, key in levels.items()]
+    return reduce(DataFrame.unionByName, audits)
+
+
 def overlap(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
     """by, left_keys, shared, share: distinct keys of ``left`` that ``right`` has too, for each class."""
     keys = left.select(by, key).distinct()

@@ -361,11 +361,12 @@ def _(spark, d):
 @query(
     "frame_plan",
     """WITH v AS (SELECT l_orderkey AS video, count(*) AS total FROM lineitem GROUP BY ALL), e AS (SELECT DISTINCT video, 'even' AS plan, CAST(floor((total - 1) * i / 3.0) AS BIGINT) AS frame FROM v, range(0, 4) t(i))
-    SELECT * FROM e UNION ALL SELECT video, 'step', CAST(i AS BIGINT) FROM v, range(0, 64) t(i) WHERE i % 2 = 0 AND i < total""",
+    SELECT * FROM e UNION ALL SELECT video, 'step', CAST(i AS BIGINT) FROM v, range(0, 64) t(i) WHERE i % 2 = 0 AND i < total
+    UNION ALL SELECT video, 'set', CAST(i AS BIGINT) FROM v, (VALUES (1), (3), (5)) t(i) WHERE i < total""",
 )
 def _(spark, d):
     v = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("video")).agg(F.count(F.lit(1)).alias("total"))
-    return B.frame_plan(v, "total", 4, 2).select("video", "plan", "frame")
+    return B.frame_plan(v, "total", 4, 2, [1, 3, 5]).select("video", "plan", "frame")
 
 
 # ---- metrics
@@ -1237,6 +1238,79 @@ def _(spark, d):
     return samples(spark, d).select("sample_id", K.label_from_name(name).alias("label"))
 
 
+# Keys of every kind: what a sample's place is made of depends on its number.
+KINDS = f"""{M}, k AS (SELECT *, CASE sample_id % 6 WHEN 0 THEN 'id' || user_id || '_' || sample_id % 9 || '_0003' WHEN 1 THEN user_id || '_' || sample_id WHEN 5 THEN CAST(user_id AS VARCHAR) ELSE 'clip' || user_id END AS place,
+    CASE sample_id % 6 WHEN 2 THEN user_id || '_7' WHEN 3 THEN CAST(user_id AS VARCHAR) ELSE domain END AS folder FROM m)"""
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, user = samples(spark, sf_dir), F.split("video", "_")[0]
+    id_, kind = F.col("sample_id"), F.col("sample_id") % 6
+    place = F.when(kind == 0, F.concat(F.lit("id"), user, F.lit("_"), (id_ % 9).cast("string"), F.lit("_0003"))).when(kind == 1, F.concat_ws("_", user, id_.cast("string"))).when(kind == 5, user).otherwise(F.concat(F.lit("clip"), user))
+    folder = F.when(kind == 2, F.concat(user, F.lit("_7"))).when(kind == 3, user).otherwise(F.col("domain"))
+    return rows.withColumns({"place": place, "folder": folder})
+
+
+@query(
+    "source_keys",
+    f"""{KINDS} SELECT sample_id, CASE sample_id % 6 WHEN 0 THEN 'c:id' || user_id WHEN 1 THEN 'p:' || user_id WHEN 2 THEN 'p:' || user_id WHEN 3 THEN 'n:' || user_id ELSE CASE WHEN method = 'real' THEN 'r:' || place ELSE method || ':' || place END END AS source,
+    split_part(place, '_', 1) AS subject FROM k""",
+)
+def _(spark, d):
+    return _kinds(spark, d).select("sample_id", K.source_key(F.col("method"), F.col("place"), F.col("folder")).alias("source"), K.subject_prefix(F.col("place")).alias("subject"))
+
+
+@query("frame_identities", f"{KINDS} SELECT sample_id, CASE WHEN sample_id % 6 = 0 THEN 'id' || user_id || '_' || sample_id % 9 WHEN sample_id % 6 = 5 THEN CAST(user_id AS VARCHAR) END AS identity FROM k")
+def _(spark, d):
+    # Frames are named after their source and the place in it, as in real-clips_id3_4_0003_12.png.
+    rows = _kinds(spark, d).select("sample_id", F.concat(F.lit("real-clips_"), F.regexp_replace("place", "_0003$", ""), F.lit("_12.png")).alias("name"))
+    return rows.select("sample_id", K.identity_from_frame(F.col("name"), r"real-clips_(id\d+_\d+|\d+)_\d+\.png$").alias("identity"))
+
+
+REMAP = {None: [("cdf/Celeb-real/", "cdf/Fake_from_Celeb-real/")], "click": [("/real/", "/real/real/"), ("/fake/", "/fake/fake/")]}
+
+
+@query("path_remap", f"{M} SELECT sample_id, CASE WHEN method = 'click' THEN domain || '/cdf/Fake_from_Celeb-real/fake/fake/' ELSE domain || '/cdf/Fake_from_Celeb-real/fake/' END || sample_id || '.png' AS new_path FROM m")
+def _(spark, d):
+    path = F.concat(F.col("domain"), F.lit("/cdf/Celeb-real/fake/"), F.col("sample_id").cast("string"), F.lit(".png"))
+    return samples(spark, d).select("sample_id", K.path_remap(path, F.col("method"), REMAP).alias("new_path"))
+
+
+NAMES = [m for members in K.TAXONOMY.values() for m in members] + ["real"]
+
+
+@query(
+    "taxonomy_families",
+    f"""{M}, n AS (SELECT *, list_extract([{", ".join(f"'{n}'" for n in NAMES)}], CAST(sample_id % {len(NAMES)} + 1 AS INTEGER)) AS name FROM m), f(family, members, known) AS (VALUES {", ".join(f"('{f}', [{', '.join(f"'{x}'" for x in m)}], {f not in K.UNKNOWN_FAMILIES})" for f, m in K.TAXONOMY.items())})
+    SELECT coalesce(family, 'other') AS family, coalesce(known, true) AS known, count(*) AS n, round(avg(prob), 8) AS mean_p FROM n LEFT JOIN f ON list_contains(members, name) GROUP BY ALL""",
+)
+def _(spark, d):
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("sample_id") % len(NAMES) + 1).cast("int"))
+    family = K.method_family(name, K.TAXONOMY).alias("family")
+    rows = samples(spark, d).groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.avg("prob").alias("mean_p"))
+    return rounded(rows.withColumn("known", ~F.col("family").isin(*K.UNKNOWN_FAMILIES)), "mean_p")
+
+
+@query(
+    "real_by_kind",
+    f"""{KINDS}, x AS (SELECT pred, unnest([struct_pack(kind := 'domain', value := domain), struct_pack(kind := 'folder', value := folder), struct_pack(kind := 'identifier', value := CASE WHEN regexp_full_match(place, 'id[0-9]+_[0-9]+') THEN 'celebrity' WHEN regexp_full_match(place, '[0-9]+_[0-9]+') THEN 'pair' WHEN regexp_full_match(place, '[0-9]+') THEN 'number' ELSE 'other' END)]) AS s FROM k WHERE label = 0)
+    SELECT s.kind AS kind, s.value AS value, count(*) AS n, round(avg(1 - pred), 8) AS real_acc, CAST(sum(pred) AS BIGINT) AS false_positives FROM x GROUP BY ALL""",
+)
+def _(spark, d):
+    kinds = {"domain": F.col("domain"), "folder": F.col("folder"), "identifier": K.classify_source(F.col("place"))}
+    return rounded(A.real_report(_kinds(spark, d), kinds), "real_acc")
+
+
+@query(
+    "leakage_by_level",
+    f"""{_split_sql(THREE)}, x AS (SELECT split_part(video, '_', 1) AS subject, video, split FROM m JOIN s USING (identity)), y AS (SELECT DISTINCT level, key, split FROM (SELECT 'subject' AS level, subject AS key, split FROM x UNION ALL SELECT 'video', video, split FROM x))
+    SELECT a.level, a.split AS split_a, b.split AS split_b, count(*) AS shared FROM y a JOIN y b ON a.level = b.level AND a.key = b.key AND a.split < b.split GROUP BY ALL""",
+)
+def _(spark, d):
+    rows = D.split_groups(samples(spark, d), ["identity"], PARTS3).withColumn("subject", K.subject_prefix(F.col("video")))
+    return D.leakage_by_level(rows, {"subject": "subject", "video": "video"})
+
+
 @query("path_rewrite", f"{P} SELECT page_id, CASE WHEN starts_with(url, 'https://m.') THEN 'mobile/' || substr(url, 11) ELSE url END AS new_url FROM p")
 def _(spark, d):
     return pages(spark, d).select("page_id", K.path_rewrite(F.col("url"), "https://m.", "mobile/").alias("new_url"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +35,9 @@ def scan_pool(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_split(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """Two-column CSV; rows that don't fit the schema are left out."""
+    """Two-column CSV; rows that don't fit the schema are left out. A header other than path, label is warned of."""
+    if header and (found := spark.read.option("header", "true").csv(path).columns) != list(SPLIT.names):
+        warnings.warn(f"{path} has the header {','.join(found)}, not {','.join(SPLIT.names)}", stacklevel=2)
     schema = T.StructType([*SPLIT.fields, T.StructField("_bad", _S)])
     rows = spark.read.schema(schema).option("header", str(header).lower()).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
     return rows.filter(F.col("_bad").isNull() & F.col("path").isNotNull() & F.col("label").isNotNull()).drop("_bad")

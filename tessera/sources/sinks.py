@@ -47,8 +47,10 @@ def write_summary(df: DataFrame, folder: str) -> None:
 
 
 def predictions_wide(df: DataFrame, key: str, models: Sequence[str], model: str = "model") -> DataFrame:
-    """key and, for each model, <model>_prob and <model>_pred."""
-    return df.groupBy(key).pivot(model, list(models)).agg(F.first("prob").alias("prob"), F.first("pred").alias("pred"))
+    """key and, for each model, <model>_prob and <model>_pred; of repeated rows the one with the highest prob counts."""
+    row = F.max(F.struct("prob", "pred"))
+    wide = df.groupBy(key).pivot(model, list(models)).agg(row)
+    return wide.select(key, *(F.col(f"`{m}`.{c}").alias(f"{m}_{c}") for m in models for c in ("prob", "pred")))
 
 
 def submission(df: DataFrame, key: str, pred: str = "pred") -> DataFrame:
