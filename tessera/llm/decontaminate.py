@@ -1,16 +1,20 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame operations only.
 
 Numbers, the units behind them and names become typed placeholders, all other words are lower-cased.
+A capitalised word is a name inside a sentence, and at the start of one unless the benchmark has it in lower case.
 Windows of WINDOW placeholders and words are joined by hash between documents and benchmark items. For
 every document and item that share a window, all places of the item's windows are then checked, and the values
 in the placeholders must agree: equal values in the item stand for equal values in the document and the
 other way round. So a question whose numbers or names were exchanged consistently is found as well.
 Places are judged by alignment (start in the document minus start in the item), so another variant of
-the template in the same document does not hide a copy.
+the template in the same document does not hide a copy. Documents are judged in overlapping pieces of an item's
+length, each different piece once, so a text that repeats itself is judged as often as it has different pieces.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +32,10 @@ SLIDE = 8
 #: up to which these are; beyond it Spark shuffles.
 BROADCAST_ROWS, BROADCAST_WORDS = 200_000, 2_000_000
 
-NUMBER, UNIT, NAME = "\uE000", "\uE001", "\uE002"
+#: Words in lower case, the most frequent of the benchmark, that are no names where a sentence begins with them.
+MOST_COMMON = 2000
+
+NUMBER, UNIT, NAME, FIRST = "\uE000", "\uE001", "\uE002", "\uE003"
 # Units that may follow a number.
 UNITS = (
     "km", "cm", "mm", "m", "mi", "miles", "mile", "ft", "feet", "inches", "inch", "yards", "kg", "g", "mg", "lb", "lbs", "pounds", "pound", "tons", "ton",
@@ -36,28 +43,32 @@ UNITS = (
     "days", "day", "weeks", "week", "months", "month", "years", "year", "mph", "kmh", "percent", "%", "°c", "°f", "degrees", "degree",
     "dollars", "dollar", "cents", "cent", "euros", "euro", "usd", "eur", "gbp", "€", "£",
 )
-_NUM = r"(?<![\p{L}\p{N}" + NUMBER + r"])([0-9]+(?:[.,][0-9]+)*)"
 _END = r"(?![\p{L}\p{N}])"
+# What stands before is looked at only where a digit or a capital was met.
+_NUM = r"([0-9](?<![\p{L}\p{N}" + NUMBER + r"][0-9])[0-9]*(?:[.,][0-9]+)*)"
 _MEASURE = _NUM + r"\s?((?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + "))" + _END
-#: A capitalised word behind a lower-case word or comma, so not at the start of a sentence.
-_NAME = r"(?<=[\p{Ll},] )\p{Lu}\p{Ll}+" + _END
-_GAP = r"[^\p{L}\p{N}" + NUMBER + UNIT + NAME + r"]+"
+#: A capitalised word behind a lower-case word or comma, so not at the start of a sentence; and any other.
+_NAME = r"\p{Lu}(?<=[\p{Ll},] \p{Lu})\p{Ll}+" + _END
+_FIRST = r"\p{Lu}(?<![\p{L}\p{N}" + NAME + r"]\p{Lu})\p{Ll}+" + _END
+_GAP = r"[^\p{L}\p{N}" + NUMBER + UNIT + NAME + FIRST + r"]+"
 
 
-def _marked(text: Column, values: bool) -> Column:
-    """The text with placeholders; with ``values`` each is followed by what it replaces."""
-    number, unit, name = (NUMBER + "$1", UNIT + "$2", NAME + "$0") if values else (NUMBER, UNIT, NAME)
-    named = F.regexp_replace(text, _NAME, name)
-    counted = F.regexp_replace(F.regexp_replace(named, _MEASURE, f"{number} {unit}"), _NUM + _END, number)
+def _marked(text: Column) -> Column:
+    """The text with a placeholder before each number, unit, name and other capitalised word."""
+    named = F.regexp_replace(F.regexp_replace(text, _NAME, NAME + "$0"), _FIRST, FIRST + "$0")
+    counted = F.regexp_replace(F.regexp_replace(named, _MEASURE, f"{NUMBER}$1 {UNIT}$2"), _NUM + _END, NUMBER + "$1")
     return F.when(text.rlike("[0-9]"), counted).otherwise(named)
 
 
-def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(_marked(text, False)), _GAP), lambda t: t != "")
+def _values(text: Column, common: Sequence[str]) -> Column:
+    """Words in lower case, those that a placeholder stands for behind it; ``common`` words are no names."""
 
+    def resolved(t: Column) -> Column:
+        word = F.substring(t, 2, 1 << 30)
+        named = F.concat(F.lit(NAME), word)
+        return F.when(F.substring(t, 1, 1) != FIRST, t).otherwise(F.when(word.isin(list(common)), word).otherwise(named) if common else named)
 
-def _values(text: Column) -> Column:
-    return F.filter(F.split(F.lower(_marked(text, True)), _GAP), lambda t: t != "")
+    return F.transform(F.filter(F.split(F.lower(_marked(text)), _GAP), lambda t: t != ""), resolved)
 
 
 def _canonical(value: Column) -> Column:
@@ -74,10 +85,17 @@ def _all_windows(tokens: Column) -> Column:
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: _window(tokens, i))).otherwise(F.array().cast("array<bigint>"))
 
 
-def items_table(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def common_words(benchmark: DataFrame, text_col: str = "text") -> list[str]:
+    """The MOST_COMMON words that the benchmark has in lower case most often, ties by the word."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    words = benchmark.select(F.explode(_values(text, [])).alias("word")).filter(~F.substring("word", 1, 1).isin(NUMBER, UNIT, NAME))
+    return [r["word"] for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(MOST_COMMON).collect()]
+
+
+def items_table(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", common: Sequence[str] = ()) -> DataFrame:
     """item, version (of its text), values (words with placeholder values), windows (hash, start) that have LITERALS words."""
     rows = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).distinct()
-    rows = rows.withColumn("values", _values(F.col("text")))
+    rows = rows.withColumn("values", _values(F.col("text"), common))
     rows = rows.withColumn("tokens", F.transform("values", _canonical))
     literal = lambda start: F.size(F.filter(F.slice("tokens", start, WINDOW), lambda t: ~t.isin(NUMBER, UNIT, NAME))) >= LITERALS
     windows = F.transform(_all_windows(F.col("tokens")), lambda h, i: F.struct(h.alias("hash"), (i + 1).alias("start")))
@@ -99,6 +117,45 @@ def _searched(items: DataFrame) -> DataFrame:
     return each.select("item", F.explode(F.slice("windows", F.lit(1), few).getField("hash")).alias("hash")).distinct()
 
 
+def _judged(places: DataFrame, contents: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by``, n_matched, exact of the best group of places that passes; rows ``by`` without one are absent.
+
+    ``places``: by, n_windows, grp, a, b (starts in the item and in the text); ``contents``: by, values (of the item), own (of the text).
+    A group passes if it has SHARE of the item's windows and its slots are one to one.
+    """
+    by = list(by)
+    # Of each window of the item the first place in the group counts.
+    each = places.groupBy(*by, "n_windows", "grp", "a").agg(F.min("b").alias("b"))
+    each = each.groupBy(*by, "n_windows", "grp").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("met"))
+    each = each.filter(F.size("met") / F.col("n_windows") >= SHARE).drop("n_windows", "grp").distinct()
+
+    def at(p: Column, k: Column) -> Column:
+        return F.struct(F.get("values", p["a"] + k - 1).alias("a"), F.get("own", p["b"] + k - 1).alias("b"))
+
+    slots = F.flatten(F.transform("met", lambda p: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: at(p, k))))
+    slots = F.array_distinct(F.filter(slots, lambda s: F.substring(s["a"], 1, 1).isin(NUMBER, UNIT, NAME)))
+    tried = each.join(contents, by).withColumn("slots", slots)
+    one_to_one = (F.size(F.array_distinct("slots.a")) == F.size("slots")) & (F.size(F.array_distinct("slots.b")) == F.size("slots"))
+    exact = F.forall("slots", lambda s: s["a"] == s["b"])
+    # Written first: a filter on these columns would be pushed down and repeat what they are made of.
+    passed = materialise(tried.select(*by, F.size("met").cast("long").alias("n_matched"), exact.alias("exact"), one_to_one.alias("consistent")))
+    return passed.filter("consistent").groupBy(*by).agg(F.max(F.struct("n_matched", "exact")).alias("best")).select(*by, "best.*")
+
+
+def _pieces(near: DataFrame) -> DataFrame:
+    """id, key, item, version, piece, first, own: pieces of the text in which windows of the item stand.
+
+    A piece has twice the length of the item (and SLIDE), and begins every such length, so each alignment that begins in
+    its first half is in it as a whole. ``first`` pieces have those as well that begin before the text.
+    """
+    reach = F.size("values") + SLIDE
+    halves = F.array_distinct(F.transform("found", lambda b: F.floor((b - 1) / reach).cast("int")))
+    starts = F.array_distinct(F.flatten(F.transform(halves, lambda i: F.array(i, F.greatest(i - 1, F.lit(0))))))
+    # Cut inside the row: a row a place would carry the whole text.
+    cut = F.transform(starts, lambda i: F.struct((i == 0).alias("first"), F.slice("own", i * reach + 1, 2 * reach).alias("own")))
+    return near.select("id", "key", "item", "version", F.inline(cut))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark item it contains; documents without one are absent.
 
@@ -106,66 +163,59 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     differs), key (hash of id and text); of several copies the one with most matches, an exact one first.
     Null and empty texts match nothing; items of fewer than WINDOW words, or of placeholders mostly, give no
     evidence and match nothing. Rows that repeat an id and a text give one row; null ids are reported as
-    null. Texts of any length are searched whole; other columns, whatever their names, are not read. An
-    empty table on either side gives an empty result.
+    null. Texts of any length are searched whole, and those that repeat themselves cost no more than others; other columns,
+    whatever their names, are not read. An empty table on either side gives an empty result.
     """
-    items = materialise(items_table(benchmark, item_col, bench_text_col))
+    common = common_words(benchmark, bench_text_col)
+    items = materialise(items_table(benchmark, item_col, bench_text_col, common))
     wanted = materialise(_searched(items))
     known = broadcast_if_small(wanted, wanted.count(), BROADCAST_ROWS)
     n_words = items.agg(F.coalesce(F.sum(F.size("values") + F.size("windows")), F.lit(0))).first()[0]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
+    canonical = lambda values: F.transform(values, _canonical)
 
     # Every word starts a window, in documents as in items.
-    searched = rows.select("key", F.explode(F.array_distinct(let(_tokens(F.col("text")), _all_windows))).alias("hash"))
+    searched = rows.select("key", F.explode(F.array_distinct(let(canonical(_values(F.col("text"), common)), _all_windows))).alias("hash"))
     pairs = materialise(searched.join(known, "hash").select("key", "item").distinct())
     n_pairs = pairs.count()
 
     near = rows.join(broadcast_if_small(pairs, n_pairs, BROADCAST_ROWS), "key").distinct()
+    near = near.withColumn("own", _values(F.col("text"), common)).drop("text")
     near = near.join(broadcast_if_small(items, n_words, BROADCAST_WORDS), "item")
-    near = near.withColumn("own", _values(F.col("text")))
-
     hashes = F.col("windows.hash")
-
-    def met(own_windows: Column) -> Column:
-        own = F.transform(own_windows, lambda h, i: F.struct(h.alias("hash"), (i + 1).alias("b")))
-        own = F.filter(own, lambda o: F.array_contains(hashes, o["hash"]))
-        same = lambda o: F.filter("windows", lambda w: w["hash"] == o["hash"])
-        return F.flatten(F.transform(own, lambda o: F.transform(same(o), lambda w: F.struct(w["start"].alias("a"), o["b"].alias("b")))))
-
-    near = near.withColumn("places", let(F.transform("own", _canonical), lambda tokens: let(_all_windows(tokens), met)))
-    near = near.withColumn("n_windows", F.size("windows").cast("long")).drop("text", "windows")
-    # Written first: a filter on this column would be pushed down and repeat what it is made of.
-    near = materialise(near)
-    enough = lambda n: n / F.col("n_windows") >= SHARE
-    near = near.filter(enough(F.size(F.array_distinct("places.a"))))
-
-    # A copy is sought at each alignment alone, in alignments at most SLIDE apart, and in the first places of the document.
-    pair = ["key", "item", "version"]
-    each = near.select(*pair, "n_windows", F.inline("places"))
-    shift = F.col("b") - F.col("a")
+    # Where windows of the item stand, and for each of these the first place.
+    found = lambda own: F.filter(F.transform(own, lambda h, i: F.when(F.array_contains(hashes, h), i + 1)), lambda b: b.isNotNull())
+    firsts = lambda own: F.filter(F.transform("windows", lambda w: F.struct(w["start"].alias("a"), F.array_position(own, w["hash"]).cast("int").alias("b"))), lambda p: p["b"] > 0)
+    near = near.withColumn("met", let(canonical(F.col("own")), lambda tokens: let(_all_windows(tokens), lambda own: F.struct(found(own).alias("found"), firsts(own).alias("firsts")))))
+    near = near.select("id", "key", "item", "version", "values", "windows", "own", "met.found", "met.firsts", F.size("windows").cast("long").alias("n_windows"))
+    near = materialise(near).filter(F.size("firsts") / F.col("n_windows") >= SHARE)
+
+    # All first places of the document together.
+    pair = ["id", "key", "item", "version"]
+    whole = near.select("key", "item", "version", "n_windows", F.lit(0).alias("grp"), F.inline("firsts"))
+    scattered = _judged(whole, near.select("key", "item", "version", "values", "own"), ["key", "item", "version"])
+
+    # Each alignment alone, and alignments at most SLIDE apart, in each different piece.
+    cut = materialise(_pieces(near).withColumn("piece", F.xxhash64("first", "own")))
+    parts = materialise(cut.select("item", "version", "piece", "first", "own").dropDuplicates(["item", "version", "piece"]))
+    parts = parts.join(broadcast_if_small(items, n_words, BROADCAST_WORDS), ["item", "version"])
+    same = lambda h: F.filter("windows", lambda w: w["hash"] == h)
+    met = lambda own: F.filter(F.transform(own, lambda h, i: F.struct((i + 1).alias("b"), same(h).alias("w"))), lambda p: F.size(p["w"]) > 0)
+    each = parts.withColumn("own_met", let(canonical(F.col("own")), lambda tokens: let(_all_windows(tokens), met)))
+    each = each.select("item", "version", "piece", "first", F.size("values").alias("m"), F.size("windows").cast("long").alias("n_windows"), F.explode("own_met").alias("p"))
+    each = each.select("item", "version", "piece", "first", "m", "n_windows", F.col("p.b").alias("b"), F.explode(F.col("p.w")["start"]).alias("a"))
     group = lambda reach, at: F.struct(F.lit(reach).alias("reach"), at.alias("at"))
+    shift = F.col("b") - F.col("a")
     slid = F.transform(F.sequence(F.lit(0), F.lit(SLIDE)), lambda k: group(SLIDE, shift - k))
-    each = each.withColumn("group", F.explode(F.concat(F.array(group(-1, F.lit(0)), group(0, shift)), slid)))
-    each = each.groupBy(*pair, "n_windows", "group").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("met"))
-    first = lambda met: F.filter(met, lambda p, i: F.coalesce(F.get(met, i - 1)["a"] != p["a"], F.lit(True)))
-    each = each.withColumn("met", let(F.col("met"), first)).filter(enough(F.size("met"))).drop("n_windows")
-    tried = near.drop("places").join(each, pair)
+    each = each.withColumn("grp", F.explode(F.concat(F.array(group(0, shift)), slid)))
+    own_half = (F.col("grp.at") < F.col("m") + SLIDE) & (F.col("first") | (F.col("grp.at") >= 0))
+    aligned = _judged(each.filter(own_half).drop("m", "first"), parts.select("item", "version", "piece", "values", "own"), ["item", "version", "piece"])
+    aligned = cut.select(*pair, "piece").join(aligned, ["item", "version", "piece"]).drop("piece")
 
-    def at(p: Column, k: Column) -> Column:
-        return F.struct(F.get("values", p["a"] + k - 1).alias("a"), F.get("own", p["b"] + k - 1).alias("b"))
-
-    slots = F.flatten(F.transform("met", lambda p: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: at(p, k))))
-    slots = F.array_distinct(F.filter(slots, lambda s: F.substring(s["a"], 1, 1).isin(NUMBER, UNIT, NAME)))
-    tried = tried.withColumn("slots", slots)
-    one_to_one = (F.size(F.array_distinct("slots.a")) == F.size("slots")) & (F.size(F.array_distinct("slots.b")) == F.size("slots"))
-    tried = tried.select(
-        "id", *pair, "n_windows", F.size("met").cast("long").alias("n_matched"),
-        F.forall("slots", lambda s: s["a"] == s["b"]).alias("exact"), one_to_one.alias("consistent"),
-    )
-    passed = materialise(tried).filter("consistent")
-    best = passed.groupBy("id", *pair, "n_windows").agg(F.max(F.struct("n_matched", "exact")).alias("best"))
+    best = scattered.join(near.select(*pair), ["key", "item", "version"]).select(*aligned.columns).unionByName(aligned)
+    best = best.groupBy(*pair).agg(F.max(F.struct("n_matched", "exact")).alias("best")).join(near.select("key", "item", "version", "n_windows"), ["key", "item", "version"])
     return best.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "best.n_matched",
         (F.col("best.n_matched") / F.col("n_windows")).alias("share"), "best.exact", "key",
