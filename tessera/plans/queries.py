@@ -15,6 +15,7 @@ from tessera.operators import metrics as A
 from tessera.operators import sampling as B
 from tessera.operators import splits as D
 from tessera.operators import vectors as V
+from tessera.operators.cells import near_copies_by_cells
 from tessera.operators.images import decode_audit, domain_gap, image_stats
 from tessera.operators import registry as X
 from tessera.operators.perceptual import near_images, perceptual_hashes
@@ -827,6 +828,11 @@ def _(spark, d):
     return V.near_copies(table(spark, d, "embeddings"), "vec_id", "embedding", NEAR_COSINE)
 
 
+@query("near_dedup_cells")
+def _(spark, d):
+    return near_copies_by_cells(table(spark, d, "embeddings"), "vec_id", "embedding", NEAR_COSINE)
+
+
 NEAR_COSINE = 0.45
 
 
