@@ -288,9 +288,9 @@ def keep_recognised(docs: DataFrame, model: Model | None, least_score: float = 0
     """The rows of ``docs``, all columns as they are, whose text has a language: one pass, no shuffle.
 
     Rejected are null texts, texts without a letter, texts whose best language has a posterior below
-    ``least_score``, and texts that fit no language: their code length in the best one is more than
-    MOST_TIMES its mean in training (other scripts, encoded data, noise). If nothing could be learned, every
-    text with a letter stays. Repeated rows are judged alike; an empty table gives an empty result.
+    ``least_score``, and texts far from all languages: their code length in the best one is more than
+    MOST_TIMES its mean in training (other scripts, encoded data, noise). A language that was not learned but is written
+    much like one that was stays as that one. If nothing could be learned, every text with a letter stays. Repeated rows are judged alike; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index(text_col)
