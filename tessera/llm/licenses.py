@@ -6,7 +6,9 @@ them, and words scattered over a long line are not taken for a notice. A templat
 distinct words. Words are ordered by their frequency over all documents, rarest first: a block that
 meets the threshold must hold one of the template's first |T| - need + 1 words (prefix filter), must
 have at least ``need`` words (length filter), and the words from the first common one on must suffice
-(positional filter). What passes is verified by the full intersection.
+(positional filter). What passes is verified by the full intersection. Templates that differ by a word or two are told
+apart by the words that no other template has, of which a block must hold one, and a template gives way to one that
+has all its words and more; a template of under ORDERED words must stand in the text word by word.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from tessera.functions.shared import materialise
 from .common import lower_ascii
 
 CONTAINMENT = 0.8
+#: Words of a template below which their order counts.
+ORDERED = 6
 #: Separators of words: ASCII other than letters and digits (after lower-casing).
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -67,6 +71,28 @@ def _span(template: str) -> int:
     return sum(1 for w in re.split(_GAP, template.lower()) if w)
 
 
+def _own_words(templates: dict[str, list[str]], phrases: dict[str, str]) -> dict[str, list[str]]:
+    """Of each template the words that no other and no phrase has."""
+    shared = {w for p in phrases for w in p.split()}
+    return {k: [w for w in t if w not in shared and not any(w in o for j, o in templates.items() if j != k)] for k, t in templates.items()}
+
+
+def _wider(templates: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Of each template those that have all its words and more."""
+    return {k: w for k, t in templates.items() if (w := sorted(j for j, o in templates.items() if set(t) < set(o)))}
+
+
+def _without(met: Column, label: str, unless: Column) -> Column:
+    return F.filter(met, lambda m: (m["label"] != label) | unless)
+
+
+def _ordered(templates: dict[str, str]) -> dict[str, str]:
+    """The short templates as words between single spaces."""
+    import re
+
+    return {k: " ".join(w for w in re.split(_GAP, v.lower()) if w) for k, v in templates.items() if _span(v) < ORDERED}
+
+
 def _need(words: list[str]) -> int:
     return ceil(CONTAINMENT * len(words) - 1e-9)
 
@@ -76,11 +102,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
 
     ``n_base`` counts every place where a phrase's words stand consecutively; first_word and last_word
     are the smallest and largest starts (words from 0, null without a place). ``labels`` joins the
-    phrases' labels with those of the templates found; ``score`` is the largest containment that met the
-    threshold, else 0. Null and empty texts have no words; label columns are then empty strings.
+    phrases' labels with those of the templates found; ``score`` is the largest containment among these, else 0. Null and empty texts have no words; label columns are then empty strings.
     Repeated rows and null ids are kept row by row, texts of any length are read whole, other columns are
     not read, and an empty table gives an empty result.
     """
+    ordered = _ordered(TEMPLATES if templates is None else templates)
     spans = {k: _span(v) for k, v in (TEMPLATES if templates is None else templates).items()}
     templates = _template_words(TEMPLATES if templates is None else templates)
     phrases = PHRASES if phrases is None else phrases
@@ -110,6 +136,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
             F.array_sort(base).alias("base"),
             "hits",
             open_spans.alias("spans"),
+            F.array_compact(F.array(*(F.when(F.col("padded").contains(f" {p} "), F.lit(k)) for k, p in ordered.items())).cast("array<string>")).alias("in_order"),
             F.when(F.size(open_spans) > 0, F.col("text")).alias("text"),
         )
     )
@@ -121,7 +148,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     prefixes = [(w, k, i, len(t), _need(t), spans[k]) for k, t in ranked.items() for i, w in enumerate(t[: len(t) - _need(t) + 1])]
     spark = docs.sparkSession
     prefix = F.broadcast(spark.createDataFrame(prefixes, "word string, label string, t_at int, t_size int, need int, span int"))
-    whole = F.broadcast(spark.createDataFrame(list(ranked.items()), "label string, t_words array<string>"))
+    own_words = _own_words(templates, phrases)
+    whole = F.broadcast(spark.createDataFrame([(k, t, own_words[k]) for k, t in ranked.items()], "label string, t_words array<string>, t_own array<string>"))
 
     # Windows only of the spans whose templates the whole text could meet, and of them only the templates' words.
     texts = rows.filter("text IS NOT NULL").select("row", "spans", _words(_spaced(F.col("text"))).alias("every"))
@@ -140,9 +168,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     first = common.groupBy("row", "block", "label", "t_size", "need").agg(F.min(F.struct("b_at", "t_at")).alias("at"), F.first("own").alias("own"))
     possible = first.filter(1 + F.least(F.col("t_size") - F.col("at.t_at") - 1, F.size("own") - F.col("at.b_at") - 1) >= F.col("need"))
     verified = possible.join(whole, "label").withColumn("share", F.size(F.array_intersect("own", "t_words")) / F.col("t_size"))
-    verified = verified.filter(F.col("share") * F.col("t_size") >= F.col("need"))
-    matched = verified.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("score"))
-    out = rows.drop("text", "hits", "spans").join(matched, "row", "left")
+    verified = verified.filter((F.col("share") * F.col("t_size") >= F.col("need")) & ((F.size("t_own") == 0) | F.arrays_overlap("own", "t_own")))
+    verified = verified.groupBy("row", "label").agg(F.max("share").alias("share"))
+    matched = verified.groupBy("row").agg(F.collect_list(F.struct("label", "share")).alias("met"))  # a row a template
+    short = list(ordered)
+    told = F.filter("met", lambda m: (~m["label"].isin(short) | F.array_contains("in_order", m["label"])) if short else F.lit(True))
+    out = rows.drop("text", "hits", "spans").join(matched, "row", "left").withColumn("met", told)
+    for k, others in _wider(templates).items():
+        stays = ~F.arrays_overlap("met.label", F.array(*map(F.lit, others)))
+        out = out.withColumn("met", _without(F.col("met"), k, stays))
+    out = out.withColumns({"more": F.col("met.label"), "score": F.array_max("met.share")})
     both = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
     return out.select(
         F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word",

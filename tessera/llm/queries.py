@@ -124,7 +124,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def license_sql() -> str:
     """op8 in SQL: phrases by position, templates by their share of distinct words in a window."""
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    templates = ", ".join(f"('{k}', {quoted(t)}, {licenses._need(t)}, {licenses._span(licenses.TEMPLATES[k])})" for k, t in licenses._template_words(licenses.TEMPLATES).items())
+    words_of = licenses._template_words(licenses.TEMPLATES)
+    own_words, ordered = licenses._own_words(words_of, licenses.PHRASES), licenses._ordered(licenses.TEMPLATES)
+    text_of = lambda k: f"' {ordered[k]} '" if k in ordered else "NULL"
+    templates = ", ".join(f"('{k}', {quoted(t)}, {licenses._need(t)}, {licenses._span(licenses.TEMPLATES[k])}, CAST({quoted(own_words[k])} AS VARCHAR[]), {text_of(k)})" for k, t in words_of.items())
+    wider = ", ".join(f"('{k}', '{o}')" for k, others in licenses._wider(words_of).items() for o in others)
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     words = lambda text: f"list_filter(regexp_split_to_array({text}, '{gap}'), lambda x: x <> '')"
     places = ", ".join(
@@ -135,10 +139,11 @@ def license_sql() -> str:
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
     w AS (SELECT rid, doc_id, {words("t")} AS ws FROM d), p AS (SELECT rid, doc_id, len(ws) AS n_words, {places} FROM w),
     b AS (SELECT rid, doc_id, n_words, {every} AS places, {own} AS base FROM p),
-    v(label, tw, need, span) AS (VALUES {templates}),
-    c AS (SELECT rid, ws, label, tw, need, span FROM w, v WHERE len(list_intersect(list_distinct(ws), tw)) >= need),
-    l AS (SELECT rid, label, tw, need, list_distinct(ws[pos + 1 : pos + 2 * span]) AS lw FROM (SELECT *, unnest(range(0, len(ws), (span + 1) // 2)) AS pos FROM c)),
-    h AS (SELECT rid, label, max(len(list_intersect(lw, tw)) / len(tw)) AS share FROM l WHERE len(list_intersect(lw, tw)) >= need GROUP BY rid, label),
+    v(label, tw, need, span, ow, phrase) AS (VALUES {templates}),
+    c AS (SELECT rid, ws, label, tw, need, span, ow FROM w, v WHERE len(list_intersect(list_distinct(ws), tw)) >= need AND (phrase IS NULL OR contains(' ' || array_to_string(ws, ' ') || ' ', phrase))),
+    l AS (SELECT rid, label, tw, need, ow, list_distinct(ws[pos + 1 : pos + 2 * span]) AS lw FROM (SELECT *, unnest(range(0, len(ws), (span + 1) // 2)) AS pos FROM c)),
+    h0 AS (SELECT rid, label, max(len(list_intersect(lw, tw)) / len(tw)) AS share FROM l WHERE len(list_intersect(lw, tw)) >= need AND (len(ow) = 0 OR len(list_intersect(lw, ow)) > 0) GROUP BY rid, label),
+    h AS (SELECT * FROM h0 WHERE NOT EXISTS (SELECT 1 FROM h0 o JOIN (VALUES {wider}) x(less, more) ON x.more = o.label WHERE o.rid = h0.rid AND x.less = h0.label)),
     g AS (SELECT rid, list(label) AS more, max(share) AS score FROM h GROUP BY rid)
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
     array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, CAST([] AS VARCHAR[]))))), ',') AS labels,
