@@ -35,7 +35,7 @@ BROADCAST_ROWS, BROADCAST_WORDS = 200_000, 2_000_000
 #: Words in lower case, the most frequent of the benchmark, that are no names where a sentence begins with them.
 MOST_COMMON = 2000
 
-NUMBER, UNIT, NAME, FIRST = "\uE000", "\uE001", "\uE002", "\uE003"
+NUMBER, UNIT, NAME = "\uE000", "\uE001", "\uE002"
 # Units that may follow a number.
 UNITS = (
     "km", "cm", "mm", "m", "mi", "miles", "mile", "ft", "feet", "inches", "inch", "yards", "kg", "g", "mg", "lb", "lbs", "pounds", "pound", "tons", "ton",
@@ -47,28 +47,41 @@ _END = r"(?![\p{L}\p{N}])"
 # What stands before is looked at only where a digit or a capital was met.
 _NUM = r"([0-9](?<![\p{L}\p{N}" + NUMBER + r"][0-9])[0-9]*(?:[.,][0-9]+)*)"
 _MEASURE = _NUM + r"\s?((?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + "))" + _END
-#: A capitalised word behind a lower-case word or comma, so not at the start of a sentence; and any other.
+#: A capitalised word behind a lower-case word or comma, so not at the start of a sentence.
 _NAME = r"\p{Lu}(?<=[\p{Ll},] \p{Lu})\p{Ll}+" + _END
-_FIRST = r"\p{Lu}(?<![\p{L}\p{N}" + NAME + r"]\p{Lu})\p{Ll}+" + _END
-_GAP = r"[^\p{L}\p{N}" + NUMBER + UNIT + NAME + FIRST + r"]+"
+_GAP = r"[^\p{L}\p{N}" + NUMBER + UNIT + NAME + r"]+"
 
 
-def _marked(text: Column) -> Column:
-    """The text with a placeholder before each number, unit, name and other capitalised word."""
-    named = F.regexp_replace(F.regexp_replace(text, _NAME, NAME + "$0"), _FIRST, FIRST + "$0")
-    counted = F.regexp_replace(F.regexp_replace(named, _MEASURE, f"{NUMBER}$1 {UNIT}$2"), _NUM + _END, NUMBER + "$1")
-    return F.when(text.rlike("[0-9]"), counted).otherwise(named)
+def _branches(words: Sequence[str]) -> str:
+    """A pattern for any of the words, which branches where they do."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [head + _branches(rest) for head, rest in sorted(heads.items()) if head]
+    return ("(?:" + "|".join(parts) + ")" + "?" * ("" in heads)) if parts else ""
+
 
+def _first_pattern(common: Sequence[str]) -> str:
+    """Any other capitalised word but the ``common`` ones, which are looked for behind their capital only."""
+    by_capital: dict[str, list[str]] = {}
+    for w in common:
+        if len(w) > 1 and w.isalpha() and w[0].upper().lower() == w[0] and len(w[0].upper()) == 1:
+            by_capital.setdefault(w[0].upper(), []).append(w[1:])
+    known = "|".join(f"(?<={c}){_branches(rest)}" for c, rest in sorted(by_capital.items()))
+    return r"\p{Lu}(?<![\p{L}\p{N}" + NAME + r"]\p{Lu})" + (f"(?!(?:{known}){_END})" if known else "") + r"\p{Ll}+" + _END
 
-def _values(text: Column, common: Sequence[str]) -> Column:
-    """Words in lower case, those that a placeholder stands for behind it; ``common`` words are no names."""
 
-    def resolved(t: Column) -> Column:
-        word = F.substring(t, 2, 1 << 30)
-        named = F.concat(F.lit(NAME), word)
-        return F.when(F.substring(t, 1, 1) != FIRST, t).otherwise(F.when(word.isin(list(common)), word).otherwise(named) if common else named)
+def _marked(text: Column, common: Sequence[str], values: bool) -> Column:
+    """The text with placeholders for numbers, units and names; with ``values`` each is followed by what it replaces."""
+    number, unit, name = (NUMBER + "$1", UNIT + "$2", NAME + "$0") if values else (NUMBER, UNIT, NAME)
+    named = F.regexp_replace(F.regexp_replace(text, _NAME, name), _first_pattern(common), name)
+    counted = F.regexp_replace(F.regexp_replace(named, _MEASURE, f"{number} {unit}"), _NUM + _END, number)
+    return F.when(text.rlike("[0-9]"), counted).otherwise(named)
+
 
-    return F.transform(F.filter(F.split(F.lower(_marked(text)), _GAP), lambda t: t != ""), resolved)
+def _values(text: Column, common: Sequence[str], values: bool = True) -> Column:
+    """Words in lower case, those that a placeholder stands for behind it (or left out); ``common`` words are no names."""
+    return F.filter(F.split(F.lower(_marked(text, common, values)), _GAP), lambda t: t != "")
 
 
 def _canonical(value: Column) -> Column:
@@ -177,7 +190,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     canonical = lambda values: F.transform(values, _canonical)
 
     # Every word starts a window, in documents as in items.
-    searched = rows.select("key", F.explode(F.array_distinct(let(canonical(_values(F.col("text"), common)), _all_windows))).alias("hash"))
+    searched = rows.select("key", F.explode(F.array_distinct(let(_values(F.col("text"), common, False), _all_windows))).alias("hash"))
     pairs = materialise(searched.join(known, "hash").select("key", "item").distinct())
     n_pairs = pairs.count()
 
