@@ -2,6 +2,7 @@
 
 import json
 import struct
+import warnings
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import keys
 from tessera.functions.hashing import hash_ranked
-from tessera.operators import components, history, images, metrics, sampling, splits, vectors
+from tessera.operators import components, curation, history, images, metrics, sampling, splits, vectors
 from tessera.sources import manifests, sinks, snapshots
 
 
@@ -274,3 +275,29 @@ def test_scores_at_the_ends_and_beyond(spark):
     for r in got:
         assert (r["pos_below"], r["neg_below"]) == tuple(sum(y == v and x < r["score"] for x, y in rows) for v in (1, 0))
     assert metrics.cumulative(spark.createDataFrame([], "s double, label int"), "s").count() == 0
+
+
+def test_null_contents_and_repeated_predictions(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, None), (4, "x"), (5, "")], "k long, text string")
+    got = {r["k"]: (r["copies"], r["content_sha256"] is None) for r in curation.exact_dedup(df, "text", "k").collect()}
+    assert got == {1: (2, True), 2: (2, False), 4: (1, False)}
+    rows = spark.createDataFrame([("f", "vit", 0.2, 0), ("f", "vit", 0.9, 1), ("g", "cnn", 0.4, 0)], "name string, model string, prob double, pred int")
+    wide = {r["name"]: tuple(r)[1:] for r in sinks.predictions_wide(rows, "name", ["vit", "cnn"]).collect()}
+    assert wide == {"f": (0.9, 1, None, None), "g": (None, None, 0.4, 0)}
+
+
+def test_an_odd_header_is_warned_of(spark, tmp_path):
+    for name, header in (("good", "path,label"), ("odd", "file,target")):
+        (tmp_path / f"{name}.csv").write_text(f"{header}\na.png,1\nb.png\nc.png,0\n")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert manifests.scan_split(spark, str(tmp_path / "good.csv")).count() == 2
+    with pytest.warns(UserWarning, match="file,target"):
+        assert manifests.scan_split(spark, str(tmp_path / "odd.csv")).count() == 2
+
+
+def test_paths_are_remapped_by_method(spark):
+    df = spark.createDataFrame([("m", "a/real/x"), ("n", "a/real/x"), (None, "a/real/x")], "method string, path string")
+    rules = {None: [("a/", "b/")], "m": [("/real/", "/real/real/")]}
+    got = df.select("method", keys.path_remap(F.col("path"), F.col("method"), rules).alias("p"), keys.subject_prefix(F.lit("id7_0001")).alias("s")).collect()
+    assert {r["method"]: r["p"] for r in got} == {"m": "b/real/real/x", "n": "b/real/x", None: "b/real/x"} and got[0]["s"] == "id7"
