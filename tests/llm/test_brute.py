@@ -28,6 +28,9 @@ CONTRACT = {
     "op8": [("doc_id", "bigint"), ("n_words", "bigint"), ("n_base", "bigint"), ("first_word", "bigint"), ("last_word", "bigint"), ("base_labels", "string"), ("labels", "string"), ("score", "double")],
     "op9": [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")],
     "op10": [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint")],
+    "op11": [("lang", "string"), ("rank", "bigint"), ("phrase", "string"), *((x, "bigint") for x in ("a", "l", "r", "n", "score"))],
+    "op12": [("doc_id", "bigint"), *((x, "string") for x in ("leaf", "subroot", "root", "proof_sha256", "folded_root")), ("verified", "boolean")],
+    "op13": [("doc_id", "bigint"), ("n_chars", "bigint"), *((x, "string") for x in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", "double"), ("near_next", "double")],
 }
 
 
@@ -37,7 +40,7 @@ def test_contract(spark, name):
     want = CONTRACT.get(name.split("_")[0], [("doc_id", "bigint")])
     assert set(want) <= set(got.dtypes)
     rows, n = got.collect(), table(spark, "documents").count()
-    assert name.startswith("op2") or len(rows) == n
+    assert name.startswith(("op2", "op11")) or len(rows) == n
     fold, rest = {"op1": (5, 0), "op9": (3, 1)}.get(name.split("_")[0], (0, 0))
     if fold:
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % fold == rest) and 0 <= r["score"] <= 1 for r in rows)
