@@ -11,15 +11,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.shared import HEAVY_ROWS, broadcast_if_small, join_unique, materialise
+from tessera.functions.shared import HEAVY_ROWS, broadcast_if_small, join_unique, materialise, spread
 from tessera.operators.components import components
-from tessera.operators.vectors import linked
+from tessera.operators.pairs import joined, near_hashes
 
 #: Rows and columns of the grid of a hash, whose cells are compared with the cell on their left.
 ROWS, COLUMNS = 8, 9
 BITS = ROWS * (COLUMNS - 1)
 #: Hashes that are compared in one task.
-BLOCK = 2048
+BLOCK = 1 << 15
+#: Comparisons that take as long as to move a row to its bucket, and as to call the comparison of a bucket.
+MOVE, CALL = 500, 200_000
 
 
 def _shares(cells: int, pixels: int) -> np.ndarray:
@@ -55,20 +57,31 @@ def perceptual_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.mapInPandas(run, "path string, hash long")
 
 
+def _dealt(m: int, radius: int) -> list[tuple[int, int, int]]:
+    """``m`` tables (first bit, bits, radius); their radii plus one add up to one more than ``radius``."""
+    edges = [BITS * k // m for k in range(m + 1)]
+    whole, rest = divmod(radius + 1, m)
+    return [(a, b - a, whole - 1 + (k < rest)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+
+
+def _cost(plan: list[tuple[int, int, int]], n: int) -> float:
+    """Comparisons that the search of ``n`` evenly spread hashes takes, moves of rows and calls for buckets converted into them."""
+    keys = [sum(math.comb(bits, r) for r in range(radius + 1)) for _, bits, radius in plan]
+    buckets = [2.0**bits for _, bits, _ in plan]
+    return sum(n * k * (MOVE + n / size) + min(size, n * k) * CALL for k, size in zip(keys, buckets, strict=True))
+
+
 def tables(n: int, radius: int) -> list[tuple[int, int, int]]:
     """(first bit, bits, radius) of each table: two hashes within ``radius`` are within the table's on one of them.
 
-    With about log2(n) bits a table has one of ``n`` evenly spread hashes in a bucket. The radius is dealt out so
-    that the tables' radii plus one add up to one more than it.
+    Many tables with few bits have large buckets, few with many bits must look for more variants of each hash; the number
+    is that which costs least for ``n`` hashes. The radius is dealt out so that the tables' radii plus one add up to one more than it.
     """
-    m = max(1, min(radius + 1, BITS // max(1, math.ceil(math.log2(max(2, n))))))
-    edges = [BITS * k // m for k in range(m + 1)]
-    whole, rest = divmod(radius + 1, m)
-    return [(a, b - a, whole - 1 + (k < rest)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    return min((_dealt(m, radius) for m in range(1, min(radius + 1, BITS) + 1)), key=lambda plan: _cost(plan, n))
 
 
 def _keys(plan: list[tuple[int, int, int]]):
-    """k, t, bucket: for each table the hash's own bits, and all that differ from them in as many bits as the table's radius says."""
+    """k, t, bucket, own: for each table the hash's own bits, and all that differ from them in as many bits as the table's radius says."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -77,34 +90,40 @@ def _keys(plan: list[tuple[int, int, int]]):
                 own = (x >> np.uint64(first)) & np.uint64((1 << bits) - 1)
                 for n in range(radius + 1):
                     for flipped in combinations(range(bits), n):
-                        yield pd.DataFrame({"k": batch["k"], "t": t, "bucket": (own ^ np.uint64(sum(1 << b for b in flipped))).astype(np.int64)})
+                        yield pd.DataFrame({"k": batch["k"], "t": t, "bucket": (own ^ np.uint64(sum(1 << b for b in flipped))).astype(np.int64), "own": n == 0})
 
     return run
 
 
-def _near(radius: int):
-    def near(group: pd.DataFrame) -> np.ndarray:
-        x = group["k"].to_numpy().astype(np.uint64)
-        return np.bitwise_count(x[:, None] ^ x[None, :]) <= radius
+def _joined(radius: int):
+    """Links (a, b) that join the hashes (k) whose own bits a bucket stands for, and the others that look for them there, into classes."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        own = group["own"].to_numpy()
+        here, there = group["k"].to_numpy()[own], group["k"].to_numpy()[~own]
+        x, y = here.astype(np.uint64), there.astype(np.uint64)
+        links = [joined(here, None, near_hashes(x, x, radius)), joined(here, there, near_hashes(x, y, radius))]
+        return pd.DataFrame({"a": np.concatenate([a for a, _ in links]), "b": np.concatenate([b for _, b in links])})
 
-    return near
+    return run
 
 
 def _links(hashes: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) of distinct hashes (k) within ``radius``: a spanning forest of each bucket, large ones block by block."""
-    keyed = hashes.select("k").mapInPandas(_keys(tables(hashes.count(), radius)), "k long, t int, bucket long")
+    keyed = hashes.select("k").mapInPandas(_keys(tables(hashes.count(), radius)), "k long, t int, bucket long, own boolean")
     hot = materialise(keyed.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK))
     n_hot = hot.count()
-    link = linked(_near(radius))
+    link = _joined(radius)
     if not n_hot:
-        return keyed.groupBy("t", "bucket").applyInPandas(link, "a long, b long")
+        return spread(keyed, "t", "bucket").groupBy("t", "bucket").applyInPandas(link, "a long, b long")
     hint = broadcast_if_small(hot, n_hot, 100_000)
-    few = keyed.join(hint, ["t", "bucket"], "left_anti").groupBy("t", "bucket").applyInPandas(link, "a long, b long")
+    few = spread(keyed.join(hint, ["t", "bucket"], "left_anti"), "t", "bucket").groupBy("t", "bucket").applyInPandas(link, "a long, b long")
     parts = F.ceil(2 * F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("k"), parts).cast("int")
-    dense = keyed.join(hint, ["t", "bucket"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    group = ["t", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
-    return few.unionByName(dense.groupBy(*group).applyInPandas(link, "a long, b long"))
+    block = F.pmod(F.xxhash64("k"), parts).cast("int")
+    dense = keyed.join(hint, ["t", "bucket"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dense = dense.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    group = ["t", "bucket", "i", "j"]
+    return few.unionByName(spread(dense, *group).groupBy(*group).applyInPandas(link, "a long, b long"))
 
 
 def near_images(hashes: DataFrame, radius: int = 6, key: str = "path", hash_col: str = "hash") -> DataFrame:

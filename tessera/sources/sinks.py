@@ -114,10 +114,14 @@ def write_grey_images(df: DataFrame, folder: str, path: str, pixels: str, width:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = fs.FileSystem.from_uri(folder)
+        made = set()
         for batch in batches:
             for name, values in zip(batch["path"], batch["pixels"], strict=True):
-                system, place = fs.FileSystem.from_uri(f"{folder}/{name}")
-                system.create_dir(os.path.dirname(place), recursive=True)
+                place = f"{root}/{name}"
+                if (parent := os.path.dirname(place)) not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with system.open_output_stream(place) as out:
                     out.write(b"\x89PNG broken" if values is None else _png(np.asarray(values), width))
             yield batch[["path"]]

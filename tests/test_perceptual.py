@@ -1,5 +1,7 @@
 """Difference hashes and Hamming search against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -67,3 +69,10 @@ def test_near_images_equal_brute_force(spark, monkeypatch, block):
     copies = {h: sum(h == x for _, x in rows) for _, h in rows if h is not None}
     assert all(r["copies"] == copies.get(dict(rows)[r["path"]], 1) for r in got)
     assert P.near_images(spark.createDataFrame([], "path string, hash long")).count() == 0
+
+
+def test_search_moves_few_rows_and_calls_few_buckets():
+    """A million hashes within 6 bits: before, 277 rows a hash in 8 million buckets."""
+    plan = P.tables(10**6, 6)
+    assert sum(sum(math.comb(bits, r) for r in range(radius + 1)) for _, bits, radius in plan) <= 60
+    assert sum(1 << bits for _, bits, _ in plan) <= 300_000 and len(P.tables(10**9, 6)) < len(P.tables(10**4, 6))
