@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import uniform
-from tessera.functions.shared import HEAVY_ROWS, broadcast_if_small, join_unique, materialise
+from tessera.functions.shared import HEAVY_ROWS, broadcast_if_small, join_unique, materialise, spread
 from tessera.operators.components import components
+from tessera.operators.vectors import class_of_block, element_kind, links_of_sides, packed, unpacked
 
 #: Vectors that the centres and the number of visits are fitted on, at most, and those of them that search the others.
 SAMPLE, SEARCHED = 20_000, 2_000
-#: Vectors that a cell should have, and most cells; beyond that cells are compared in blocks of BLOCK.
-CELL, MOST_CELLS, BLOCK = 256, 4096, 2048
+#: Vectors that a cell should have, and most cells: beyond that cells grow instead, so that a vector visits no more of them, since to move it
+#: takes longer than to compare it with thousands. Cells are compared in blocks of BLOCK.
+CELL, MOST_CELLS, BLOCK = 256, 128, 1 << 16
 #: Pairs over the bound that tell how many visits are needed; where the sample has fewer, its closest pairs do.
 LEAST_PAIRS = 200
 
@@ -75,66 +77,64 @@ def fit_cells(sample: np.ndarray, n: int, least_cosine: float, recall: float) ->
     return Cells(centres, visits, float((needed <= visits).mean()) if len(needed) else 1.0)
 
 
-def _visits(cells: Cells):
-    """k, x, cell, own: each vector in the cells that it visits; ``own`` in the nearest."""
+def _owned(cells: Cells, kind: str):
+    """k, v, cell: each vector in the cell of the nearest centre."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                like = _unit(np.stack(batch["x"].to_numpy())) @ cells.centres.T
-                near = np.argpartition(-like, cells.visits - 1, axis=1)[:, : cells.visits]
-                first = np.argmax(like, axis=1)
-                for v in range(cells.visits):
-                    yield pd.DataFrame({"k": batch["k"], "x": batch["x"], "cell": near[:, v].astype(np.int32), "own": near[:, v] == first})
+                like = _unit(unpacked(batch["v"], kind).astype(np.float64)) @ cells.centres.T
+                yield batch.assign(cell=np.argmax(like, axis=1).astype(np.int32))
 
     return run
 
 
-def _met(least_cosine: float):
-    """A spanning forest (a, b) of the links between the members and the visitors of one cell, or of two blocks of it."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x, k, member = _unit(np.stack(group["x"].to_numpy())), group["k"].to_numpy(), group["member"].to_numpy()
-        here, there = np.flatnonzero(member), np.flatnonzero(~member)
-        near = x[here] @ x[there].T >= least_cosine
-        links, new_here, new_there = [], np.ones(len(here), bool), np.ones(len(there), bool)
-        for start in range(len(here)):
-            todo = [(True, start)] if new_here[start] else []
-            new_here[start] = False
-            while todo:
-                inside, i = todo.pop()
-                found = np.flatnonzero(near[i] & new_there) if inside else np.flatnonzero(near[:, i] & new_here)
-                (new_there if inside else new_here)[found] = False
-                links += [(here[i], there[j]) if inside else (there[i], here[j]) for j in found]
-                todo += [(not inside, j) for j in found.tolist()]
-        return pd.DataFrame({"a": k[[i for i, _ in links]], "b": k[[j for _, j in links]]})
+def _visits(cells: Cells, kind: str):
+    """v, label, cell, own: each vector in the cells that it visits; ``own`` in the nearest."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                like = _unit(unpacked(batch["v"], kind).astype(np.float64)) @ cells.centres.T
+                near = np.argpartition(-like, cells.visits - 1, axis=1)[:, : cells.visits]
+                for v in range(cells.visits):
+                    yield pd.DataFrame({"v": batch["v"], "label": batch["label"], "cell": near[:, v].astype(np.int32), "own": near[:, v] == batch["cell"]})
 
     return run
 
 
-def meetings(vectors: DataFrame, cells: Cells) -> DataFrame:
-    """k, x, cell, member, i, j: every member of a cell and every visitor, in blocks (i of members, j of visitors) that all meet.
+def cell_links(vectors: DataFrame, cells: Cells, least_cosine: float, kind: str) -> DataFrame:
+    """Links (a, b) of the vectors (k, v): the members of a cell become classes first, then its visitors are compared with those of other classes.
 
     A cell with more than BLOCK members or visitors is compared block by block, each in a task of its own.
     """
-    kind = vectors.schema["k"].dataType.simpleString()
-    rows = vectors.select("k", "x").mapInPandas(_visits(cells), f"k {kind}, x array<double>, cell int, own boolean")
-    sizes = rows.groupBy("cell").agg(F.count_if("own").alias("_m"), F.count(F.lit(1)).alias("_v"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
-    sizes = materialise(sizes.select("cell", blocks("_m").alias("_m"), blocks("_v").alias("_v")))
-    rows = rows.join(broadcast_if_small(sizes, len(cells.centres), MOST_CELLS), "cell")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    block = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
-    members = rows.filter("own").select("k", "x", "cell", F.lit(True).alias("member"), block("_m").alias("i"), F.explode(every("_v")).alias("j"))
-    return members.unionByName(rows.select("k", "x", "cell", F.lit(False).alias("member"), F.explode(every("_m")).alias("i"), block("_v").alias("j")))
+    key = vectors.schema["k"].dataType.simpleString()
+    owned = materialise(vectors.mapInPandas(_owned(cells, kind), f"k {key}, v binary, cell int"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int")
+    member_blocks = materialise(owned.groupBy("cell").agg(blocks.alias("_m")))
+    small = broadcast_if_small(member_blocks, len(cells.centres), MOST_CELLS)
+    block = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
+    dealt = spread(owned.join(small, "cell").select("k", "v", "cell", block("_m").alias("i")), "cell", "i")
+    rows = materialise(dealt.groupBy("cell", "i").applyInPandas(class_of_block(least_cosine, kind), f"k {key}, v binary, cell int, i int, label {key}"))
+    inside = rows.select(F.col("k").alias("a"), F.col("label").alias("b"))
+    # Visitors of their own cell have met its members already, unless it has other blocks.
+    visitors = rows.select("v", "label", "cell").mapInPandas(_visits(cells, kind), f"v binary, label {key}, cell int, own boolean")
+    visitors = visitors.join(small, "cell").filter("NOT own OR _m > 1")
+    visitor_blocks = materialise(visitors.groupBy("cell").agg(blocks.alias("_v")))
+    counts = broadcast_if_small(visitor_blocks, len(cells.centres), MOST_CELLS)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.join(counts, "cell").select("v", "label", "cell", F.lit(True).alias("first"), "i", every("_v").alias("j"))
+    visiting = visitors.join(counts, "cell").select("v", "label", "cell", F.lit(False).alias("first"), every("_m").alias("i"), block("_v").alias("j"))
+    met = spread(members.unionByName(visiting), "cell", "i", "j").groupBy("cell", "i", "j")
+    return inside.unionByName(met.applyInPandas(links_of_sides(least_cosine, kind), f"a {key}, b {key}"))
 
 
 def near_copies_by_cells(df: DataFrame, key: str, features: str, least_cosine: float, recall: float = 0.97) -> DataFrame:
     """``key``, class_id, copies for every row: the smallest key reachable over pairs of at least ``least_cosine``.
 
-    All rows are indexed; centres and visits are fitted on SAMPLE vectors at most. A cell has about CELL members whatever the number of
-    vectors (up to CELL * MOST_CELLS of them), so a vector is compared with about CELL times the visits, which grow as the data have
-    more directions than cells; every pair that meets is compared exactly. ``recall`` of the sample's pairs meet; classes join through more than one pair, so fewer are missed. Equal
+    All rows are indexed; centres and visits are fitted on SAMPLE vectors at most. A cell has about CELL members up to
+    CELL * MOST_CELLS vectors; from there on cells grow with the table, and what is moved, one row a visit, grows no faster than it.
+    Members of a cell become classes first, so that visitors are compared only with members of other classes; every pair that meets is compared exactly. ``recall`` of the sample's pairs meet; classes join through more than one pair, so fewer are missed. Equal
     vectors are one node, null ones and those with a null or NaN are alone, an empty table gives an empty result. Keys are unique.
     """
     rows = materialise(df.select(F.col(key).alias("k"), F.col(features).cast("array<double>").alias("x")))
@@ -149,9 +149,8 @@ def near_copies_by_cells(df: DataFrame, key: str, features: str, least_cosine: f
     if not len(likely):
         likely = vectors.select("k", "x").limit(1).toPandas()
     cells = fit_cells(np.stack(likely["x"].to_numpy()), n, least_cosine, recall)
-    kind = vectors.schema["k"].dataType.simpleString()
-    links = meetings(vectors, cells).groupBy("cell", "i", "j").applyInPandas(_met(least_cosine), f"a {kind}, b {kind}")
-    roots = components(links)
+    kind = element_kind(df, features)
+    roots = components(cell_links(packed(vectors, kind), cells, least_cosine, kind))
     owners = materialise(vectors.join(roots, F.col("k") == F.col("node"), "left").select("x", "copies", F.coalesce("root", "k").alias("class_id")))
     known = join_unique(rows, owners, "x", owners.filter(F.col("copies") > HEAVY_ROWS)).select("k", "class_id", "copies")
     return known.unionByName(alone).withColumnRenamed("k", key)

@@ -67,3 +67,10 @@ def test_classes_equal_brute_force(spark, monkeypatch, block):
     assert same >= 0.99 * len(want) and got[2000] == (2000, 1) and got[2001] == (2001, 1) and got[1003][1] == 6
     assert len(got) == len(rows) + 2 and C.near_copies_by_cells(df.limit(0), "id", "v", 0.45).count() == 0
     assert C.near_copies_by_cells(df.filter("id = 1"), "id", "v", 0.45).select(F.max("class_id")).first()[0] == 1
+
+
+def test_rows_moved_do_not_grow_with_the_table():
+    """At 600,000 vectors a vector visits no more cells than at 60,000, and fewer than 128; before, cells and visits grew with the table."""
+    x = groups(3_000, np.random.default_rng(7))
+    small, large = C.fit_cells(x, 60_000, 0.45, 0.97), C.fit_cells(x, 600_000, 0.45, 0.97)
+    assert large.visits == small.visits <= len(large.centres) <= 128

@@ -301,3 +301,32 @@ def test_paths_are_remapped_by_method(spark):
     rules = {None: [("a/", "b/")], "m": [("/real/", "/real/real/")]}
     got = df.select("method", keys.path_remap(F.col("path"), F.col("method"), rules).alias("p"), keys.subject_prefix(F.lit("id7_0001")).alias("s")).collect()
     assert {r["method"]: r["p"] for r in got} == {"m": "b/real/real/x", "n": "b/real/x", None: "b/real/x"} and got[0]["s"] == "id7"
+
+
+@pytest.mark.parametrize("always, block", [(100_000, 1 << 16), (0, 1 << 16), (0, 40)])
+def test_near_copies_under_a_loose_bound(spark, monkeypatch, always, block):
+    """All pairs of 600 vectors by blocks equal brute force; by planes, also with buckets beyond a block, nearly."""
+    monkeypatch.setattr(vectors, "ALWAYS", always)
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "BUCKET", 90)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near, want = x @ x.T >= 0.4, {}
+    for start in range(600):
+        todo = [start] if start not in want else []
+        while todo:
+            i = todo.pop()
+            if i not in want:
+                want[i] = start
+                todo += np.flatnonzero(near[i]).tolist()
+    got = near_classes(spark, x, 0.4)
+    same = sum(got[i][0] == want[i] for i in want)
+    assert same == 600 if always else same >= 560, same
+
+
+def test_planes_follow_from_what_moving_rows_costs():
+    """615,000 vectors at 0.45: before, 12 planes and 539 tables, each of which moved every vector."""
+    assert vectors.n_planes(615_000, 0.45, 0.95) == 0
+    bits = vectors.n_planes(10**7, 0.9, 0.95)
+    assert bits > 8 and vectors.n_tables(bits, 0.9, 0.95) < 60
