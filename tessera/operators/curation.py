@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import broadcast_if_small, dealt
+
+#: Members of an ensemble whose weights are broadcast.
+MOST_MEMBERS = 100_000
+
 
 def merge_sources(first: DataFrame, second: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Union by name; columns that one side lacks, and nulls, take their default."""
@@ -83,7 +88,8 @@ def label_sanity(df: DataFrame, label: Column, implied: Column, by: Sequence[str
 
 def ensemble(scores: DataFrame, weights: DataFrame, key: str, member: str = "model", score: str = "prob") -> DataFrame:
     """key, prob: weighted mean over the members that scored the sample."""
-    rows = scores.join(weights.select(member, "weight"), member)
+    weights = broadcast_if_small(weights.select(member, "weight"), weights.count(), MOST_MEMBERS)
+    rows = dealt(scores.join(weights, member).select(key, "weight", score), scores.count(), key)
     return rows.groupBy(key).agg((F.sum(F.col("weight") * F.col(score)) / F.sum("weight")).alias("prob"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import label_from_method
+from tessera.functions.shared import dealt
 
 DOMAINS = ("cdc", "ffc", "efs", "oth", "fe")
 
@@ -42,7 +43,8 @@ m AS (SELECT *, domain || ':' || user_id || '_' || day(ts) AS identity, user_id
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a line item: identity (customer), video (order), frame, method, label, uid."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    rows = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+    n = lines.count()
+    rows = dealt(lines, n, "l_orderkey").join(dealt(orders, n, "o_orderkey"), lines["l_orderkey"] == orders["o_orderkey"])
     uid = F.concat_ws("_", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
     return rows.select(
         F.col("o_custkey").alias("identity"), F.col("l_orderkey").alias("video"), F.col("l_linenumber").alias("frame"),

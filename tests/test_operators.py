@@ -330,3 +330,18 @@ def test_planes_follow_from_what_moving_rows_costs():
     assert vectors.n_planes(615_000, 0.45, 0.95) == 0
     bits = vectors.n_planes(10**7, 0.9, 0.95)
     assert bits > 8 and vectors.n_tables(bits, 0.9, 0.95) < 60
+
+
+def test_ensemble_and_frames_deal_rows_to_tasks_of_bounded_size(spark, monkeypatch):
+    """Before, all the scores of a member met in one task, and a task of the frames got as much as there are few tasks."""
+    from tessera.functions import shared
+    from tessera.plans import views
+
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 100)
+    scores = spark.range(2000).selectExpr("id % 1000 AS id", "IF(id < 1000, 'a', 'b') AS model", "id / 2000 AS prob")
+    mean = curation.ensemble(scores, spark.createDataFrame([("a", 0.25), ("b", 0.75)], "model string, weight double"), "id")
+    assert max(r["n"] for r in mean.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()) <= 150
+    assert "hashpartitioning(model" not in mean._jdf.queryExecution().toString()
+    assert abs(mean.filter("id = 7").first()["prob"] - (0.25 * 7 + 0.75 * 1007) / 2000) < 1e-12
+    frames = views.frames(spark, "/root/testdata/sf0.001")
+    assert max(r["n"] for r in frames.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()) <= 300
