@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.keys import label_from_method
+from tessera.functions.shared import materialise
 from tessera.sources.split_json import scan_json_values
 
 _S, _I = T.StringType(), T.IntegerType()
@@ -68,10 +69,12 @@ def scan_annotations(spark: SparkSession, path: str, category: int = 1, split_by
     Files {"images": [{id, file_name}], "annotations": [{image_id, category_id}]} of any size are read in ranges
     of ``split_bytes``, so the order of the two arrays doesn't matter and neither is held whole.
     """
-    values = scan_json_values(spark, path, 2, split_bytes)
-    part = lambda name, schema: values.filter(F.col("keys")[0] == name).select(F.from_json("value", schema).alias("v")).select("v.*")
-    images = part("images", "id bigint, file_name string").withColumnRenamed("id", "image_id")
-    hits = part("annotations", "image_id bigint, category_id int").filter(F.col("category_id") == category).select("image_id").distinct().withColumn("_hit", F.lit(1))
+    values = scan_json_values(spark, path, 2, split_bytes).withColumn("part", F.col("keys")[0]).filter("part IN ('images', 'annotations')")
+    # The files are read once, for both arrays.
+    fields = "id bigint, file_name string, image_id bigint, category_id int"
+    values = materialise(values.select("part", F.from_json("value", fields).alias("v")).select("part", "v.*"))
+    images = values.filter("part = 'images'").select(F.col("id").alias("image_id"), "file_name")
+    hits = values.filter("part = 'annotations'").filter(F.col("category_id") == category).select("image_id").distinct().withColumn("_hit", F.lit(1))
     return images.join(hits, "image_id", "left").select("image_id", "file_name", F.coalesce("_hit", F.lit(0)).alias("label"))
 
 

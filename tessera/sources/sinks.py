@@ -13,6 +13,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.hashing import match
+from tessera.functions.shared import materialise
 from tessera.sources import snapshots
 
 STANDARD = ("path", "label")
@@ -64,13 +66,23 @@ def _json_text(value: Column | str) -> Column:
     return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
+#: Rows of a JSON document, about, so that the sort of a document fits a task.
+DOCUMENT_ROWS = 1 << 18
+
+
+def _documents(df: DataFrame, by: str, *keys: str) -> DataFrame:
+    """Adds ``_doc``: a group of more than DOCUMENT_ROWS rows is dealt to several documents by the hash of ``keys``."""
+    sizes = materialise(df.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / DOCUMENT_ROWS).alias("_docs")))
+    return match(df, sizes, [by]).withColumn("_doc", F.pmod(F.xxhash64(*keys), F.col("_docs"))).drop("_docs")
+
+
 def write_nested_index(df: DataFrame, folder: str) -> None:
-    """One JSON document a source, {source: {side: {split: {video: {"frames": [...]}}}}}, from rows source, side, split, video, frames.
+    """JSON documents {source: {side: {split: {video: {"frames": [...]}}}}}, from rows source, side, split, video, frames.
 
-    A row knows from its neighbours what it has to open and to close, so a task holds one video at a time.
+    A source has one document, or several with other videos each where it has more than DOCUMENT_ROWS. A row knows from its neighbours what it has to open and to close, so a task holds one video at a time.
     A video is expected once in its split; the documents of sources that are null or empty are left to a folder of their own.
     """
-    along = Window.partitionBy("source").orderBy("side", "split", "video")
+    df, along = _documents(df, "source", "side", "split", "video"), Window.partitionBy("source", "_doc").orderBy("side", "split", "video")
     before = F.lag(F.struct("side", "split")).over(along)
     inner = F.concat(_json_text("split"), F.lit(":{"))
     side = F.concat(_json_text("side"), F.lit(":{"), inner)
@@ -86,11 +98,12 @@ def write_nested_index(df: DataFrame, folder: str) -> None:
 
 
 def write_json_arrays(df: DataFrame, folder: str, by: str) -> None:
-    """One JSON document for each value of ``by``, {part: [value, ...], ...}, from rows ``by``, part, place, value (JSON text).
+    """JSON documents {part: [value, ...], ...} for each value of ``by``, from rows ``by``, part, place, value (JSON text).
 
-    Parts and, within them, places ascend. A task holds one value at a time.
+    Parts and, within them, places ascend. Beyond DOCUMENT_ROWS rows there are several documents, dealt out by place. A task
+    holds one value at a time.
     """
-    along = Window.partitionBy(by).orderBy("part", "place")
+    df, along = _documents(df, by, "place"), Window.partitionBy(by, "_doc").orderBy("part", "place")
     before = F.lag("part").over(along)
     named = F.concat(_json_text("part"), F.lit(":["))
     opening = F.when(before.isNull(), F.concat(F.lit("{"), named)).when(before != F.col("part"), F.concat(F.lit("],"), named)).otherwise(F.lit(","))

@@ -46,6 +46,13 @@ class ByteRange(InputPartition):
     stack: tuple = ()
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Neighbouring ranges that one task reads."""
+
+    ranges: list[ByteRange]
+
+
 class _File:
     def __init__(self, path: str):
         system, place = fs.FileSystem.from_uri(path)
@@ -176,12 +183,25 @@ def _values(part: ByteRange, depth: int) -> Iterator[tuple[list[str], str]]:
 class JsonReader(DataSourceReader):
     def __init__(self, options: dict, schema):
         self.step, self.depth = options.get("step", "quotes"), int(options.get("depth", "1"))
-        self.ranges = [ByteRange(*x) for x in json.loads(options["ranges"])]
+        # Every task gets a copy of the reader, so it holds the list as text, and only the planning reads it.
+        self.listed, self.tasks, self.most = options["ranges"], int(options.get("tasks", "0")), int(options.get("most", "0"))
 
     def partitions(self) -> list[InputPartition]:
-        return self.ranges
-
-    def read(self, part: ByteRange) -> Iterator:
+        """As many tasks as asked for, with about the same number of bytes, or more where they would have over ``most``."""
+        ranges = [ByteRange(*x) for x in json.loads(self.listed)]
+        total = sum(r.end - r.start for r in ranges)
+        tasks = max(self.tasks, -(-total // self.most) if self.most else 0) or len(ranges)
+        share, out, at = total / tasks, {}, 0
+        for r in ranges:
+            out.setdefault(int(at // share) if share else 0, []).append(r)
+            at += r.end - r.start
+        return [Ranges(x) for x in out.values()]
+
+    def read(self, part: Ranges) -> Iterator:
+        for each in part.ranges:
+            yield from self._read(each)
+
+    def _read(self, part: ByteRange) -> Iterator:
         if self.step == "quotes":
             file = _File(part.path)
             data = np.frombuffer(file.read(part.start, part.end), np.uint8)
@@ -220,7 +240,8 @@ class JsonSource(DataSource):
 
 def _step(spark: SparkSession, ranges: list[ByteRange], step: str, depth: int = 1) -> DataFrame:
     listed = json.dumps([[r.path, r.start, r.end, r.size, r.in_string, r.stack] for r in ranges])
-    return spark.read.format("split_json").option("ranges", listed).option("step", step).option("depth", depth).load()
+    tasks, most = 4 * spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return spark.read.format("split_json").options(ranges=listed, step=step, depth=depth, tasks=tasks, most=most).load()
 
 
 def _after(stack: list, shape: dict, path: str) -> list:

@@ -80,3 +80,23 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps(boxes))
     hit = {a["image_id"] for a in boxes["annotations"] if a["category_id"] == 1}
     assert {r["image_id"]: r["label"] for r in manifests.scan_annotations(spark, str(tmp_path / "c.json"), split_bytes=500).collect()} == {i: int(i in hit) for i in range(60)}
+
+
+def test_many_ranges_take_few_tasks(tmp_path):
+    """Before, every range was a task, and each task got the list of all of them."""
+    listed = json.dumps([["file:///x", at, at + 10, 10_000, False, []] for at in range(0, 10_000, 10)])
+    parts = JsonReader({"ranges": listed, "tasks": "8", "most": "5000"}, None).partitions()
+    assert len(parts) == 8 and [r.start for p in parts for r in p.ranges] == list(range(0, 10_000, 10))
+    assert len(JsonReader({"ranges": listed, "tasks": "8", "most": "500"}, None).partitions()) == 20
+
+
+def test_large_groups_become_several_documents(spark, tmp_path, monkeypatch):
+    """Before, one task sorted and wrote all of a group."""
+    from tessera.sources import sinks
+
+    monkeypatch.setattr(sinks, "DOCUMENT_ROWS", 50)
+    rows = spark.range(400).selectExpr("IF(id % 4 = 0, 'a', 'b') AS by", "IF(id % 2 = 0, 'images', 'annotations') AS part", "id AS place", "CAST(id AS STRING) AS value")
+    sinks.write_json_arrays(rows, str(tmp_path / "d"), "by")
+    found = scan_json_values(spark, str(tmp_path / "d"), 2, 700).collect()
+    assert sorted((r["keys"][0], int(r["value"])) for r in found) == sorted(("images" if i % 2 == 0 else "annotations", i) for i in range(400))
+    assert sum(r["value"].startswith("{") for r in spark.read.text(str(tmp_path / "d")).collect()) >= 6
