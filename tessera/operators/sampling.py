@@ -182,6 +182,8 @@ def method_suites(benchmark: DataFrame, test: DataFrame, key: str, method: str =
     test_balanced, test_full and test_detailed (the same rows) of the test split; benchmark_balanced and benchmark_full of all rows.
     A method without a fake in the test split has no test_balanced, and only reals in test_full.
     """
+    # Each of the variants reads both tables several times, so what they are made of is computed once.
+    benchmark, test = materialise(benchmark), materialise(test)
     methods = benchmark.filter(F.col(label) == 1).select(F.col(method).alias("suite"))
     named = lambda df, name: df.withColumn("variant", F.lit(name))
     full = suite_full(test, method, label, methods)

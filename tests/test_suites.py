@@ -75,3 +75,17 @@ def test_five_variants(spark, tmp_path):
     summary = {r["method"]: tuple(r)[1:] for r in sampling.methods_summary(df, F.expr("id % 3 = 0 AND method <> 'b'")).collect()}
     assert summary == {"a": (10, 2 * few, 30, 40, 50), "b": (0, 0, 8, 16, 28)}
     assert found.filter("variant = 'test_detailed' AND identity IS NULL").count() == 0 == found.filter("variant = 'test_full' AND identity IS NOT NULL").count()
+
+
+def test_suites_compute_their_input_once(spark):
+    """Before, every variant computed the split anew."""
+    seen = spark.sparkContext.accumulator(0)
+    rows, df = table(spark, {"a": 30, "b": 8}, 20)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    sampling.method_suites(df.mapInPandas(count, df.schema), df.filter("id % 3 = 0"), "id").count()
+    assert seen.value == len(rows)
