@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.shared import broadcast_if_small, materialise
+from tessera.functions.shared import broadcast_if_small, materialise, materialise_counted, materialise_seen
 from .quality import let
 
 WINDOW = 8
@@ -75,8 +75,9 @@ def _marked(text: Column, common: Sequence[str], values: bool) -> Column:
     """The text with placeholders for numbers, units and names; with ``values`` each is followed by what it replaces."""
     number, unit, name = (NUMBER + "$1", UNIT + "$2", NAME + "$0") if values else (NUMBER, UNIT, NAME)
     named = F.regexp_replace(F.regexp_replace(text, _NAME, name), _first_pattern(common), name)
-    counted = F.regexp_replace(F.regexp_replace(named, _MEASURE, f"{number} {unit}"), _NUM + _END, number)
-    return F.when(text.rlike("[0-9]"), counted).otherwise(named)
+    counted = lambda n: F.regexp_replace(F.regexp_replace(n, _MEASURE, f"{number} {unit}"), _NUM + _END, number)
+    # Bound: the plan would hold the pattern of the common words once a branch.
+    return let(named, lambda n: F.when(n.rlike("[0-9]"), counted(n)).otherwise(n))
 
 
 def _values(text: Column, common: Sequence[str], values: bool = True) -> Column:
@@ -108,12 +109,16 @@ def common_words(benchmark: DataFrame, text_col: str = "text") -> list[str]:
 def items_table(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", common: Sequence[str] = ()) -> DataFrame:
     """item, version (of its text), values (words with placeholder values), windows (hash, start) that have LITERALS words."""
     rows = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).distinct()
-    rows = rows.withColumn("values", _values(F.col("text"), common))
-    rows = rows.withColumn("tokens", F.transform("values", _canonical))
-    literal = lambda start: F.size(F.filter(F.slice("tokens", start, WINDOW), lambda t: ~t.isin(NUMBER, UNIT, NAME))) >= LITERALS
-    windows = F.transform(_all_windows(F.col("tokens")), lambda h, i: F.struct(h.alias("hash"), (i + 1).alias("start")))
-    rows = rows.withColumn("windows", F.filter(windows, lambda w: literal(w["start"])))
-    return rows.filter(F.size("windows") > 0).select("item", F.xxhash64("text").alias("version"), "values", "windows")
+
+    def windows(tokens: Column) -> Column:
+        literal = lambda start: F.size(F.filter(F.slice(tokens, start, WINDOW), lambda t: ~t.isin(NUMBER, UNIT, NAME))) >= LITERALS
+        each = F.transform(_all_windows(tokens), lambda h, i: F.struct(h.alias("hash"), (i + 1).alias("start")))
+        return F.filter(each, lambda w: literal(w["start"]))
+
+    # As one generated row: Spark would put the patterns of ``values`` wherever a column uses it.
+    made = let(_values(F.col("text"), common), lambda v: F.struct(v.alias("values"), let(F.transform(v, _canonical), windows).alias("windows")))
+    rows = rows.select("item", F.xxhash64("text").alias("version"), F.inline(F.array(made)))
+    return rows.filter(F.size("windows") > 0)
 
 
 def _searched(items: DataFrame) -> DataFrame:
@@ -156,7 +161,7 @@ def _judged(places: DataFrame, contents: DataFrame, by: Sequence[str]) -> DataFr
 
 
 def _pieces(near: DataFrame) -> DataFrame:
-    """id, key, item, version, piece, first, own: pieces of the text in which windows of the item stand.
+    """id, key, item, version, n_windows, first, own: pieces of the text in which windows of the item stand.
 
     A piece has twice the length of the item (and SLIDE), and begins every such length, so each alignment that begins in
     its first half is in it as a whole. ``first`` pieces have those as well that begin before the text.
@@ -166,7 +171,7 @@ def _pieces(near: DataFrame) -> DataFrame:
     starts = F.array_distinct(F.flatten(F.transform(halves, lambda i: F.array(i, F.greatest(i - 1, F.lit(0))))))
     # Cut inside the row: a row a place would carry the whole text.
     cut = F.transform(starts, lambda i: F.struct((i == 0).alias("first"), F.slice("own", i * reach + 1, 2 * reach).alias("own")))
-    return near.select("id", "key", "item", "version", F.inline(cut))
+    return near.select("id", "key", "item", "version", "n_windows", F.inline(cut))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text") -> DataFrame:
@@ -180,10 +185,11 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     whatever their names, are not read. An empty table on either side gives an empty result.
     """
     common = common_words(benchmark, bench_text_col)
-    items = materialise(items_table(benchmark, item_col, bench_text_col, common))
-    wanted = materialise(_searched(items))
-    known = broadcast_if_small(wanted, wanted.count(), BROADCAST_ROWS)
-    n_words = items.agg(F.coalesce(F.sum(F.size("values") + F.size("windows")), F.lit(0))).first()[0]
+    size = F.coalesce(F.sum(F.size("values") + F.size("windows")), F.lit(0))
+    items, seen = materialise_seen(items_table(benchmark, item_col, bench_text_col, common), n_words=size)
+    n_words = seen["n_words"]
+    wanted, n_wanted = materialise_counted(_searched(items))
+    known = broadcast_if_small(wanted, n_wanted, BROADCAST_ROWS)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
@@ -191,8 +197,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     # Every word starts a window, in documents as in items.
     searched = rows.select("key", F.explode(F.array_distinct(let(_values(F.col("text"), common, False), _all_windows))).alias("hash"))
-    pairs = materialise(searched.join(known, "hash").select("key", "item").distinct())
-    n_pairs = pairs.count()
+    pairs, n_pairs = materialise_counted(searched.join(known, "hash").select("key", "item").distinct())
 
     near = rows.join(broadcast_if_small(pairs, n_pairs, BROADCAST_ROWS), "key").distinct()
     near = near.withColumn("own", _values(F.col("text"), common)).drop("text")
@@ -205,11 +210,6 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     near = near.select("id", "key", "item", "version", "values", "windows", "own", "met.found", "met.firsts", F.size("windows").cast("long").alias("n_windows"))
     near = materialise(near).filter(F.size("firsts") / F.col("n_windows") >= SHARE)
 
-    # All first places of the document together.
-    pair = ["id", "key", "item", "version"]
-    whole = near.select("key", "item", "version", "n_windows", F.lit(0).alias("grp"), F.inline("firsts"))
-    scattered = _judged(whole, near.select("key", "item", "version", "values", "own"), ["key", "item", "version"])
-
     # Each alignment alone, and alignments at most SLIDE apart, in each different piece.
     cut = materialise(_pieces(near).withColumn("piece", F.xxhash64("first", "own")))
     parts = materialise(cut.select("item", "version", "piece", "first", "own").dropDuplicates(["item", "version", "piece"]))
@@ -224,11 +224,18 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     slid = F.transform(F.sequence(F.lit(0), F.lit(SLIDE)), lambda k: group(SLIDE, shift - k))
     each = each.withColumn("grp", F.explode(F.concat(F.array(group(0, shift)), slid)))
     own_half = (F.col("grp.at") < F.col("m") + SLIDE) & (F.col("first") | (F.col("grp.at") >= 0))
-    aligned = _judged(each.filter(own_half).drop("m", "first"), parts.select("item", "version", "piece", "values", "own"), ["item", "version", "piece"])
-    aligned = cut.select(*pair, "piece").join(aligned, ["item", "version", "piece"]).drop("piece")
-
-    best = scattered.join(near.select(*pair), ["key", "item", "version"]).select(*aligned.columns).unionByName(aligned)
-    best = best.groupBy(*pair).agg(F.max(F.struct("n_matched", "exact")).alias("best")).join(near.select("key", "item", "version", "n_windows"), ["key", "item", "version"])
+    by = ["item", "version", "piece", "whole"]
+    aligned = each.filter(own_half).select(*by[:3], F.lit(False).alias("whole"), "n_windows", "grp", "a", "b")
+
+    # All first places of the document together: the document is one more piece, judged in the same pass.
+    whole = near.select("item", "version", F.col("key").alias("piece"), F.lit(True).alias("whole"), "n_windows", "values", "own", "firsts", "id", "key")
+    together = whole.select(*by, "n_windows", group(0, F.lit(0)).alias("grp"), F.inline("firsts"))
+    contents = parts.select(*by[:3], F.lit(False).alias("whole"), "values", "own").unionByName(whole.select(*by, "values", "own"))
+    judged = _judged(aligned.unionByName(together), contents, by)
+
+    pair = ["id", "key", "item", "version", "n_windows"]
+    held = cut.select(*pair, "piece", F.lit(False).alias("whole")).unionByName(whole.select(*pair, "piece", "whole"))
+    best = held.join(judged, by).groupBy(*pair).agg(F.max(F.struct("n_matched", "exact")).alias("best"))
     return best.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "best.n_matched",
         (F.col("best.n_matched") / F.col("n_windows")).alias("share"), "best.exact", "key",
@@ -240,10 +247,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
     Rows that repeat an id and a text go or stay together; null texts stay; an empty table gives an empty one.
     """
-    found = materialise(find(docs, benchmark, id_col, text_col).select("key").distinct())
+    found, n_found = materialise_counted(find(docs, benchmark, id_col, text_col).select("key").distinct())
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     id_, text = F.col(names[docs.columns.index(id_col)]), F.col(names[docs.columns.index(text_col)])
     rows = rows.withColumn("key", F.xxhash64(id_, F.coalesce(text.cast("string"), F.lit(""))))
-    found = broadcast_if_small(found, found.count(), BROADCAST_ROWS)
+    found = broadcast_if_small(found, n_found, BROADCAST_ROWS)
     return rows.join(found, "key", "left_anti").select(*names).toDF(*docs.columns)

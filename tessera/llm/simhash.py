@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.shared import HEAVY_ROWS, broadcast_if_small, join_unique, materialise
+from tessera.functions.shared import HEAVY_ROWS, broadcast_if_small, join_unique, materialise, materialise_counted
 from tessera.operators.components import components
 
 from .common import SLICE_ROWS
@@ -188,8 +188,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     sample = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
     plan = allocate(sample, max(1, count), radius)
     data, probes = _keys(fps, plan, False), _keys(fps, plan, True)
-    sizes = materialise(data.groupBy("p", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK))
-    n_hot = sizes.count()
+    sizes, n_hot = materialise_counted(data.groupBy("p", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK))
     close = F.expr(f"bit_count(l.fp ^ r.fp) <= {radius} AND l.fp < r.fp")
 
     def near(data: DataFrame) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.shared import HEAVY_ROWS, join_unique, materialise
+from tessera.functions.shared import HEAVY_ROWS, join_unique, materialise_seen
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    return row["n"], row["x"]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    out, seen = materialise_seen(edges, n=F.count(F.lit(1)), x=F.bit_xor(F.xxhash64("a", "b")))
+    return out, (seen["n"], seen["x"])
 
 
 def _star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
@@ -39,14 +39,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     written to the shared folder; the number of rounds grows with the logarithm of the longest path.
     Raises if ``max_rounds`` don't suffice, rather than return an unfinished result.
     """
-    edges = materialise(edges.select("a", "b").filter("a <> b").distinct())
-    state = _state(edges)
+    edges, state = _written(edges.select("a", "b").filter("a <> b").distinct())
     for _ in range(max_rounds):
         if not state[0]:
             break
         many = state[0] > HEAVY_ROWS
-        edges = materialise(_star(_star(edges, True, many), False, many))
-        before, state = state, _state(edges)
+        before = state
+        edges, state = _written(_star(_star(edges, True, many), False, many))
         if before == state:
             break
     else:
