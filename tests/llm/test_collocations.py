@@ -3,10 +3,14 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+from tessera.functions.shared import materialise
 from tessera.llm import collocations as C
 
 SCHEMA = "doc_id long, lang string, text string, phrase string, n long"
@@ -30,6 +34,37 @@ def test_index_counts_every_phrase(seed):
     assert got == dict(want)
 
 
+def test_blocks_bound_the_memory_of_an_index(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = rng.integers(1, 20_000, 1 << 18).astype(np.int32)
+    text[::15] = text[-1] = 0
+    want = sum(int(np.all([text[j : len(text) - k + 1 + j] > 0 for j in range(k)], 0).sum()) for k in range(2, 6))
+    monkeypatch.setattr(C, "BLOCK_ROWS", 1 << 12)
+    tracemalloc.start()
+    rows, places = 0, 0
+    for found, times in C.PhraseIndex(text, 20_000, 5).phrases():
+        assert 0 < len(found) <= C.BLOCK_ROWS
+        rows, places = rows + len(found), places + int(times.sum())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 2 * len(text) and places == want
+    assert most < 100 * len(text)  # before: 162 bytes a word
+
+
+def test_a_shard_is_a_row_group_and_goes_to_python_alone(spark):
+    docs = spark.createDataFrame([("en", "ab cd ef " * 200_000)] * 4, "lang string, text string").coalesce(1)
+    split = materialise(C.shards(docs, most=500_000), C.ROW_GROUPS)
+    assert [pq.ParquetFile(f.removeprefix("file://")).num_row_groups for f in split.inputFiles()] == [4]
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["n"] for r in materialise(split.mapInArrow(sizes, "n long"), settings=C.ALONE).collect()] == [1] * 4
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def plain_counts(rows, longest):
     f, n = collections.Counter(), collections.Counter()
     for _, lang, text, *_ in rows:
